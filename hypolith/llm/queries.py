@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from hypolith.llm.op1_secrets import op1_secrets
 from hypolith.llm.op4_minhash import op4_minhash
 from hypolith.llm.op6_fuse import OP6_SQL, op6_fuse
+from hypolith.llm.op7_urls import op7_urls
 from hypolith.llm.op8_packing import op8_packing
 
-QUERIES = {f.__name__: f for f in (op4_minhash, op6_fuse, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op4_minhash, op6_fuse, op7_urls, op8_packing)}
 SQL = {"op6_fuse": OP6_SQL}
