@@ -180,10 +180,14 @@ def p1(spark, sf):
 COST = f"c AS (SELECT o_orderkey, shares * price AS v, least(greatest(0.005 * shares, 0.35), 0.01 * shares * price) AS commission, shares * price * ({SPREAD}) / 1e4 / 2 AS spread, shares * price * ({SLIP}) / 1e4 AS slippage, CASE WHEN short THEN shares * price * ({BORROW}) * 5 ELSE 0.0 END AS borrow FROM tr)"
 
 
-@query("p4_trade_cost", f"WITH {TR}, {COST} SELECT o_orderkey, round(commission, 2) AS commission, round(spread, 2) AS spread, round(slippage, 2) AS slippage, round(borrow, 2) AS borrow, round(commission + spread + slippage + borrow, 2) AS total, round(CASE WHEN v > 0 THEN (commission + spread + slippage + borrow) / v * 1e4 END, 4) AS bps FROM c")
+PARTS = ("commission", "spread", "slippage", "borrow")
+
+
+@query("p4_trade_cost", f"WITH {TR}, {COST} SELECT o_orderkey, {', '.join(f'round({n} / nullif(v, 0) * 1e4, 4) AS {n}' for n in PARTS)}, round(CASE WHEN v > 0 THEN (commission + spread + slippage + borrow) / v * 1e4 END, 4) AS bps FROM c")
 def p4(spark, sf):
-    c = _cost(spark, sf)
-    return c.select("o_orderkey", *(R(f"c.{n}", 2).alias(n) for n in ("commission", "spread", "slippage", "borrow", "total")), R("c.bps", 4).alias("bps"))
+    """Each part of a trade's cost in basis points of its value."""
+    value = F.nullif(F.col("shares") * F.col("price"), F.lit(0.0))
+    return _cost(spark, sf).select("o_orderkey", *(R(F.col(f"c.{n}") / value * 1e4, 4).alias(n) for n in PARTS), R("c.bps", 4).alias("bps"))
 
 
 def _cost(spark, sf):
