@@ -40,4 +40,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from hypolith.plans import (  # noqa: E402
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
+    statistics_queries,  # noqa: F401
 )
