@@ -41,4 +41,5 @@ from hypolith.plans import (  # noqa: E402
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
     statistics_queries,  # noqa: F401
+    text_queries,  # noqa: F401
 )
