@@ -38,6 +38,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from hypolith.plans import (  # noqa: E402
+    inference_queries,  # noqa: F401
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
     statistics_queries,  # noqa: F401
