@@ -38,9 +38,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from hypolith.plans import (  # noqa: E402
+    control_queries,  # noqa: F401
     inference_queries,  # noqa: F401
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
     statistics_queries,  # noqa: F401
+    streaming_queries,  # noqa: F401
     text_queries,  # noqa: F401
 )
