@@ -55,7 +55,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sco
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = docs.select("doc_id", F.expr("uuid()").alias("row"), "text").select("doc_id", "row", F.explode_outer(_candidates(F.col("text"))).alias("c")).select("doc_id", "row", "c.*")
-    rows = written(rows, "candidates")
+    rows = written(rows, "candidates", wide=True)
     found = rows.withColumn("end", F.expr("sum(span) OVER (PARTITION BY row, kind ORDER BY at)")).filter("ok")
     found = found.select("doc_id", "kind", "order", (F.col("end") - F.col("span") + F.col("gap")).alias("start"), "end").distinct()
     part, alone = (F.create_map(*(F.lit(x) for k in KINDS for x in (k[0], k[i]))) for i in (4, 5))

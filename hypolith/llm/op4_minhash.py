@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With similarity at the threshold of 85 %, a pair misses all 20 bands of 4 with probability 4e-7.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signed(words, permutations, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = written(docs.mapInArrow(_signed(words, permutations, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures", wide=True)
     there = signed.filter("n_shingles > 0 and doc_id is not null")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = there.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     members = written(banded.join(centres, "bucket"), "buckets")
-    texts = written(docs.join(small(written(members.select(F.col("rep").alias("doc_id")).distinct(), "bucketed")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = written(docs.join(small(written(members.select(F.col("rep").alias("doc_id")).distinct(), "bucketed")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", wide=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")) for c in ("low", "high"))

@@ -125,7 +125,7 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
         new = F.col("doc_id") > (0 if low is None else (low + high) // 2)
     rows = rows.withColumn("new", F.coalesce(new, F.lit(False)))
     text = F.coalesce("text", F.lit(""))
-    digests = written(rows.select("doc_id", "new", F.char_length(text).alias("n_code"), F.sha2(_normal(F.col("text")).cast("binary"), 256).alias("digest")), "digests")
+    digests = written(rows.select("doc_id", "new", F.char_length(text).alias("n_code"), F.sha2(_normal(F.col("text")).cast("binary"), 256).alias("digest")), "digests", wide=True)
     old, batch = (written(_groups(digests.filter(c)), "buckets") for c in (~F.col("new"), F.col("new")))
     n = old.count()
     shards = max(1, -(-n // shard))
@@ -139,7 +139,7 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
     out = digests.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"))
     copies = written(groups.filter("group_size > 1"), "copies")
     several = rows.select("doc_id", _normal(F.col("text")).alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(small(copies, 200_000), "digest")
-    several = written(several.select("digest", "doc_id", "norm", "keep_id"), "copied")
+    several = written(several.select("digest", "doc_id", "norm", "keep_id"), "copied", wide=True)
     stays = several.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays"))
     clash = written(several.join(stays, "digest").filter("norm <> stays").select("digest").distinct(), "clashes")
     if clash.limit(1).count():

@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor loses none of it."""
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and a lost executor loses none of it.
+
+    Written by at most four tasks a core of the cluster, for most of these tables are small and every file costs a
+    round trip and a process on the local file system; `wide` keeps df's own partitions, for tables as large as the corpus.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if wide else df.coalesce(4 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
