@@ -73,7 +73,8 @@ class Templater:
         ended[1:] = self.stop[raw[end[:-1] - 1]] | (lines[begin[1:]] > lines[end[:-1]])
         before = np.zeros(len(begin), bool)
         before[1:] = number[:-1]
-        name = capital[first] & ~ended & (nd == 0) & (nl > 1)
+        small = sums((source >= 0x61) & (source <= 0x7A))  # texts in capitals hold no more names than others
+        name = capital[first] & ~ended & (nd == 0) & (small[end] > small[begin])
         unit = before & np.isin(word, self.units) if hasattr(self, "units") else np.zeros(len(begin), bool)
         out = np.where(number, _NUMBER, np.where(both, _BOTH, np.where(unit, _UNIT, np.where(name, _NAME, word))))
         return out[heard], word[heard]
