@@ -18,7 +18,7 @@ def ols(df: DataFrame, y: str, xs: list[str], date: str = "date") -> dict[str, o
     Bartlett weights over max(1, int(4 (n / 100)^(2 / 9))) lags, without a small-sample factor. Scores are lagged by a
     window over dates, so the driver sees k by k sums a lag and nothing else.
     """
-    df = df.select(date, y, *xs).na.drop()
+    df = df.select(date, y, *xs).na.drop().persist()  # a row a date, read once for each sum
     one = [F.lit(1.0), *(F.col(x) for x in xs)]
     n = df.count()
     k = len(one)
@@ -39,6 +39,7 @@ def ols(df: DataFrame, y: str, xs: list[str], date: str = "date") -> dict[str, o
     for lag in range(1, lags + 1):
         gamma = _moments(scored.select(*s, *(F.lag(x, lag).over(w).alias(f"l{i}") for i, x in enumerate(s))), s, [F.col(f"l{i}") for i in range(k)])
         meat += (1 - lag / (lags + 1)) * (gamma + gamma.T)
+    df.unpersist()
     plain = np.sqrt(np.maximum(0, np.diag(inverse) * sse / (n - k)))
     robust = np.sqrt(np.maximum(0, np.diag(inverse @ meat @ inverse)))
     r2 = 1 - sse / sst if sst > 0 else 0.0

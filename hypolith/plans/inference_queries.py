@@ -159,7 +159,7 @@ def g9(spark, sf):
 @query("g10_factor_comparison")
 def g10(spark, sf):
     """How much of the return the factors explain, and whether it is recycled from them."""
-    f = factors(spark, sf)
+    f = factors(spark, sf).persist()
     r = ols(f, "ret", ["momentum", "reversal", "low_vol"])
     raw = f.agg(F.avg("ret") * 252).first()[0]
     alpha = float(r["beta"][0]) * 252

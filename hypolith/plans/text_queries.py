@@ -208,7 +208,7 @@ def t30(spark, sf):
     return d.select("ticker", "reason", R(F.coalesce(F.col("final") / F.col("prev") - 1, table[F.col("reason")])).alias("delisting_return"))
 
 
-@query("a26_strip_html", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages".replace("'\"\"'", "'\"'"))
+@query("a26_strip_html", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages")
 def a26(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", X.stripped_html(F.col("html")).alias("text"))
 
