@@ -17,9 +17,9 @@ from hypolith.sources import tables as T
 R = lambda c, n=6: F.round(c, n)
 
 
-@query("b1_universe_filter", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#22') AND p_retailprice >= 1000 AND p_size >= 10")
+@query("b1_universe_filter", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#22') AND p_retailprice >= 950 AND p_size >= 10")
 def b1(spark, sf):
-    return T.table(spark, sf, "part").filter(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#21", "Brand#22") & (F.col("p_retailprice") >= 1000) & (F.col("p_size") >= 10)).select("p_partkey", "p_brand")
+    return T.table(spark, sf, "part").filter(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#21", "Brand#22") & (F.col("p_retailprice") >= 950) & (F.col("p_size") >= 10)).select("p_partkey", "p_brand")
 
 
 @query("b2_standard_tickers", "SELECT doc_id, w AS ticker FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z.-]+'))) AS w FROM documents) WHERE length(w) <= 5 AND regexp_matches(replace(replace(w, '-', ''), '.', ''), '^[A-Za-z]+$') AND NOT regexp_matches(w, '[.-][WRUA]$')")
@@ -45,7 +45,7 @@ def b4(spark, sf):
     return T.table(spark, sf, "events").groupBy("user_id").agg(f.alias("frequency"))
 
 
-ROUTES = [("pronoun", "pronoun_divergence"), ("risk|anti", "risk_factor_removal"), ("topic|tion", "topic_velocity"), ("severity|credib|semantic|ing", "model")]
+ROUTES = [("econ", "pronoun_divergence"), ("medium", "risk_factor_removal"), ("promo", "topic_velocity"), ("large|small", "model")]
 
 
 @query("b5_extractor_routing", "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{n}'" for p, n in ROUTES) + " ELSE 'linguistic' END AS extractor FROM part")
@@ -88,9 +88,10 @@ def j1(spark, sf):
     return o.filter("known > observed").select("o_orderkey", F.datediff("known", "observed").cast("long").alias("days_ahead"))
 
 
-@query("j2_survivorship_months", "SELECT date_trunc('month', date)::DATE AS month, count(*) AS n FROM lp GROUP BY 1 HAVING count_if(ticker % 9 = 0) = 0", "lp")
+@query("j2_survivorship_dates", "SELECT date, count(*) AS n FROM lp GROUP BY 1 HAVING count_if(ticker % 9 = 0) = 0", "lp")
 def j2(spark, sf):
-    return T.long_prices(spark, sf).groupBy(F.to_date(F.trunc("date", "month")).alias("month")).agg(F.count("*").alias("n"), F.count_if(F.col("ticker") % 9 == 0).alias("gone")).filter("gone = 0").drop("gone")
+    """Dates of the panel on which no name is there that was delisted later (here: every ninth)."""
+    return T.long_prices(spark, sf).groupBy("date").agg(F.count("*").alias("n"), F.count_if(F.col("ticker") % 9 == 0).alias("gone")).filter("gone = 0").drop("gone")
 
 
 @query("j3_ticker_reuse", "SELECT o_custkey % 300 AS ticker, count(DISTINCT o_custkey) AS entities, list_sort(list(DISTINCT o_custkey)) AS ids FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1")

@@ -84,7 +84,6 @@ def c17(spark, sf):
     return matched(d, "doc_id", "bad", "date", rounds=8)
 
 
-@F.pandas_udf("double")
 def trimmed_mean(x: pd.Series) -> float:
     """A user's statistic over a sample, by Arrow."""
     k = int(len(x) * 0.1)
@@ -93,7 +92,7 @@ def trimmed_mean(x: pd.Series) -> float:
 
 @query("u1_u3_user_statistics", "SELECT l_returnflag, round(avg(x), 4) AS trimmed FROM (SELECT l_returnflag, l_quantity AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1) GROUP BY 1")
 def u1(spark, sf):
-    return T.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(trimmed_mean("l_quantity"), 4).alias("trimmed"))
+    return T.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.pandas_udf(trimmed_mean, "double")("l_quantity"), 4).alias("trimmed"))
 
 
 @query("u4_extractor_plugins", "SELECT doc_id, length(text) AS n_chars, CAST(len(regexp_extract_all(lower(text), '[a-z]+')) AS INTEGER) AS n_words FROM documents")
