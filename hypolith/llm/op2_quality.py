@@ -17,7 +17,11 @@ LABELLED, UNLABELLED, ROUNDS, SURE = 6000, 4000, 3, 0.95
 #: Width of the hashed features of the text and of the page's data.
 TEXT, META = 1 << 18, 1 << 10
 #: Documents of the sample that a feature must be active in; rarer ones say nothing.
-SEEN = 4
+SEEN = 3
+#: Weight of the squared weights in the fit.
+RIDGE = 2e-3
+#: Parts that calibration is done by; up to so many labelled rows by all of them, beyond by the first.
+FOLDS, FEW = 5, 2000
 #: The document columns that are read; those missing or null count as unknown.
 COLUMNS = ("text", "lang", "source", "n_chars")
 FEATURES = "text_at array<int>, meta_at array<int>"
@@ -81,18 +85,30 @@ class Rows:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
 
-    def fit(self, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, steps: int = 150, ridge: float = 1e-4) -> np.ndarray:
-        """Logistic regression by adaptive gradient steps over all rows; the last weight is the constant."""
-        w = np.zeros(self.width + 1) if start is None else start.copy()
-        size, total = np.zeros(self.width + 1), max(1e-9, weight.sum())
-        rate = 0.3
+    def contrast(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The log ratio of each feature's share among the ones to that among the zeros, one example added to each."""
+        shares = []
+        for part in (weight * y, weight * (1 - y)):
+            shares.append((np.bincount(self.at, part[self.row], self.width) + 1) / (part.sum() + 2))
+        return np.log(shares[0] / shares[1])
+
+    def fit(self, y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = RIDGE) -> np.ndarray:
+        """Logistic regression on features scaled by their contrast, by adaptive gradient steps over all rows.
+
+        The scale makes telling features cheap, so that few labels are enough. The weights that are returned belong to
+        the plain features; the last is the constant.
+        """
+        scale = self.contrast(y, weight)
+        value = scale[self.at]
+        w, size = np.zeros(self.width + 1), np.zeros(self.width + 1)
+        total, rate = max(1e-9, weight.sum()), 0.1
         for _ in range(steps):
-            r = weight * (_chance(self.dot(w[:-1]) + w[-1]) - y) / total
-            g = np.append(np.bincount(self.at, r[self.row], self.width), r.sum())
+            r = weight * (_chance(np.bincount(self.row, w[self.at] * value, self.n) + w[-1]) - y) / total
+            g = np.append(np.bincount(self.at, r[self.row] * value, self.width), r.sum())
             g[:-1] += ridge * w[:-1]
             size += g * g
             w -= rate * g / (np.sqrt(size) + 1e-8)
-        return w
+        return np.append(w[:-1] * scale, w[-1])
 
     def odds(self, w: np.ndarray) -> np.ndarray:
         return self.dot(w[:-1]) + w[-1]
@@ -113,32 +129,39 @@ def _scaled(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def cotrained(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def _apart(views: tuple[Rows, Rows], given: list[np.ndarray], weight: list[np.ndarray], known: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, odds by view) of known rows by fits that didn't see them: every fold of few rows, the first of many."""
+    rows, odds = np.zeros(0, np.int64), np.zeros((0, 2))
+    for k in range(FOLDS) if known.sum() <= FEW else (0,):
+        at = np.flatnonzero(known & (fold == k))
+        found = [v.odds(v.fit(g, np.where(known & (fold == k), 0.0, w)))[at] for v, g, w in zip(views, given, weight, strict=True)]
+        rows, odds = np.append(rows, at), np.concatenate([odds, np.column_stack(found)])
+    return rows, odds
+
+
+def cotrained(views: tuple[Rows, Rows], y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Weights of both views, the calibration of each, and that of both together.
 
-    y: 0 or 1, -1 where unknown; held: labelled rows kept out of the fit, for calibration. In every round each view
-    labels the unknown rows of which it is sure, for the other view's next fit. A class without an example gives
-    weights of zero, so that nothing is told apart.
+    y: 0 or 1, -1 where unknown; fold: 0 to FOLDS - 1, by which rows are kept out of the fits that calibrate them. In
+    every round each view labels the unknown rows of which it is sure, for the other view's next fit. With one class
+    alone the weights are zero, so that nothing is told apart.
     """
-    fit = (y >= 0) & ~held
-    if len(set(y[fit])) < 2:
+    known = y >= 0
+    if len(set(y[known])) < 2:
         return [np.zeros(v.width + 1) for v in views], [np.zeros(2)] * 2, np.zeros(3)
-    given = [np.where(fit, y, 0.5) for _ in views]
-    weight = [fit.astype(float) for _ in views]
-    found = [v.fit(g, w) for v, g, w in zip(views, given, weight, strict=True)]
-    check = held & (y >= 0)
-    check = check if len(set(y[check])) == 2 else fit
-    scale = [_scaled(v.odds(w)[check][:, None], y[check]) for v, w in zip(views, found, strict=True)]
-    for _ in range(rounds):
-        for me, other in ((0, 1), (1, 0)):
-            p = _chance(scale[me][0] * views[me].odds(found[me]) + scale[me][1])
-            told = (y < 0) & ((p >= sure) | (p <= 1 - sure))
-            given[other] = np.where(told, p >= 0.5, np.where(fit, y, 0.5))
-            weight[other] = fit + 0.3 * told
-        found = [v.fit(g, w, s, 40) for v, g, w, s in zip(views, given, weight, found, strict=True)]
-        scale = [_scaled(v.odds(w)[check][:, None], y[check]) for v, w in zip(views, found, strict=True)]
-    both = np.column_stack([s[0] * v.odds(w) + s[1] for v, w, s in zip(views, found, scale, strict=True)])
-    return found, scale, _scaled(both[check], y[check])
+    given, weight = [np.where(known, y, 0.5) for _ in views], [known.astype(float) for _ in views]
+    for k in range(rounds + 1):
+        rows, odds = _apart(views, given, weight, known, fold) if k in (0, rounds) else (rows, odds)
+        scale = [_scaled(odds[:, i : i + 1], y[rows]) for i in range(2)] if k in (0, rounds) else scale
+        found = [v.fit(g, w) for v, g, w in zip(views, given, weight, strict=True)]
+        if k < rounds:
+            for me, other in ((0, 1), (1, 0)):
+                p = _chance(scale[me][0] * views[me].odds(found[me]) + scale[me][1])
+                told = ~known & ((p >= sure) | (p <= 1 - sure))
+                given[other] = np.where(told, p >= 0.5, np.where(known, y, 0.5))
+                weight[other] = known + 0.3 * told
+    both = np.column_stack([odds[:, i] * s[0] + s[1] for i, s in enumerate(scale)])
+    return found, scale, _scaled(both, y[rows])
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -166,8 +189,8 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabe
     viewed = here.select("quality", "toxic", F.xxhash64(id_col).alias("h"), F.pandas_udf(_viewed, FEATURES)(*COLUMNS).alias("v")).select("quality", "toxic", "h", "v.*")
     pdf = written(viewed, "views").toPandas()
     rows = tuple(Rows(list(pdf[c]), width) for c, width in (("text_at", TEXT), ("meta_at", META)))
-    held = (pdf["h"].to_numpy() % 5 == 0) if len(pdf) else np.zeros(0, bool)
-    return {head: cotrained(rows, pdf[head].to_numpy(float), held) for head in ("quality", "toxic")}
+    fold = pdf["h"].to_numpy(np.int64) % FOLDS
+    return {head: cotrained(rows, pdf[head].to_numpy(float), fold) for head in ("quality", "toxic")}
 
 
 def scorer(model: dict[str, tuple]) -> Callable[..., Column]:
