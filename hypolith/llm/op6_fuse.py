@@ -140,9 +140,11 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
     copies = written(groups.filter("group_size > 1"), "copies")
     several = rows.select("doc_id", _normal(F.col("text")).alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(small(copies, 200_000), "digest")
     several = written(several.select("digest", "doc_id", "norm", "keep_id"), "copied", wide=True)
-    stays = several.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays"))
-    clash = written(several.join(stays, "digest").filter("norm <> stays").select("digest").distinct(), "clashes")
+    # A row a digest, written, so that the join below has plain sides and a hot digest's rows can be dealt to many tasks.
+    stays = written(several.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays")), "stays")
+    clash = written(several.join(stays, "digest").filter("norm <> stays").select("digest"), "clashes")
     if clash.limit(1).count():
+        clash = clash.distinct()
         own = several.join(clash, "digest", "left_semi").join(digests.select("doc_id", "n_code").distinct(), "doc_id").withColumn("text_sha256", F.col("digest"))
         own = own.withColumn("digest", F.concat("digest", "norm"))
         own = own.select("doc_id", "digest", "text_sha256").distinct().join(_groups(own), "digest").select("doc_id", (-F.col("best.less")).alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
