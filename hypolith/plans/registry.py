@@ -42,6 +42,7 @@ from hypolith.plans import (  # noqa: E402
     inference_queries,  # noqa: F401
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
+    report_queries,  # noqa: F401
     source_queries,  # noqa: F401
     statistics_queries,  # noqa: F401
     streaming_queries,  # noqa: F401
