@@ -18,6 +18,8 @@ _MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 _SAYS = re.compile(r"(?i)^\s*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió|.{1,80}\b(?:wrote|said))\s*:\s*$")
 _OTHER = re.compile(r"[^\w]+")
 SHARE = 0.5
+#: Turns that one task of the search for the turn before looks at together.
+STRETCH = 256
 
 
 def normal(text: str) -> str:
@@ -65,6 +67,16 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(quotes, kind)], ["conv_id", "turn", "role", "text", "own", "quotes"])
 
 
+def _previous(turns: DataFrame) -> DataFrame:
+    """turns with `last`, the turn before in the conversation: within stretches of STRETCH numbers, and from one
+    stretch's end to the next's begin, so that a long conversation is dealt to many tasks."""
+    s = turns.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    ends = s.groupBy("conv_id", "stretch").agg(F.max("turn").alias("end"))
+    ends = ends.select("conv_id", "stretch", F.expr("lag(end) OVER (PARTITION BY conv_id ORDER BY stretch)").alias("before"))
+    s = s.withColumn("here", F.expr("lag(turn) OVER (PARTITION BY conv_id, stretch ORDER BY turn)"))
+    return s.join(ends, ["conv_id", "stretch"]).select("conv_id", "turn", F.coalesce("here", "before").alias("last"))
+
+
 def threaded(messages: DataFrame, share: float = SHARE, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, thread_id, depth, parent_conv, parent_turn, n_quotes, n_linked, chat) for each message.
 
@@ -97,8 +109,7 @@ def threaded(messages: DataFrame, share: float = SHARE, conv: str = "conv_id", t
     best = votes.groupBy("conv_id", "turn", "passage", "level", "lines").agg(F.max(F.struct("n", "source")).alias("b")).filter(F.col("b.n") >= share * F.col("lines"))
     linked = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "passage", F.col("b.source").alias("source"))).alias("s")).select("conv_id", "turn", "n_linked", F.col("s.source").alias("source"))
     linked = written(linked, "answers")
-    before = F.expr("lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)")
-    tree = parts.select("conv_id", "turn", before.alias("last")).join(linked, ["conv_id", "turn"], "left")
+    tree = _previous(parts.select("conv_id", "turn")).join(linked, ["conv_id", "turn"], "left")
     up = F.coalesce("source", F.when(F.col("last").isNotNull(), F.struct("conv_id", F.col("last").alias("turn"))))
     tree = written(tree.select("conv_id", "turn", up.alias("up"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "tree")
     across = tree.filter("up is not null and up.conv_id <> conv_id").select(F.col("up.conv_id").alias("low"), F.col("conv_id").alias("high")).distinct()
@@ -107,7 +118,9 @@ def threaded(messages: DataFrame, share: float = SHARE, conv: str = "conv_id", t
     now = written(tree.select("conv_id", "turn", F.col("up").alias("at"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "depths")
     while now.filter("at is not null").limit(1).count():
         jump = now.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        now = written(now.join(jump, (F.col("at.conv_id") == F.col("c")) & (F.col("at.turn") == F.col("t")), "left").select("conv_id", "turn", F.col("next").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        # Only those below the top move on, so that one long conversation doesn't move all others with it.
+        below = now.filter("at is not null").join(jump, (F.col("at.conv_id") == F.col("c")) & (F.col("at.turn") == F.col("t")))
+        now = written(below.select("conv_id", "turn", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(now.filter("at is null")), "depths")
     out = parts.join(tree, ["conv_id", "turn"]).join(now.select("conv_id", "turn", "depth"), ["conv_id", "turn"]).join(threads, F.col("conv_id") == F.col("node"), "left")
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "text", F.lit("\n"))
     out = out.select("conv_id", "turn", "role", "text", F.coalesce("root", "conv_id").alias("thread_id"), "depth", F.col("up.conv_id").alias("parent_conv"), F.col("up.turn").alias("parent_turn"), F.size("quotes").cast("long").alias("n_quotes"), "n_linked", chat.alias("chat"))

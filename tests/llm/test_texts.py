@@ -287,3 +287,10 @@ def test_threads_query_is_the_table_where_nothing_is_quoted(spark):
     c = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     rows = QUERIES["op10_quotes"](spark, SF).collect()
     assert {(r.conv_id, r.turn): r.text for r in rows if not r.n_quotes} == {k: "\n".join(v.split("\n")).strip() for k, v in c.items() if not re.search("^ {0,3}>", v, re.M)}
+
+
+def test_threads_of_a_long_conversation_with_gaps(spark):
+    turns = [t for t in range(0, 1500) if t % 7 and not 300 < t < 800]
+    rows = threaded(spark.createDataFrame([(1, t, "user", f"m{t}") for t in turns], "conv_id long, turn long, role string, text string")).collect()
+    got = {r.turn: (r.parent_turn, r.depth) for r in rows}
+    assert got == {t: (turns[i - 1] if i else None, i) for i, t in enumerate(turns)}
