@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hypolith.llm.shingles import Shingler
+from hypolith.llm.shingles import LOWER, Shingler
 from hypolith.llm.tables import table, written
 
 #: Labelled documents to fit on, unlabelled ones that the views label for each other, rounds, and the least confidence.
@@ -27,6 +27,11 @@ COLUMNS = ("text", "lang", "source", "n_chars")
 FEATURES = "text_at array<int>, meta_at array<int>"
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _bin(x: float, width: float) -> int:
     return int(min(63, max(0.0, x) // width))
 
@@ -46,14 +51,14 @@ class Viewer:
 
     def text(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        words, n = self.shingler.words(text), max(1, len(raw))
+        words, n = self.shingler.words(text, _BARE), max(1, len(raw))
         kinds = np.bincount(_CLASS[raw], minlength=6) / n
+        at = _distinct((words >> np.uint64(32)).astype(np.int32) & (TEXT - 1))
         shape = [self._named(k, _bin(v, w)) for k, v, w in (
             ("symbols", kinds[1], 0.01), ("upper", kinds[2], 0.03), ("digits", kinds[3], 0.02), ("blank", kinds[4], 0.02), ("stops", kinds[5], 0.01),
-            ("same", (words[1:] == words[:-1]).mean() if len(words) > 1 else 0, 0.02), ("distinct", len(np.unique(words)) / max(1, len(words)), 0.05), ("long", n / max(1, len(words)), 0.5),
+            ("same", (words[1:] == words[:-1]).mean() if len(words) > 1 else 0, 0.02), ("distinct", len(at) / max(1, len(words)), 0.05), ("long", n / max(1, len(words)), 0.5),
         )]
-        bare = self.shingler.words(text.translate(_BARE))
-        return np.unique(np.concatenate([(bare >> np.uint64(32)).astype(np.int64) % TEXT, np.array(shape) % TEXT])).astype(np.int32)
+        return _distinct(np.append(at, np.array(shape, np.int64).astype(np.int32) & (TEXT - 1)))
 
     def meta(self, text: str, lang: object, source: object, chars: object) -> np.ndarray:
         chars = len(text) if chars is None or chars != chars else chars
@@ -64,8 +69,8 @@ class Viewer:
         return np.unique(np.array([self._named(*x) for x in names]) % META).astype(np.int32)
 
 
-#: Punctuation that is taken off words.
-_BARE = dict.fromkeys(map(ord, ".,;:!?\"'()"), " ")
+#: Lower-cases A-Z and takes punctuation off words.
+_BARE = bytes(0x20 if chr(i) in ".,;:!?\"'()" else b for i, b in enumerate(LOWER))
 _CLASS = np.zeros(256, np.int64)
 for _chars, _kind in (("#$%&*|<>{}[]^~=+_/\\@!", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\n\r\x0b\x0c", 4), (".,;:?", 5)):
     _CLASS[[ord(c) for c in _chars]] = _kind

@@ -36,9 +36,9 @@ class Shingler:
             up = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))])
             self.powers, self.inverses = up(self.step), up(self.inverse)
 
-    def words(self, text: str | None) -> np.ndarray:
-        """A hash for each maximal run of characters other than U+0020 and U+0009 to U+000D, A-Z lower-cased."""
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
+    def words(self, text: str | None, table: bytes = LOWER) -> np.ndarray:
+        """A hash for each maximal run of characters other than U+0020 and U+0009 to U+000D, after `table` maps bytes."""
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(table), np.uint8)
         if not len(raw):
             return np.empty(0, np.uint64)
         self._grow(len(raw) + 1)
