@@ -85,16 +85,15 @@ class Rows:
         self.at = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
         self.row = np.repeat(np.arange(self.n), self.size)
         often = np.bincount(self.at, minlength=width)[self.at] >= min(SEEN, self.n)
-        self.at, self.row = self.at[often], self.row[often]
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], self.n)
+        # Only the features that are left get numbers to fit; names holds their positions.
+        self.names, self.at = np.unique(self.at[often], return_inverse=True)
+        self.row = self.row[often]
 
     def contrast(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The log ratio of each feature's share among the ones to that among the zeros, one example added to each."""
         shares = []
         for part in (weight * y, weight * (1 - y)):
-            shares.append((np.bincount(self.at, part[self.row], self.width) + 1) / (part.sum() + 2))
+            shares.append((np.bincount(self.at, part[self.row], len(self.names)) + 1) / (part.sum() + 2))
         return np.log(shares[0] / shares[1])
 
     def fit(self, y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = RIDGE) -> np.ndarray:
@@ -105,18 +104,20 @@ class Rows:
         """
         scale = self.contrast(y, weight)
         value = scale[self.at]
-        w, size = np.zeros(self.width + 1), np.zeros(self.width + 1)
+        w, size = np.zeros(len(self.names) + 1), np.zeros(len(self.names) + 1)
         total, rate = max(1e-9, weight.sum()), 0.1
         for _ in range(steps):
             r = weight * (_chance(np.bincount(self.row, w[self.at] * value, self.n) + w[-1]) - y) / total
-            g = np.append(np.bincount(self.at, r[self.row] * value, self.width), r.sum())
+            g = np.append(np.bincount(self.at, r[self.row] * value, len(self.names)), r.sum())
             g[:-1] += ridge * w[:-1]
             size += g * g
             w -= rate * g / (np.sqrt(size) + 1e-8)
-        return np.append(w[:-1] * scale, w[-1])
+        out = np.zeros(self.width + 1)
+        out[self.names], out[-1] = w[:-1] * scale, w[-1]
+        return out
 
     def odds(self, w: np.ndarray) -> np.ndarray:
-        return self.dot(w[:-1]) + w[-1]
+        return np.bincount(self.row, w[self.names][self.at], self.n) + w[-1]
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
