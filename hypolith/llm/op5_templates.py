@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ class Templater:
         return self.hasher.windows(template), view(word), view(template != word)
 
 
-HITS = "id long, window long, at long, words array<long>, slots array<boolean>"
+HITS = "id long, part long, window long, at long, words array<long>, slots array<boolean>"
 
 
 def _windows(known: np.ndarray | None):
@@ -99,20 +100,128 @@ def _windows(known: np.ndarray | None):
         t = Templater()
         for batch in batches:
             for start in range(0, len(batch), 256):
-                ids, found, at, words, slots = [], [], [], [], []
+                ids, parts, found, at, words, slots = [], [], [], [], [], []
                 for i, text in zip(*batch.slice(start, 256).columns, strict=True):
-                    h, w, s = t.windows(text.as_py())
+                    text = text.as_py()
+                    h, w, s = t.windows(text)
                     if known is not None:
                         hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) and len(h) else np.empty(0, np.int64)
                     else:
                         hit = np.arange(len(h))
+                    if not len(hit):
+                        continue
                     ids += [i.as_py()] * len(hit)
+                    parts += [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(hit)
                     found.append(h[hit].view(np.int64))
                     at.append(hit)
                     words += list(w[hit].view(np.int64))
                     slots += list(s[hit])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(at), pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.bool_()))], ["id", "window", "at", "words", "slots"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(at), pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.bool_()))], ["id", "part", "window", "at", "words", "slots"])
+
+    return run
+
+
+def _share(was: np.ndarray, filled: np.ndarray) -> float:
+    """Share of the distinct values in `was` that meet one value in `filled` only; 1 without any."""
+    if not len(was):
+        return 1.0
+    pairs = np.unique(np.stack([was, filled], 1), axis=0)
+    return float(np.mean(np.unique(pairs[:, 0], return_counts=True)[1] == 1))
+
+
+def _occurrence(at: np.ndarray, code: np.ndarray, words: np.ndarray, place: np.ndarray, item: np.ndarray, was: np.ndarray, slots: np.ndarray, coverage: float, consistent: float) -> float | None:
+    """The slot share of one occurrence of the item in a text that has `coverage` of its windows and is consistent.
+
+    at, code and words are the text's hits (by code and place), place, item, was and slots the item's windows in order.
+    An occurrence is an offset between text and item: each of the item's windows takes the hit that is nearest to its
+    own place there, at that very place or up to WINDOW words or half of the item off, as words are put in or left out.
+    A hit of placeholders only is no evidence, so one window at least must hold a word.
+    """
+    n = len(item)
+    spans = np.searchsorted(code, item), np.searchsorted(code, item, "right")
+    low = int(at.min() - place.max())
+    count, worded = np.zeros((2, int(at.max() - place.min()) - low + 1), np.int64)
+    for i in range(n):
+        to = at[spans[0][i] : spans[1][i]] - place[i] - low
+        count[to] += 1
+        if not slots[i].all():
+            worded[to] += 1
+    plain = slots.all()
+    for off in sorted({0, WINDOW, max(WINDOW, n // 2)}):
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count, worded)]
+        begin, end = np.maximum(np.arange(len(count)) - off, 0), np.minimum(np.arange(len(count)) + off + 1, len(count))
+        near, told = (x[end] - x[begin] for x in sums)
+        tries = np.flatnonzero((count > 0) & (near >= coverage * n) & ((told > 0) | plain))
+        # Order by code and place at once, so that one search finds each window's neighbours.
+        wide = int(at.max() - min(low, 0)) + n + int(place.max()) + 2 * off + 2
+        key = code * wide + at
+        for d in tries[np.argsort(-count[tries], kind="stable")] + low:
+            want = np.clip(place + d, -off, wide - off - 1)
+            right = np.searchsorted(key, item * wide + want)
+            left = np.maximum(right - 1, 0)
+            far = lambda j, ok: np.where(ok, np.abs(at[np.minimum(j, len(at) - 1)] - want), off + 1)
+            fl, fr = far(left, (right - 1 >= spans[0]) & (right - 1 < spans[1])), far(right, (right < spans[1]) & (right >= spans[0]))
+            hit = np.minimum(fl, fr) <= off
+            if hit.sum() < coverage * n or not (plain or (~slots[hit].all(1)).any()):
+                continue
+            chosen = np.where(fl < fr, left, np.minimum(right, len(at) - 1))[hit]
+            share = _share(was[hit][slots[hit]], words[chosen][slots[hit]])
+            if share >= consistent:
+                return share
+    return None
+
+
+def _judged(coverage: float, consistent: float):
+    """(id, item, coverage, slot_share) of a document's hits and an item's windows, or no row where it isn't held."""
+
+    def run(hits: pa.Table, body: pa.Table) -> pa.Table:
+        out = {"id": [], "item": [], "coverage": [], "slot_share": []}
+        column = lambda t, name: t.column(name).to_numpy()
+        if len(hits) and len(body):
+            share, best = None, 0.0
+            parts, wide = column(body, "part"), np.array([len(w) for w in column(hits, "words")])
+            for one in np.unique(parts):
+                mine = np.flatnonzero(parts == one)
+                mine = mine[np.argsort(column(body, "at")[mine])]
+                place, names = column(body, "at")[mine], column(body, "window")[mine]
+                was, slots = np.stack(column(body, "words")[mine]), np.stack(column(body, "slots")[mine]).astype(bool)
+                same = np.flatnonzero(wide == was.shape[1])
+                if not len(same):
+                    continue
+                texts, at, window, words = (column(hits, x)[same] for x in ("part", "at", "window", "words"))
+                words = np.stack(words)
+                # Where all windows are placeholders only, values must be the item's own.
+                own, theirs = (np.hstack([x[:, None], y]) if slots.all() else x[:, None] for x, y in ((names, was), (window, words)))
+                code = np.unique(np.vstack([own, theirs]), axis=0, return_inverse=True)[1].reshape(-1)
+                item, code = code[: len(own)], code[len(own) :]
+                found = np.isin(code, item)
+                best = max(best, len(np.unique(code[found])) / len(np.unique(item)))
+                if best < coverage:
+                    continue
+                # Once over all of the document, wherever the windows stand: every value must be filled alike everywhere.
+                order = np.argsort(item, kind="stable")
+                cells = []
+                for c in range(was.shape[1]):
+                    to = slots[order, c]
+                    pairs = [np.unique(np.stack([x, y], 1), axis=0) for x, y in ((item[order][to], was[order, c][to]), (code[found], words[found, c]))]
+                    a, b = pairs
+                    lo, hi = np.searchsorted(b[:, 0], a[:, 0]), np.searchsorted(b[:, 0], a[:, 0], "right")
+                    # A value that meets one value is told apart from one that meets more by the first and the last.
+                    ok = hi > lo
+                    cells += [np.stack([a[ok, 1], b[lo[ok], 1]], 1), np.stack([a[ok, 1], b[hi[ok] - 1, 1]], 1)]
+                cells = np.vstack(cells)
+                pooled = _share(cells[:, 0], cells[:, 1])
+                share = max(share or 0.0, pooled) if pooled >= consistent else share
+                for text in np.unique(texts) if share is None else []:
+                    rows = np.flatnonzero(found & (texts == text))
+                    rows = rows[np.lexsort([at[rows], code[rows]])]
+                    if len(rows) and (one_share := _occurrence(at[rows], code[rows], words[rows], place, item, was, slots, coverage, consistent)) is not None:
+                        share = one_share
+                        break
+            if share is not None:
+                out = {"id": [hits.column("id")[0].as_py()], "item": [hits.column("item")[0].as_py()], "coverage": [best], "slot_share": [share]}
+        return pa.table(out, pa.schema([("id", pa.int64()), ("item", pa.int64()), ("coverage", pa.float64()), ("slot_share", pa.float64())]))
 
     return run
 
@@ -121,8 +230,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(doc_id, item_ids, coverage, slot_share, n_items) for each document id that holds a benchmark item.
 
     A document holds an item if it has at least `coverage` of the item's distinct template windows and at least
-    `consistent` of the item's slot values (the number, unit or name that the item has there) are always filled by
-    one and the same value in the document, so renamed questions count and chance meetings of templates don't.
+    `consistent` of the item's slot values (the number, unit or name that the item has there) are filled by one and the
+    same value, everywhere in the document or in one occurrence of the item that has `coverage` of its windows. So
+    renamed questions count, also beside others of the same template, and chance meetings of templates don't. An item of
+    nothing but slots counts by its own values only.
     Documents and items without words match nothing; items under WINDOW words are one window and match only texts of
     just those words. Null ids match nothing. Repeated documents and items count once. Nothing else is read.
 
@@ -131,21 +242,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    known = written(items.mapInArrow(_windows(None), HITS), "items")
+    known = written(items.mapInArrow(_windows(None), HITS).dropDuplicates(["id", "part", "at"]), "items")
     total = known.groupBy("id").agg(F.count_distinct("window").alias("all")).withColumnRenamed("id", "item")
     distinct = known.select("window").distinct()
     few = distinct.limit(screen + 1).count() <= screen
     held = np.sort(distinct.toPandas()["window"].to_numpy(np.int64).view(np.uint64)) if few else None
     hits = docs.mapInArrow(_windows(held), HITS)
-    sides = small(known.select("window", F.col("id").alias("item"), F.col("words").alias("was"), "slots").dropDuplicates(["window", "item"]), 200_000)
-    met = hits.select("id", "window", "words").join(sides, "window")
-    pairs = F.expr("transform(filter(arrays_zip(was, words, slots), x -> x.slots), x -> struct(x.was AS was, x.words AS words))")
-    met = met.groupBy("id", "item", "window").agg(F.flatten(F.collect_set(pairs)).alias("pairs"))
-    met = met.groupBy("id", "item").agg(F.count("*").alias("found"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    met = met.join(small(total), "item").withColumn("coverage", F.col("found") / F.col("all")).filter(F.col("coverage") >= coverage)
-    slots = F.expr("array_distinct(pairs.was)")
-    alike = F.expr("size(filter(array_distinct(pairs.was), w -> size(filter(pairs, p -> p.was = w)) = 1))")
-    met = met.withColumn("slot_share", F.when(F.size("pairs") > 0, alike / F.size(slots)).otherwise(1.0)).filter(F.col("slot_share") >= consistent)
+    hits = written(hits if few else hits.join(distinct, "window", "left_semi"), "hits")
+    sides = small(written(known.select("window", F.col("id").alias("item")).distinct(), "sides"), 200_000)
+    met = hits.select("id", "window").distinct().join(sides, "window").groupBy("id", "item").agg(F.count("*").alias("found"))
+    met = met.join(small(total), "item").filter(F.col("found") / F.col("all") >= coverage).select("id", "item")
+    met = written(met, "met")
+    held_by = hits.join(met, "id").join(sides, ["window", "item"], "left_semi").select("id", "item", "part", "at", "window", "words")
+    body = met.join(known.select(F.col("id").alias("item"), "part", "at", "window", "words", "slots"), "item").select("id", "item", "part", "at", "window", "words", "slots")
+    body = body.toDF(*body.columns)
+    met = held_by.groupBy("id", "item").cogroup(body.groupBy("id", "item")).applyInArrow(_judged(coverage, consistent), "id long, item long, coverage double, slot_share double")
     return met.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("slot_share").alias("slot_share")).withColumn("n_items", F.size("item_ids").cast("long"))
 
 

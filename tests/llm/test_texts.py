@@ -149,6 +149,25 @@ def test_contaminated_documents(spark):
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
 
 
+def test_contaminated_by_one_occurrence_of_several(spark):
+    item = "if a farmer sells 12 eggs to Anna and 30 eggs to Peter then how many eggs does Anna lack"
+    other = item.replace("12", "7").replace("30", "99").replace("Anna", "Maria").replace("Peter", "Tom")
+    third = item.replace("12", "41").replace("30", "8").replace("Anna", "Lena").replace("Peter", "Max")
+    longer = other.replace("then how", "then tell me now how")
+    odd = other.replace("Maria lack", "Robert lack").replace("7", "8")
+    sums = "add 3 and 5 and 7 and 9 and 11 and 13 and 17 and 19 to get the sum"
+    numbers = "1 2 3 5 8 13 21 34 55 89"
+    docs = [
+        (1, f"{item} {other}"), (2, f"{other} so. {third} {item[:40]}"), (3, f"{third}\n{longer}"), (4, f"{odd} {odd.replace('8', '9')}"),
+        (5, f"we {sums} of it"), (6, sums.replace("11", "12").replace("3 ", "4 ")), (7, f"{numbers} 4 7 1 9 9"), (8, "4 7 1 9 9 3 2 6 6 5 1 0 4"), (9, item), (9, other),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, sums), (3, numbers)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for screen in (1_000_000, 0):
+        got = {r.doc_id: list(r.item_ids) for r in contaminated(df, bench, screen=screen).collect()}
+        assert got == {1: [1], 2: [1], 3: [1], 5: [2], 6: [2], 7: [3], 9: [1]}
+
+
 def test_contaminated_query_finds_verbatim_items(spark):
     words = lambda x: " ".join(re.sub(r"[^\w\s]", " ", x.lower()).split())
     bench = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
