@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hypolith.llm.components import components
-from hypolith.llm.tables import table, written
+from hypolith.llm.tables import small, table, written
 
 #: A quoted line's marks, the line that announces a quotation, and the share of a passage's lines that a source must have.
 _MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
@@ -20,6 +20,8 @@ _OTHER = re.compile(r"[^\w]+")
 SHARE = 0.5
 #: Turns that one task of the search for the turn before looks at together.
 STRETCH = 256
+#: Messages that have a line, beyond which they are looked at by the sets of such lines that they have.
+HOT = 100
 
 
 def normal(text: str) -> str:
@@ -77,19 +79,51 @@ def _previous(turns: DataFrame) -> DataFrame:
     return s.join(ends, ["conv_id", "stretch"]).select("conv_id", "turn", F.coalesce("here", "before").alias("last"))
 
 
-def threaded(messages: DataFrame, share: float = SHARE, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def _sources(asked: DataFrame, lines: DataFrame, share: float, hot: int) -> DataFrame:
+    """(conv_id, turn, passage, level, source) for each passage of `asked` (a row a line) that has a source in `lines`.
+
+    All earlier holders of a line with up to `hot` holders are candidates. Those that share only lines with more are
+    alike if they have the same set of such lines: of each set the first message of all and the latest earlier one of
+    the own conversation are candidates, and no other can come before them.
+    """
+    key, before = ["conv_id", "turn", "passage"], F.struct("conv_id", "turn")
+    many = small(written(lines.groupBy("line").count().filter(F.col("count") > hot).select("line"), "hot"))
+    sets = written(lines.join(many, "line", "left_semi").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("line")).alias("set")), "sets")
+    told = asked.join(many, "line", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("line")).alias("hot"))
+    asking = written(asked.select(*key, "level", "lines").distinct().join(told, key, "left"), "passages")
+    # By rare lines: their number, and that of the hot lines of both.
+    rare = lines.join(many, "line", "left_anti").select("line", F.col("conv_id").alias("c"), F.col("turn").alias("t"))
+    met = asked.join(rare, "line").filter(F.struct("c", "t") < before).groupBy(*key, "c", "t").agg(F.count("*").alias("n"))
+    met = met.join(asking, key).join(sets.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "set"), ["c", "t"], "left")
+    met = met.withColumn("n", F.col("n") + F.coalesce(F.when(F.col("hot").isNotNull() & F.col("set").isNotNull(), F.size(F.array_intersect("hot", "set"))), F.lit(0)))
+    met = met.select(*key, "level", "lines", "n", "c", "t")
+    # By hot lines only: sets against sets, each once.
+    kinds = sets.groupBy("set").agg(F.min(before).alias("first"))
+    pairs = asking.filter("hot is not null").select("hot").distinct().select("hot", F.explode("hot").alias("line")).join(kinds.select("set", "first", F.explode("set").alias("line")), "line").groupBy("hot", "set", "first").agg(F.count("*").alias("n"))
+    alike = written(asking.join(written(pairs, "pairs"), "hot").filter(F.col("n") >= share * F.col("lines")).select(*key, "level", "lines", "n", "set", "first"), "alike")
+    first = alike.filter(F.col("first") < before).select(*key, "level", "lines", "n", F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("passage", "int"), ("level", "int"), ("lines", "int"), ("n", "long"))]
+    events = alike.select(*key, "level", "lines", "n", "set", F.lit(None).cast("long").alias("said")).unionByName(sets.join(alike.select("conv_id", "set").distinct(), ["conv_id", "set"], "left_semi").select("conv_id", "turn", *none, "set", F.col("turn").alias("said")))
+    last = F.expr("last(said, true) OVER (PARTITION BY conv_id, set ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    own = events.withColumn("t", last).filter("passage is not null and t is not null").select(*key, "level", "lines", "n", F.col("conv_id").alias("c"), "t")
+    rank = F.expr("row_number() OVER (PARTITION BY conv_id, turn, passage ORDER BY n DESC, c = conv_id DESC, CASE WHEN c = conv_id THEN t END DESC, c, t)")
+    found = met.unionByName(first).unionByName(own).filter(F.col("n") >= share * F.col("lines")).withColumn("rank", rank).filter("rank = 1")
+    return found.select(*key, "level", F.struct(F.col("c").alias("conv_id"), F.col("t").alias("turn")).alias("source"))
+
+
+def threaded(messages: DataFrame, share: float = SHARE, hot: int = HOT, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, thread_id, depth, parent_conv, parent_turn, n_quotes, n_linked, chat) for each message.
 
     text is the message without its quotations and their announcing lines; chat is it with the role's mark. A passage's
     lines, and all of it joined, are hashed in normal form and joined to the messages that have such lines as their
-    own: to the latest earlier one of the same conversation if there is one, else to the first message of all that has the line,
-    if that is earlier by (conv_id, turn). The source of a passage is the message with most of its lines, at least
-    `share` of them. A message answers the source of its outermost passage, else the turn before it in its
+    own and are earlier by (conv_id, turn). The source of a passage is the message with most of its lines, at least
+    `share` of them: among equals the latest of the same conversation, else the first of all. A message answers the
+    source of its outermost passage, else the turn before it in its
     conversation; conversations that are linked form one thread, named by its smallest conv_id. Sorted by
     (thread_id, depth, conv_id, turn), every reply follows what it answers.
 
-    Sources are reduced to one message a line, and one a line and conversation, before the join, so a line that very
-    many messages share meets each quotation once. Null texts are empty messages; rows with a null conv_id or turn are
+    Messages that share only lines of more than `hot` messages with a passage are reduced to one for each set of such
+    lines, and one for each set and conversation, so a line that very many messages share is never paired out. Null texts are empty messages; rows with a null conv_id or turn are
     dropped from threads and returned alone (depth 0, no thread); repeated rows of a (conv_id, turn) are one message,
     the smallest by role and text. An empty table gives no rows.
     """
@@ -100,14 +134,8 @@ def threaded(messages: DataFrame, share: float = SHARE, conv: str = "conv_id", t
     asked = written(asked, "quoted")
     wanted = asked.select("line").distinct()
     lines = written(parts.select("conv_id", "turn", F.explode("own").alias("line")).join(wanted, "line", "left_semi"), "sources")
-    first = lines.groupBy("line").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
-    inside = asked.join(lines.select("line", "conv_id", F.col("turn").alias("said")), ["line", "conv_id"]).filter("said < turn").groupBy("conv_id", "turn", "passage", "line").agg(F.max("said").alias("said"))
-    found = asked.join(inside, ["conv_id", "turn", "passage", "line"], "left").join(first, "line", "left")
-    source = F.when(F.col("said").isNotNull(), F.struct("conv_id", F.col("said").alias("turn"))).when(F.col("any") < F.struct("conv_id", "turn"), F.col("any"))
-    votes = found.select("conv_id", "turn", "passage", "level", "lines", source.alias("source")).filter("source is not null").groupBy("conv_id", "turn", "passage", "level", "lines", "source").agg(F.count("*").alias("n"))
-    # A passage of one line has two hashes that coincide; the hash of the whole counts as one of its lines.
-    best = votes.groupBy("conv_id", "turn", "passage", "level", "lines").agg(F.max(F.struct("n", "source")).alias("b")).filter(F.col("b.n") >= share * F.col("lines"))
-    linked = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "passage", F.col("b.source").alias("source"))).alias("s")).select("conv_id", "turn", "n_linked", F.col("s.source").alias("source"))
+    best = _sources(asked, lines, share, hot)
+    linked = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "passage", "source")).alias("s")).select("conv_id", "turn", "n_linked", F.col("s.source").alias("source"))
     linked = written(linked, "answers")
     tree = _previous(parts.select("conv_id", "turn")).join(linked, ["conv_id", "turn"], "left")
     up = F.coalesce("source", F.when(F.col("last").isNotNull(), F.struct("conv_id", F.col("last").alias("turn"))))

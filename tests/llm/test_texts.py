@@ -1,5 +1,6 @@
 """op2, op3, op5, op8, op9, op10 against plain versions, exact round trips and held-out accuracy."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -302,6 +303,28 @@ def test_threads_with_a_hot_line(spark):
     assert all((r.parent_conv, r.parent_turn) == (r.conv_id, 0) for r in got if r.turn == 1) and all((r.parent_conv, r.thread_id) == (0, 0) for r in got if r.conv_id >= 1000)
 
 
+def test_threads_by_whole_passages(spark):
+    rows = [(1, 0, "A\nB\nC"), (1, 2, "A\nx"), (1, 3, "> A\n> B\nwhat"), (2, 0, "p"), (3, 0, "q"), (4, 0, "p\nq\nr"), (5, 0, "> p\n> q\nso")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.n_linked) for r in threaded(df).collect()}
+    assert got[1, 3] == (1, 0, 1) and got[5, 0] == (4, 0, 1)
+    # Against all pairs of passages and messages.
+    rng = random.Random(5)
+    some = lambda k: [rng.choice("aaaabbbccdefghij") for _ in range(rng.randint(1, k))]
+    rows = [(c, t, "\n".join([f"> {x}" for x in some(4)] * (rng.random() < 0.5) + some(3))) for c in range(25) for t in range(6)]
+    want, own = {}, {(c, t): set(x for x in m.split("\n") if x[0] != ">") | {" ".join(x for x in m.split("\n") if x[0] != ">")} for c, t, m in rows}
+    for c, t, m in rows:
+        if q := [x[2:] for x in m.split("\n") if x[0] == ">"]:
+            q = {*q, " ".join(q)}
+            held = [(len(q & h), d == c, u if d == c else 0, -d, -u) for (d, u), h in own.items() if (d, u) < (c, t) and 2 * len(q & h) >= len(q)]
+            if held:
+                want[c, t] = (-max(held)[3], -max(held)[4])
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    for hot in (0, 12, 1000):
+        got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in threaded(df, hot=hot).collect() if r.n_linked}
+        assert got == want
+
+
 def test_threads_query_is_the_table_where_nothing_is_quoted(spark):
     c = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     rows = QUERIES["op10_quotes"](spark, SF).collect()
