@@ -13,20 +13,20 @@ def _signal(prices: DataFrame, value: Column) -> DataFrame:
 
 
 def period_return(prices: DataFrame) -> DataFrame:
-    return _signal(prices, F.col("close") / F.lag("close").over(_W()) - 1)
+    return _signal(prices, F.try_divide("close", F.lag("close").over(_W())) - 1)
 
 
 def momentum(prices: DataFrame) -> DataFrame:
     """The price 21 rows ago over that 252 rows ago; null with less history."""
-    return _signal(prices, F.lag("close", 21).over(_W()) / F.lag("close", 252).over(_W()) - 1)
+    return _signal(prices, F.try_divide(F.lag("close", 21).over(_W()), F.lag("close", 252).over(_W())) - 1)
 
 
 def reversal(prices: DataFrame) -> DataFrame:
-    return _signal(prices, 1 - F.col("close") / F.lag("close", 21).over(_W()))
+    return _signal(prices, 1 - F.try_divide("close", F.lag("close", 21).over(_W())))
 
 
 def _returns(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("ret", F.col("close") / F.lag("close").over(_W()) - 1)
+    return prices.withColumn("ret", F.try_divide("close", F.lag("close").over(_W())) - 1)
 
 
 def amihud(prices: DataFrame, rows: int = 21) -> DataFrame:

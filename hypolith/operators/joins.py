@@ -30,13 +30,13 @@ def forward_prices(points: DataFrame, prices: DataFrame, days: int, from_entry:
     """(ticker, signal_date, entry_date, entry_price, exit_date, exit_price) for (ticker, signal_date).
 
     Entry is the first price after the signal date. Exit is the last price up to `days` business days after the
-    entry (from_entry) or after the signal date, and later than the entry; points without both are left out.
+    entry (from_entry) or after the signal date, and later than the entry; points without both, or with an entry price of zero or less, are left out.
     """
     p = prices.select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"))
     out = as_of(points, p, "ticker", "signal_date", "entry_date", ["entry_price"], ahead=True).drop("data_lag_days")
     out = out.withColumn("_until", add_business_days(F.col("entry_date" if from_entry else "signal_date"), days))
     q = prices.select("ticker", F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
-    out = as_of(out.filter("entry_date is not null"), q, "ticker", "_until", "exit_date", ["exit_price"])
+    out = as_of(out.filter("entry_price > 0"), q, "ticker", "_until", "exit_date", ["exit_price"])
     return out.filter("exit_date > entry_date").drop("_until", "data_lag_days")
 
 
@@ -47,7 +47,7 @@ def with_return(df: DataFrame) -> DataFrame:
 def offset_return(prices: DataFrame, h: int) -> DataFrame:
     """(ticker, date, fwd): the price h rows ahead over that one row ahead; null at the end."""
     w = Window.partitionBy("ticker").orderBy("date")
-    return prices.select("ticker", "date", (F.lead("close", h).over(w) / F.lead("close", 1).over(w) - 1).alias("fwd"))
+    return prices.select("ticker", "date", (F.try_divide(F.lead("close", h).over(w), F.lead("close", 1).over(w)) - 1).alias("fwd"))
 
 
 def others_mean(df: DataFrame, value: str, by: list[str]) -> Column:

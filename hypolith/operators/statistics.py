@@ -20,8 +20,8 @@ def autocorrelation(series: DataFrame, lags: tuple[int, ...] = (1, 5, 21)) -> Da
 
 def corrected(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]:
     """Sample skewness and excess kurtosis from those of the population."""
-    g1 = skew * F.sqrt(n * (n - 1)) / (n - 2)
-    return g1, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6)
+    g1 = F.try_divide(skew * F.sqrt(n * (n - 1)), n - 2)
+    return g1, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * kurt + 6)
 
 
 def distribution(series: DataFrame, least: int = 10) -> DataFrame:
@@ -36,10 +36,13 @@ def distribution(series: DataFrame, least: int = 10) -> DataFrame:
 
 
 def equity(series: DataFrame) -> DataFrame:
-    """(date, ret, cum, peak, drawdown): the peak starts with the first value, so a first loss is no drawdown. Needs ret > -1."""
-    cum = series.select("date", "ret", F.exp(F.sum(F.log1p("ret")).over(BY_DATE())).alias("cum"))
+    """(date, ret, cum, peak, drawdown): the peak starts with the first value, so a first loss is no drawdown. After a
+    return of -100 % or less nothing is left: cum is 0 and the drawdown -1 from there on."""
+    lost = F.max(F.col("ret") <= -1).over(BY_DATE())
+    grown = F.exp(F.sum(F.log1p(F.when(F.col("ret") > -1, F.col("ret")))).over(BY_DATE()))
+    cum = series.select("date", "ret", F.when(lost, 0.0).otherwise(F.coalesce(grown, F.lit(1.0))).alias("cum"))
     peak = F.max("cum").over(BY_DATE().rowsBetween(Window.unboundedPreceding, 0))
-    return cum.withColumn("peak", peak).withColumn("drawdown", F.col("cum") / F.col("peak") - 1)
+    return cum.withColumn("peak", peak).withColumn("drawdown", F.when(F.col("peak") > 0, F.col("cum") / F.col("peak") - 1).otherwise(-1.0))
 
 
 def drawdown_days(curve: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def performance(series: DataFrame, periods: int = 12, threshold: float = 0.0) ->
     gain, loss = F.sum(F.when(r > threshold, r - threshold)), F.sum(F.when(r < threshold, threshold - r))
     row = series.agg(
         (F.avg("ret") * periods).alias("ann_return"), (F.stddev_samp("ret") * F.sqrt(F.lit(periods))).alias("ann_vol"), F.stddev_samp(F.when(r < 0, r)).alias("downside"), F.avg((r > 0).cast("double")).alias("hit_rate"),
-        (F.sum(F.when(r > 0, r)) / F.nullif(-F.sum(F.when(r < 0, r)), F.lit(0.0))).alias("profit_factor"), (gain / F.nullif(loss, F.lit(0.0))).alias("omega"), (F.percentile("ret", F.lit(0.95)) / F.abs(F.percentile("ret", F.lit(0.05)))).alias("tail_ratio"),
+        (F.sum(F.when(r > 0, r)) / F.nullif(-F.sum(F.when(r < 0, r)), F.lit(0.0))).alias("profit_factor"), (gain / F.nullif(loss, F.lit(0.0))).alias("omega"), F.try_divide(F.percentile("ret", F.lit(0.95)), F.abs(F.percentile("ret", F.lit(0.05)))).alias("tail_ratio"),
     )
     curve = equity(series)
     worst = curve.agg(F.min("drawdown").alias("max_drawdown"), F.avg("drawdown").alias("avg_drawdown"))
@@ -70,7 +73,7 @@ def gt_score(series: DataFrame, least: int = 10) -> DataFrame:
     """One row: downside deviation, R squared of the equity curve on time, and mean bps * ln|t| * min(hit / deviation, 1e4) * R squared."""
     r = F.col("ret")
     curve = equity(series).withColumn("i", F.row_number().over(BY_DATE()) - 1).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.regr_r2("cum", "i"))).alias("r_squared"))
-    row = series.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), (F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))).alias("t"), F.avg((r > 0).cast("double")).alias("hit"), F.when(F.count_if(r < 0) >= 2, F.sqrt(F.avg(F.when(r < 0, r * r))) * F.sqrt(F.lit(252))).otherwise(0.0).alias("downside"))
+    row = series.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t"), F.avg((r > 0).cast("double")).alias("hit"), F.when(F.count_if(r < 0) >= 2, F.sqrt(F.avg(F.when(r < 0, r * r))) * F.sqrt(F.lit(252))).otherwise(0.0).alias("downside"))
     row = row.crossJoin(curve).filter(F.col("n") >= least)
     quality = F.when(F.col("downside") > 0, F.least(F.col("hit") / F.col("downside"), F.lit(1e4))).otherwise(1e4)
     return row.withColumn("gt_score", F.col("mean") * 1e4 * F.log(F.abs("t")) * quality * F.col("r_squared"))
@@ -80,8 +83,8 @@ def two_sample_t(value: Column, side: Column) -> Column:
     """The pooled t statistic of side (true) against the rest."""
     a, b = F.when(side, value), F.when(~side, value)
     na, nb = F.count(a), F.count(b)
-    pooled = ((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b)) / (na + nb - 2)
-    return (F.avg(a) - F.avg(b)) / F.sqrt(pooled * (1 / na + 1 / nb))
+    pooled = F.try_divide((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b), na + nb - 2)
+    return F.try_divide(F.avg(a) - F.avg(b), F.sqrt(pooled * (F.try_divide(F.lit(1.0), na) + F.try_divide(F.lit(1.0), nb))))
 
 
 def structural_breaks(series: DataFrame, edge: int = 10) -> DataFrame:
@@ -93,7 +96,7 @@ def structural_breaks(series: DataFrame, edge: int = 10) -> DataFrame:
     m1, m2 = F.col("s") / n1, (F.col("sa") - F.col("s")) / n2
     v = (F.col("q") - n1 * m1**2 + (F.col("qa") - F.col("q")) - n2 * m2**2) / (n1 + n2 - 2)
     del after
-    return s.select("date", "i", ((m2 - m1) / F.sqrt(v * (1 / n1 + 1 / n2))).alias("t"))
+    return s.select("date", "i", F.try_divide(m2 - m1, F.sqrt(v * (1 / n1 + 1 / n2))).alias("t"))
 
 
 def thinned(breaks: DataFrame, t: float, gap: int = 5, most: int = 5) -> DataFrame:

@@ -99,9 +99,9 @@ def j3(spark, sf):
     return T.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 300).alias("ticker")).agg(F.count_distinct("o_custkey").alias("entities"), F.array_sort(F.collect_set("o_custkey")).alias("ids")).filter("entities > 1")
 
 
-@query("j4_price_jumps", "SELECT ticker, date, round(r, 6) AS ret FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM lp) WHERE abs(r) > 0.5", "lp")
+@query("j4_price_jumps", "SELECT ticker, date, round(r, 6) AS ret FROM (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM lp) WHERE abs(r) > 0.5", "lp")
 def j4(spark, sf):
-    r = T.long_prices(spark, sf).select("ticker", "date", (F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1).alias("ret"))
+    r = T.long_prices(spark, sf).select("ticker", "date", (F.try_divide("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).alias("ret"))
     return rounded(r.filter(F.abs("ret") > 0.5))
 
 
@@ -111,7 +111,7 @@ def j5(spark, sf):
     return c.filter("r is null").select("ticker")
 
 
-@query("j6_check_runner", "WITH a AS (SELECT count_if(abs(r) > 0.5) AS n FROM (SELECT close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM lp)), b AS (SELECT count(*) AS n FROM (SELECT o_custkey % 300 FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1)), c AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 26 = 0) SELECT 'jumps' AS check_name, n AS issues, n < 10 AS passed FROM a UNION ALL SELECT 'reuse', n, n = 0 FROM b UNION ALL SELECT 'delisting', n, n = 0 FROM c", "lp")
+@query("j6_check_runner", "WITH a AS (SELECT count_if(abs(r) > 0.5) AS n FROM (SELECT close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM lp)), b AS (SELECT count(*) AS n FROM (SELECT o_custkey % 300 FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1)), c AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 26 = 0) SELECT 'jumps' AS check_name, n AS issues, n < 10 AS passed FROM a UNION ALL SELECT 'reuse', n, n = 0 FROM b UNION ALL SELECT 'delisting', n, n = 0 FROM c", "lp")
 def j6(spark, sf):
     """The results of several checks in one table."""
     one = lambda df, name, most: df.agg(F.count("*").alias("issues")).select(F.lit(name).alias("check_name"), "issues", (F.col("issues") <= most).alias("passed"))

@@ -77,14 +77,14 @@ def g4(spark, sf):
     return boot.agg(share(F.abs(off) >= abs(mean)).alias("two_sided"), share(off >= mean).alias("greater"))
 
 
-PANEL = "pan AS (SELECT date, ticker, -(close / lag(close, 5) OVER w - 1) AS signal, lead(close, 5) OVER w / lead(close, 1) OVER w - 1 AS fwd FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)), val AS (SELECT * FROM pan WHERE signal IS NOT NULL AND fwd IS NOT NULL)"
+PANEL = "pan AS (SELECT date, ticker, -(close / nullif(lag(close, 5) OVER w, 0) - 1) AS signal, lead(close, 5) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)), val AS (SELECT * FROM pan WHERE signal IS NOT NULL AND fwd IS NOT NULL)"
 TOP5 = "SELECT {by} avg(fwd) AS ret FROM (SELECT *, row_number() OVER (PARTITION BY {part} date ORDER BY signal DESC, ticker) AS rn, count(*) OVER (PARTITION BY {part} date) AS cnt FROM {t}) WHERE cnt >= 5 AND rn <= greatest(1, floor(cnt * 0.2)) GROUP BY {by} date"
 
 
 def _panel(spark, sf):
     p = T.prices(spark, sf)
     w = Window.partitionBy("ticker").orderBy("date")
-    return J.offset_return(p, 5).join(p.select("ticker", "date", (1 - F.col("close") / F.lag("close", 5).over(w)).alias("signal")), ["ticker", "date"]).filter("signal is not null and fwd is not null")
+    return J.offset_return(p, 5).join(p.select("ticker", "date", (1 - F.try_divide("close", F.lag("close", 5).over(w))).alias("signal")), ["ticker", "date"]).filter("signal is not null and fwd is not null")
 
 
 def objective(panel, by=()):
@@ -130,7 +130,7 @@ def factors(spark, sf):
     from hypolith.operators import factors as X
 
     p = T.long_prices(spark, sf)
-    fwd = p.select("ticker", "date", (F.lead("close").over(Window.partitionBy("ticker").orderBy("date")) / F.col("close") - 1).alias("fwd"))
+    fwd = p.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), "close") - 1).alias("fwd"))
     out = fwd.filter("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret"))
     for name, signal in (("momentum", X.momentum), ("reversal", X.reversal), ("low_vol", X.low_volatility)):
         out = out.join(P.leg_returns(P.legs(signal(p), "value"), fwd).withColumnRenamed("ret", name), "date")
@@ -189,7 +189,7 @@ def g16(spark, sf):
 
 @query("g17_effect_size", "SELECT count(*) AS n, round(abs(avg(ret)) / stddev_samp(ret), 6) AS d FROM mr", "mr")
 def g17(spark, sf):
-    return T.monthly_returns(spark, sf).agg(F.count("*").alias("n"), R(F.abs(F.avg("ret")) / F.stddev_samp("ret")).alias("d"))
+    return T.monthly_returns(spark, sf).agg(F.count("*").alias("n"), R(F.try_divide(F.abs(F.avg("ret")), F.stddev_samp("ret"))).alias("d"))
 
 
 @query("g17_power")
@@ -199,9 +199,9 @@ def g17_power(spark, sf):
     return spark.createDataFrame([(n, float(d), D.power(d, n), D.detectable(n), D.required_n(d))], "n long, d double, power double, detectable double, required_n long")
 
 
-@query("g18_universe_power", "SELECT ticker, count(*) AS n, round(stddev_samp(close / was - 1), 6) AS sigma, CAST(ceil(2.8 * 2.8 * var_samp(close / was - 1) / (0.01 * 0.01)) AS BIGINT) AS required_n FROM (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS was FROM lp) WHERE was IS NOT NULL GROUP BY 1", "lp")
+@query("g18_universe_power", "SELECT ticker, count(*) AS n, round(stddev_samp(close / nullif(was, 0) - 1), 6) AS sigma, CAST(ceil(2.8 * 2.8 * var_samp(close / nullif(was, 0) - 1) / (0.01 * 0.01)) AS BIGINT) AS required_n FROM (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS was FROM lp) WHERE was IS NOT NULL GROUP BY 1", "lp")
 def g18(spark, sf):
-    r = T.long_prices(spark, sf).select("ticker", (F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1).alias("r")).filter("r is not null")
+    r = T.long_prices(spark, sf).select("ticker", (F.try_divide("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).alias("r")).filter("r is not null")
     return r.groupBy("ticker").agg(F.count("*").alias("n"), R(F.stddev_samp("r")).alias("sigma"), F.ceil(2.8 * 2.8 * F.var_samp("r") / (0.01 * 0.01)).alias("required_n"))
 
 
@@ -209,7 +209,7 @@ def g18(spark, sf):
 def g19(spark, sf):
     m = T.monthly_returns(spark, sf)
     acf = S.autocorrelation(m, (1,))
-    t = m.agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))).alias("t_mean"), S.two_sample_t(F.col("ret"), F.col("ret") > 0).alias("t_sides"), F.count("*").alias("n"))
+    t = m.agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t_mean"), S.two_sample_t(F.col("ret"), F.col("ret") > 0).alias("t_sides"), F.count("*").alias("n"))
     return rounded(t.crossJoin(acf).select("t_mean", "t_sides", (0.5 * F.log((1 + F.col("acf_1")) / (1 - F.col("acf_1"))) * F.sqrt(F.col("n") - 3)).alias("z_acf")))
 
 

@@ -106,7 +106,7 @@ def c2(spark, sf):
 
 def forward_sql(prices: str, points: str, days: int, from_entry: bool) -> str:
     until = bd("e.entry_date" if from_entry else "e.signal_date", days)
-    return f"e AS (SELECT s.ticker, s.signal_date, min(p.date) AS entry_date, min_by(p.close, p.date) AS entry_price FROM {points} s JOIN {prices} p ON p.ticker = s.ticker AND p.date > s.signal_date GROUP BY 1, 2), fwd AS (SELECT e.ticker, e.signal_date, e.entry_date, e.entry_price, max(p.date) AS exit_date, max_by(p.close, p.date) AS exit_price FROM e JOIN {prices} p ON p.ticker = e.ticker AND p.date > e.entry_date AND p.date <= {until} GROUP BY 1, 2, 3, 4)"
+    return f"e AS (SELECT s.ticker, s.signal_date, min(p.date) AS entry_date, min_by(p.close, p.date) AS entry_price FROM {points} s JOIN {prices} p ON p.ticker = s.ticker AND p.date > s.signal_date GROUP BY 1, 2), fwd AS (SELECT e.ticker, e.signal_date, e.entry_date, e.entry_price, max(p.date) AS exit_date, max_by(p.close, p.date) AS exit_price FROM e JOIN {prices} p ON p.ticker = e.ticker AND p.date > e.entry_date AND p.date <= {until} WHERE e.entry_price > 0 GROUP BY 1, 2, 3, 4)"
 
 
 FWD = "SELECT ticker, signal_date, entry_date, exit_date, round(exit_price / entry_price - 1, 6) AS forward_return FROM fwd"
@@ -138,7 +138,7 @@ def c6(spark, sf):
     return r.select("ticker", "signal_date", R("forward_return").alias("ret"), R(J.others_mean(r, "forward_return", ["signal_date"])).alias("others"))
 
 
-@query("c7_offset_forward_return", "SELECT ticker, date, round(lead(close, 5) OVER w / lead(close, 1) OVER w - 1, 6) AS fwd FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)", "px")
+@query("c7_offset_forward_return", "SELECT ticker, date, round(lead(close, 5) OVER w / nullif(lead(close, 1) OVER w, 0) - 1, 6) AS fwd FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)", "px")
 def c7(spark, sf):
     return J.offset_return(T.prices(spark, sf), 5).withColumn("fwd", R("fwd"))
 

@@ -21,13 +21,13 @@ def top_sql(table: str, value: str, q: float, order: str = "DESC") -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {value} {order}, ticker) AS rn, count({value}) OVER (PARTITION BY date) AS cnt FROM {table} WHERE {value} IS NOT NULL) WHERE rn <= greatest(1, floor(cnt * {q}))"
 
 
-REV = "rev AS (SELECT ticker, date, -(close / lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) - 1) AS signal FROM px)"
+REV = "rev AS (SELECT ticker, date, -(close / nullif(lag(close, 5) OVER (PARTITION BY ticker ORDER BY date), 0) - 1) AS signal FROM px)"
 
 
 def reversal(spark, sf):
     """(ticker, date, signal): minus the change over five rows."""
     w = Window.partitionBy("ticker").orderBy("date")
-    return T.prices(spark, sf).select("ticker", "date", (1 - F.col("close") / F.lag("close", 5).over(w)).alias("signal"))
+    return T.prices(spark, sf).select("ticker", "date", (1 - F.try_divide("close", F.lag("close", 5).over(w))).alias("signal"))
 
 
 COHORT = f"pick AS (SELECT date AS signal_date, ticker, 1 AS side FROM ({top_sql('rev', 'signal', 0.2)}) WHERE dayofweek(date) = 5)"
@@ -96,14 +96,14 @@ def h9(spark, sf):
 
 
 FACTORS = {
-    "f1_period_return": ("close / lag(close) OVER w - 1", X.period_return),
-    "f8_momentum": ("lag(close, 21) OVER w / lag(close, 252) OVER w - 1", X.momentum),
-    "f9_reversal": ("-(close / lag(close, 21) OVER w - 1)", X.reversal),
+    "f1_period_return": ("close / nullif(lag(close) OVER w, 0) - 1", X.period_return),
+    "f8_momentum": ("lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1", X.momentum),
+    "f9_reversal": ("-(close / nullif(lag(close, 21) OVER w, 0) - 1)", X.reversal),
 }
 for _name, (_sql, _f) in FACTORS.items():
     query(_name, f"SELECT ticker, date, round({_sql}, 6) AS value FROM lp WINDOW w AS (PARTITION BY ticker ORDER BY date)", "lp")(lambda spark, sf, f=_f: rounded(f(T.long_prices(spark, sf)), "value"))
 
-RET = "r AS (SELECT ticker, date, close, volume, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM lp)"
+RET = "r AS (SELECT ticker, date, close, volume, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM lp)"
 
 
 @query("f10_amihud", f"WITH {RET} SELECT ticker, date, round(CASE WHEN count(ret) OVER w = 21 THEN avg(abs(ret) / greatest(close * volume, 1)) OVER w END * 1e6, 6) AS value FROM r WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)", "lp")
@@ -138,18 +138,18 @@ def f17(spark, sf):
 
 
 def legs_sql(signal: str) -> str:
-    return f"s AS (SELECT ticker, date, {signal} AS v, lead(close) OVER w / close - 1 AS fwd FROM lp WINDOW w AS (PARTITION BY ticker ORDER BY date)), hi AS (SELECT date, avg(fwd) AS up FROM ({top_sql('s', 'v', 0.3)}) WHERE fwd IS NOT NULL GROUP BY 1), lo AS (SELECT date, avg(fwd) AS down FROM ({top_sql('s', 'v', 0.3, 'ASC')}) x WHERE fwd IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({top_sql('s', 'v', 0.3)}) y WHERE y.date = x.date AND y.ticker = x.ticker) GROUP BY 1) SELECT date, round(up - down, 6) AS ret FROM hi JOIN lo USING (date)"
+    return f"s AS (SELECT ticker, date, {signal} AS v, lead(close) OVER w / nullif(close, 0) - 1 AS fwd FROM lp WINDOW w AS (PARTITION BY ticker ORDER BY date)), hi AS (SELECT date, avg(fwd) AS up FROM ({top_sql('s', 'v', 0.3)}) WHERE fwd IS NOT NULL GROUP BY 1), lo AS (SELECT date, avg(fwd) AS down FROM ({top_sql('s', 'v', 0.3, 'ASC')}) x WHERE fwd IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({top_sql('s', 'v', 0.3)}) y WHERE y.date = x.date AND y.ticker = x.ticker) GROUP BY 1) SELECT date, round(up - down, 6) AS ret FROM hi JOIN lo USING (date)"
 
 
 def _factor(spark, sf, signal):
     p = T.long_prices(spark, sf)
     w = Window.partitionBy("ticker").orderBy("date")
-    fwd = p.select("ticker", "date", (F.lead("close").over(w) / F.col("close") - 1).alias("fwd"))
+    fwd = p.select("ticker", "date", (F.try_divide(F.lead("close").over(w), "close") - 1).alias("fwd"))
     return rounded(P.leg_returns(P.legs(signal(p), "value"), fwd), "ret")
 
 
-query("h3_momentum_factor", f"WITH {legs_sql('lag(close, 21) OVER w / lag(close, 252) OVER w - 1')}", "lp")(lambda spark, sf: _factor(spark, sf, X.momentum))
-query("h3_reversal_factor", f"WITH {legs_sql('-(close / lag(close, 21) OVER w - 1)')}", "lp")(lambda spark, sf: _factor(spark, sf, X.reversal))
+query("h3_momentum_factor", f"WITH {legs_sql('lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1')}", "lp")(lambda spark, sf: _factor(spark, sf, X.momentum))
+query("h3_reversal_factor", f"WITH {legs_sql('-(close / nullif(lag(close, 21) OVER w, 0) - 1)')}", "lp")(lambda spark, sf: _factor(spark, sf, X.reversal))
 
 
 @query("size_value_signals", "SELECT c_custkey AS ticker, round(-ln(greatest(c_acctbal, 1e6)), 6) AS size, round(n.n / nullif(c_acctbal, 0), 6) AS value FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS n FROM orders GROUP BY 1) n ON o_custkey = c_custkey")
@@ -237,5 +237,5 @@ def p11(spark, sf):
 def p12(spark, sf):
     """Test years after three years of training, one a year: each return belongs to at most one window."""
     m = T.monthly_returns(spark, sf).withColumn("win", (F.year("date") - 1998).cast("long")).filter("win between 0 and 2")
-    g = m.groupBy("win").agg(F.count("*").alias("n"), R(F.avg("ret") * 12).alias("alpha"), R(F.avg("ret") / F.stddev_samp("ret")).alias("ratio"))
+    g = m.groupBy("win").agg(F.count("*").alias("n"), R(F.avg("ret") * 12).alias("alpha"), R(F.try_divide(F.avg("ret"), F.stddev_samp("ret"))).alias("ratio"))
     return g.withColumn("test", F.make_date((F.col("win") + 1998).cast("int"), F.lit(1), F.lit(1)))

@@ -15,7 +15,7 @@ VIEWS = {
     "lp": "SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2",
     "sig": "SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS signal FROM orders GROUP BY 1, 2",
     "fil": "SELECT doc_id, source AS ticker, CAST(DATE '2020-01-01' + CAST(doc_id AS INTEGER) AS DATE) AS date, text FROM documents",
-    "mr": "SELECT date_trunc('month', date)::DATE AS date, avg(ret) AS ret FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM (SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS date, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2)) WHERE ret IS NOT NULL GROUP BY 1",
+    "mr": "SELECT date_trunc('month', date)::DATE AS date, avg(ret) AS ret FROM (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM (SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS date, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2)) WHERE ret IS NOT NULL GROUP BY 1",
 }
 
 

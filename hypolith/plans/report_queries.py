@@ -15,11 +15,11 @@ from hypolith.plans.statistics_queries import rounded
 from hypolith.sources import tables as T
 
 
-@query("h8_issue_lists", "WITH r AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM lp), j AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY abs(ret) DESC, date) AS k FROM r WHERE abs(ret) > 0.5) SELECT ticker, count(*) AS n, string_agg(CASE WHEN k <= 10 THEN CAST(date AS VARCHAR) END, ',' ORDER BY k) AS worst FROM j GROUP BY 1", "lp")
+@query("h8_issue_lists", "WITH r AS (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM lp), j AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY abs(ret) DESC, date) AS k FROM r WHERE abs(ret) > 0.5) SELECT ticker, count(*) AS n, string_agg(CASE WHEN k <= 10 THEN CAST(date AS VARCHAR) END, ',' ORDER BY k) AS worst FROM j GROUP BY 1", "lp")
 def h8(spark, sf):
     """The ten largest jumps of each ticker, ranked before they are gathered."""
     w = Window.partitionBy("ticker")
-    r = T.long_prices(spark, sf).select("ticker", "date", (F.col("close") / F.lag("close").over(w.orderBy("date")) - 1).alias("ret")).filter(F.abs("ret") > 0.5)
+    r = T.long_prices(spark, sf).select("ticker", "date", (F.try_divide("close", F.lag("close").over(w.orderBy("date"))) - 1).alias("ret")).filter(F.abs("ret") > 0.5)
     j = r.withColumn("k", F.row_number().over(w.orderBy(F.desc(F.abs("ret")), "date")))
     days = F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("k", F.col("date").cast("string").alias("d")))))
     return j.groupBy("ticker").agg(F.count("*").alias("n"), F.array_join(F.transform(days, lambda x: x["d"]), ",").alias("worst"))
@@ -36,13 +36,13 @@ def j11(spark, sf):
 @query("g21_statistical_report", f"WITH {BOOT}, c AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM boot), a AS (SELECT count(*) AS n, avg(ret) AS mean, avg(ret) / (stddev_samp(ret) / sqrt(count(*))) AS t FROM mr) SELECT n, round(mean, 6) AS mean, round(t, 6) AS t, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM a, c", "mr")
 def g21(spark, sf):
     m, boot = _boot(spark, sf)
-    a = m.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), (F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))).alias("t"))
+    a = m.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t"))
     c = boot.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return rounded(a.crossJoin(c).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0)))  # one row each
 
 
 QS = (0.1, 0.2, 0.3)
-FWD = "f AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM px)"
+FWD = "f AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS fwd FROM px)"
 
 
 @query("u7_alternative_specifications", f"WITH {REV}, {FWD} " + " UNION ALL ".join(f"SELECT {q} AS q, s AS sign, count(*) AS n, round(s * avg(fwd), 6) AS mean FROM ({top_sql('rev', 'signal', q)}) JOIN f USING (ticker, date), (SELECT unnest([1, -1]) AS s) WHERE fwd IS NOT NULL GROUP BY s" for q in QS), "px")
@@ -53,7 +53,7 @@ def u7(spark, sf):
     s = s.withColumns({"k": F.row_number().over(w.orderBy(F.desc("signal"), "ticker")), "c": F.count("*").over(w)})
     s = s.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("c") * F.col("q"))))
     p = T.prices(spark, sf)
-    fwd = p.select("ticker", "date", (F.lead("close").over(Window.partitionBy("ticker").orderBy("date")) / F.col("close") - 1).alias("fwd")).filter("fwd is not null")
+    fwd = p.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), "close") - 1).alias("fwd")).filter("fwd is not null")
     both = s.join(fwd, ["ticker", "date"]).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
     return both.groupBy("q", "sign").agg(F.count("*").alias("n"), F.avg("fwd").alias("m")).select("q", "sign", "n", F.round(F.col("sign") * F.col("m"), 6).alias("mean"))
 

@@ -29,7 +29,7 @@ def e2(spark, sf):
     return rounded(S.autocorrelation(T.monthly_returns(spark, sf)))
 
 
-EQ = "eq AS (SELECT *, cum / max(cum) OVER (ORDER BY date) - 1 AS drawdown, max(cum) OVER (ORDER BY date) AS peak FROM (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS cum FROM mr))"
+EQ = "eq AS (SELECT *, CASE WHEN max(cum) OVER (ORDER BY date) > 0 THEN cum / max(cum) OVER (ORDER BY date) - 1 ELSE -1 END AS drawdown, max(cum) OVER (ORDER BY date) AS peak FROM (SELECT date, ret, CASE WHEN max(ret <= -1) OVER (ORDER BY date) THEN 0 ELSE exp(sum(ln(CASE WHEN ret > -1 THEN 1 + ret ELSE 1 END)) OVER (ORDER BY date)) END AS cum FROM mr))"
 SPELL = "sp AS (SELECT date, under, lead(date) OVER (ORDER BY date) AS e FROM (SELECT date, drawdown < 0 AS under, coalesce(lag(drawdown < 0) OVER (ORDER BY date), false) <> (drawdown < 0) AS turn FROM eq) WHERE turn), dd AS (SELECT coalesce(max(coalesce(e, (SELECT max(date) FROM mr)) - date), 0) AS max_days FROM sp WHERE under)"
 
 
@@ -88,7 +88,7 @@ def _windows(spark, sf):
     m = T.monthly_returns(spark, sf)
     n = F.count("*").over(Window.partitionBy())
     b = m.withColumn("block", F.floor((F.row_number().over(S.BY_DATE()) - 1) / F.greatest(F.lit(20), F.floor(n / 5))))
-    return b.groupBy("block").agg(F.count("*").alias("n"), (F.avg("ret") * 252).alias("alpha"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), (F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))).alias("t")).filter("n >= 10")
+    return b.groupBy("block").agg(F.count("*").alias("n"), (F.avg("ret") * 252).alias("alpha"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t")).filter("n >= 10")
 
 
 @query("e16_window_blocks", f"WITH {WF} SELECT block, n, round(alpha, 6) AS alpha, round(sharpe, 6) AS sharpe, round(t, 6) AS t FROM wf", "mr")
@@ -105,7 +105,7 @@ def e15(spark, sf):
 @query("e17_out_of_sample", "SELECT i <= floor(n * 0.7) AS in_sample, count(*) AS n, round(avg(ret), 6) AS mean, round(avg(ret) / (stddev_samp(ret) / sqrt(count(*))), 6) AS t FROM (SELECT ret, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM mr) GROUP BY 1", "mr")
 def e17(spark, sf):
     m = T.monthly_returns(spark, sf).select("ret", (F.row_number().over(S.BY_DATE()) <= F.floor(F.count("*").over(Window.partitionBy()) * 0.7)).alias("in_sample"))
-    return rounded(m.groupBy("in_sample").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), (F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))).alias("t")))
+    return rounded(m.groupBy("in_sample").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t")))
 
 
 TRIALS = "tr AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, (s_suppkey * 37 % 101) / 1010.0 AS p, s_acctbal AS effect FROM supplier)"
@@ -172,10 +172,10 @@ def e25(spark, sf):
     return o.withColumn("family", F.coalesce("o_orderpriority", F.lit("all"))).drop("o_orderpriority")
 
 
-@query("e26_memorisation_probe", "WITH f AS (SELECT date, close AS actual, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS guess FROM lp) SELECT round(avg(CASE WHEN date < DATE '1998-01-01' THEN abs(guess - actual) / actual END), 6) AS before, round(avg(CASE WHEN date >= DATE '1998-01-01' THEN abs(guess - actual) / actual END), 6) AS after, avg(CASE WHEN date < DATE '1998-01-01' THEN abs(guess - actual) / actual END) - avg(CASE WHEN date >= DATE '1998-01-01' THEN abs(guess - actual) / actual END) < -0.15 AS flagged FROM f WHERE guess IS NOT NULL", "lp")
+@query("e26_memorisation_probe", "WITH f AS (SELECT date, close AS actual, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS guess FROM lp) SELECT round(avg(CASE WHEN date < DATE '1998-01-01' THEN abs(guess - actual) / nullif(actual, 0) END), 6) AS before, round(avg(CASE WHEN date >= DATE '1998-01-01' THEN abs(guess - actual) / nullif(actual, 0) END), 6) AS after, avg(CASE WHEN date < DATE '1998-01-01' THEN abs(guess - actual) / nullif(actual, 0) END) - avg(CASE WHEN date >= DATE '1998-01-01' THEN abs(guess - actual) / nullif(actual, 0) END) < -0.15 AS flagged FROM f WHERE guess IS NOT NULL", "lp")
 def e26(spark, sf):
     f = T.long_prices(spark, sf).withColumn("guess", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))).filter("guess is not null")
-    off = F.abs(F.col("guess") - F.col("close")) / F.col("close")
+    off = F.try_divide(F.abs(F.col("guess") - F.col("close")), "close")
     a, b = F.avg(F.when(F.col("date") < "1998-01-01", off)), F.avg(F.when(F.col("date") >= "1998-01-01", off))
     return f.agg(R(a).alias("before"), R(b).alias("after"), (a - b < -0.15).alias("flagged"))
 
@@ -202,12 +202,12 @@ def f5(spark, sf):
     return r.join(m, "ticker").select("ticker", "date", (F.col("close") > F.col("ma")).alias("bull"), R("change").alias("change"), (F.col("change") > F.col("mid")).alias("high"))
 
 
-DR = "dr AS (SELECT date, avg(ret) AS ret FROM (SELECT date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM lp) WHERE ret IS NOT NULL GROUP BY 1)"
+DR = "dr AS (SELECT date, avg(ret) AS ret FROM (SELECT date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM lp) WHERE ret IS NOT NULL GROUP BY 1)"
 ROLL = "roll AS (SELECT date, rn, n, avg(ret) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND 755 FOLLOWING) * 252 AS alpha FROM (SELECT date, ret, row_number() OVER (ORDER BY date) AS rn, count(*) OVER () AS n FROM dr)), pts AS (SELECT date, alpha, row_number() OVER (ORDER BY date) - 1 AS i FROM roll WHERE (rn - 1) % 63 = 0 AND rn - 1 < n - 756)"
 
 
 def daily_returns(spark, sf):
-    p = T.long_prices(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1)
+    p = T.long_prices(spark, sf).withColumn("ret", F.try_divide("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1)
     return p.filter("ret is not null").groupBy("date").agg(F.avg("ret").alias("ret"))
 
 
@@ -268,7 +268,7 @@ def f19_thin(spark, sf):
 def g15(spark, sf):
     m = T.monthly_returns(spark, sf)
     one = lambda d, name: d.agg(R(F.avg("ret")).alias(name))
-    z = F.abs((F.col("ret") - F.avg("ret").over(Window.partitionBy())) / F.stddev_samp("ret").over(Window.partitionBy()))
+    z = F.abs(F.try_divide(F.col("ret") - F.avg("ret").over(Window.partitionBy()), F.stddev_samp("ret").over(Window.partitionBy())))
     far = m.select(z.alias("z")).agg(F.count_if(F.col("z") > 3).alias("over3"), F.count_if(F.col("z") > 5).alias("over5"))
     out = far
     for d, name in ((S.winsorised(m, 0.01), "winsor_1"), (S.winsorised(m, 0.025), "winsor_25"), (S.trimmed(m, 0.05), "trim_5"), (S.trimmed(m, 0.1), "trim_10")):
@@ -279,5 +279,5 @@ def g15(spark, sf):
 @query("h7_influence_rows", "SELECT date, round(z, 6) AS z FROM (SELECT date, (ret - avg(ret) OVER ()) / stddev_samp(ret) OVER () AS z FROM mr) WHERE abs(z) > 1.5 ORDER BY date LIMIT 10", "mr")
 def h7(spark, sf):
     w = Window.partitionBy()
-    z = T.monthly_returns(spark, sf).select("date", ((F.col("ret") - F.avg("ret").over(w)) / F.stddev_samp("ret").over(w)).alias("z"))
+    z = T.monthly_returns(spark, sf).select("date", F.try_divide(F.col("ret") - F.avg("ret").over(w), F.stddev_samp("ret").over(w)).alias("z"))
     return z.filter(F.abs("z") > 1.5).orderBy("date").limit(10).select("date", R("z").alias("z"))

@@ -35,5 +35,5 @@ def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, ret): the mean monthly change of all suppliers' prices, a series of some eighty rows."""
     month = F.to_date(F.trunc(F.to_date("l_shipdate"), "month"))
     close = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), month.alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    change = close.select("date", F.expr("close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret"))
+    change = close.select("date", F.expr("close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret"))
     return change.filter("ret is not null").groupBy("date").agg(F.avg("ret").alias("ret"))
