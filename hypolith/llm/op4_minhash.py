@@ -27,8 +27,10 @@ class Signer:
         self.a = rng.integers(0, 2**63, (permutations, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, (permutations, 1), dtype=np.uint64)
         bands, values = 2 * permutations // rows, 2 * permutations
-        # Values of a band lie `bands` apart, so that it never holds both ends of one permutation next to each other.
-        self.at = (np.arange(bands)[:, None] + bands * np.arange(rows)) % values
+        # Minima in order, then maxima of the permutations a few places on: a band takes every `bands`th of them, and so
+        # never both ends of one permutation.
+        order = np.concatenate([np.arange(permutations), permutations + (np.arange(permutations) + 7) % permutations])
+        self.at = order[(np.arange(bands)[:, None] + bands * np.arange(rows)) % values]
         self.weight = rng.integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
@@ -116,7 +118,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked when 100 * intersection >= threshold * union over their sets of `words`-word shingles;
     component_id is the smallest id reachable. Only these two columns are read. Null or wordless texts have no
     shingles and are linked with nothing; texts under `words` words have one shingle, the whole sequence. Rows with a
-    null id are returned with a null component and kept. Repeated rows of one id get equal results. Ties don't occur.
+    null id are returned with a null component and kept. Repeated rows of one id get equal results. An id whose rows
+    differ in text is one node of the graph: each of its texts collapses with its equals, and links to others are
+    confirmed on the largest of its texts. Ties don't occur.
 
     1. One pass over the texts gives each set's size, a 128-bit digest and its bands of min-max values. Equal sets
        collapse to the smallest id before any bucket is formed, so exact copies cost one row.
@@ -135,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     members = written(banded.join(centres, "bucket"), "buckets")
-    texts = written(docs.join(small(written(members.select(F.col("rep").alias("doc_id")).distinct(), "bucketed")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", wide=True)
+    texts = written(docs.join(small(written(members.select(F.col("rep").alias("doc_id")).distinct(), "bucketed")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts", wide=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")) for c in ("low", "high"))
