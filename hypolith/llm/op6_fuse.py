@@ -14,7 +14,7 @@ from hypolith.llm.tables import small, table, written
 
 #: White space that doesn't count: U+0020 and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
-#: Digests a filter holds at most on average; there are as many filters as that takes.
+#: Digests of the snapshot, and of the batch, that a shard takes on average; there are as many as the larger side needs.
 SHARD = 50_000
 _U = np.uint64
 
@@ -115,8 +115,9 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
     where no other row does (keep_id is then null and they are kept).
 
     Snapshot and batch are grouped by SHA-256 separately, before any shuffle of rows, so a hot text costs one row a
-    task. The snapshot's digests become one binary-fuse filter a shard; batch digests that no filter holds are new,
-    the others join the snapshot's exact buckets. Rows of groups of two and more are then compared byte for byte with
+    task. The snapshot's digests become one binary-fuse filter a shard, and shards are sized by the larger side, so that
+    neither a large batch beside a small or empty snapshot nor the opposite fills one task; batch digests that no filter
+    holds are new, the others join the snapshot's exact buckets. Rows of groups of two and more are then compared byte for byte with
     the row that stays; should two texts share a digest, their groups are formed by the texts themselves.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -127,8 +128,7 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
     text = F.coalesce("text", F.lit(""))
     digests = written(rows.select("doc_id", "new", F.char_length(text).alias("n_code"), F.sha2(_normal(F.col("text")).cast("binary"), 256).alias("digest")), "digests", wide=True)
     old, batch = (written(_groups(digests.filter(c)), "buckets") for c in (~F.col("new"), F.col("new")))
-    n = old.count()
-    shards = max(1, -(-n // shard))
+    shards = max(1, -(-max(old.count(), batch.count()) // shard))
     filters = written(snapshot_filters(old.select("digest"), shards), "filters")
     maybe = written(screened(batch.select("digest"), filters, shards), "screened")
     # Positives go to the exact buckets; what the filters rule out meets no bucket at all.

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hypolith.llm.components import components
-from hypolith.llm.op4_minhash import near_duplicates
+from hypolith.llm.op4_minhash import Signer, near_duplicates
 from hypolith.llm.op6_fuse import Fuse, exact_duplicates
 from hypolith.llm.queries import QUERIES
 from tests.conftest import SF
@@ -72,6 +73,18 @@ def test_near_duplicates_in_a_crowd(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, text), (1, "other words that are quite unlike"), (2, text), (3, text + " end"), (4, "other words that are quite unlike")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOC)).collect()}
+    assert got == {(1, 56): 1, (1, 2): 1, (2, 56): 1, (3, 57): 3, (4, 2): 1}  # 3 is compared with the larger text of 1
+
+
+def test_bands_hold_no_permutation_twice():
+    s = Signer(40, 4)
+    assert sorted(s.at.ravel()) == list(range(80)) and all(len(set(x % 40)) == 4 for x in s.at)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101 + i) for i in range(50)] + [(300, 300), (None, 4), (130, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "low long, high long")).collect()}
@@ -100,6 +113,13 @@ def test_exact_duplicates(spark, shard):
     assert exact_duplicates(spark.createDataFrame([(None, "q", "", ""), (3, "q ", "", "")], DOC)).filter("keep_id = 3").count() == 2
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_exact_duplicates_of_a_large_batch_and_an_empty_snapshot(spark, first):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('t ', cast(id % 1000 AS string)) AS text")
+    rows = exact_duplicates(df, new=F.lit(first), shard=100).collect()
+    assert len(rows) == 3000 and all((r.keep_id, r.group_size) == (r.doc_id % 1000, 3) for r in rows)
+
+
 def test_exact_duplicates_on_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {i: v for (i, _), v in exact(docs).items()}
