@@ -12,7 +12,10 @@ OPAQUE = frozenset("script style template noscript textarea title svg math objec
 #: A start tag closes the open element of the first set, up to an element of the second.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _IN_P = BLOCKS - {"html", "body", "td", "th", "tr", "li", "dt", "dd", "option", "select", "button", "iframe", "legend", "caption", "thead", "tbody", "tfoot", "summary"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A comment, a declaration or a tag. As in the tokenizer of the HTML standard a quote begins a value only right after =,
+#: and an attribute's name or a value without quotes may hold any other character. A value whose quote is never closed
+#: ends with its tag, so that the text after it isn't lost.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+)>""", re.S)
 
 
 class Dom:
@@ -26,9 +29,10 @@ class Dom:
 
     def _read(self, html: str) -> None:
         stack, block, at, n = [0], 0, 0, len(html)
+        last = html.rfind(">") + 1  # no tag ends after it, so nothing is searched there
         tag, parent, depth, attrs, links = self.tag, self.parent, self.depth, self.attrs, self.links
         while at < n:
-            m = _TAG.search(html, at)
+            m = _TAG.search(html, at, last) if at < last else None
             if piece := html[at : m.start() if m else n]:
                 if not piece.isspace():
                     self.texts.append((stack[-1], block, _html.unescape(piece) if "&" in piece else piece))
