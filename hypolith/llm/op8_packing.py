@@ -15,6 +15,8 @@ from hypolith.llm.tables import table
 
 #: Tokens, segments and loss-bearing tokens of a sequence at most; pieces that wait in a task before they are packed.
 TOKENS, SEGMENTS, LOSS, POOL = 1024, 256, 1024, 4096
+#: Characters of one kind in a row (white space, letters, digits, signs) from which the tokenizers file is used.
+RUN = 10_000
 #: The id that ends a document.
 END = 0
 
@@ -30,8 +32,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow, self.fast = Tokenizer.from_file(path), None
-        # Letters for which the two libraries' tables can't differ; a marker of special tokens leaves it to the first.
-        self.other = re.compile("[^\x00-ɏ‐-‧€]|<\\|")
+        # Letters for which the two libraries' tables can't differ; a marker of special tokens leaves it to the first, and
+        # so do long runs of one kind of character, on which the second's patterns run out of stack.
+        self.other = re.compile(f"[^\x00-ɏ‐-‧€]|<\\||\\s{{{RUN}}}|[^\\W\\d_]{{{RUN}}}|\\d{{{RUN}}}|[^\\w\\s]{{{RUN}}}|_{{{RUN}}}")
         if ranks and pattern:
             import base64
 
@@ -44,7 +47,12 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or self.other.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        try:
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        except BaseException as e:  # a panic inside the library is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Packer:
@@ -155,7 +163,8 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
 
     A document is the ids of its whole text (null: empty) by the file `tokenizer`, then END; `ranks` and `pattern` name
     the same vocabulary for the faster library. bears_col: the document's first loss-bearing id (none or null: 0),
-    which for instruction data is the prompt's length. Every id lies in exactly one piece. Each task packs what it
+    which for instruction data is the prompt's length. A text of any length, also of one
+    run of white space, is encoded whole. Every id lies in exactly one piece. Each task packs what it
     reads, as it reads, with at most `pool` pieces waiting: no shuffle, bounded memory, and a lost task is done again
     with the same result. Only the last few sequences of a task are short, and their lengths are powers of two. Rows with
     a null id or repeated ids are packed like others. Other columns aren't read. No rows give no rows.

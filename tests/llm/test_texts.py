@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -111,6 +112,35 @@ def test_html_pages(spark, trees):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_quotes_begin_values_only_after_an_equals_sign():
+    texts = lambda h: [t for _, _, t in Dom(h).texts]
+    assert texts("<article><p class=it's>one</p><p>two</p></article><footer>it's foot</footer>") == ["one", "two", "it's foot"]
+    assert texts("""<p 'a" b>one</p><p c = 'x>y' d="<p>">two</p><p e=>three</p><p f="open>four</p>""") == ["one", "two", "three", "four"]
+    assert texts("a<br/>b<!-->c<!--->d<!-- > -->e<p g=a/>f< p>g</>h") == ["a", " ", "b", "c", "d", "e", "f< p>g</>h"]
+    assert texts("<a " * 20_000 + "x") == ["<a " * 20_000 + "x"] and len(Dom("<div>" * 30_000 + "deep").texts) == 1
+
+
+class _Plain(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.seen = []
+
+    def handle_data(self, data):
+        self.seen.append(data)
+
+
+def test_html_text_is_that_of_another_parser():
+    r = random.Random(8)
+    pieces = ["<p>", "</p>", "<div class=it's>", "</div>", "<b title='a>b'>", "</b>", '<i x="y" z>', "</i>", "<br>", "<br/>", "text", "it's", 'a "quote"', " ", "x = y", "<!-- no -->", "<a href=/q?a='b>", "</a>", "<em a='1'b=2>", "</em>", "5 > 3", "\n"]
+    for _ in range(3000):
+        page = "".join(r.choice(pieces) for _ in range(r.randint(1, 14)))
+        p = _Plain()
+        p.feed(page)
+        p.close()
+        ours = "".join(t for _, _, t in Dom(page).texts)
+        assert "".join(ours.split()) == "".join("".join(p.seen).split()), page
+
+
 def test_html_query_keeps_every_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in QUERIES["op3_html"](spark, SF).collect()}
@@ -222,6 +252,27 @@ def test_packing_edge_cases(spark):
     assert packed(df.union(df), **public_files()).selectExpr("sum(length)").first()[0] == 2 * packed(df, **public_files()).selectExpr("sum(length)").first()[0]
 
 
+def test_packing_long_runs(spark):
+    texts = {0: " " * 2_000_000, 1: "\n" * 2_000_000, 2: "a" + " \n" * 600_000 + "b", 3: "!" * 300_000, 4: "7" * 300_000, 5: "x" * 300_000, 6: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert check_packing(packed(df, **public_files()).collect(), texts) == 0
+
+
+def test_packing_three_limits_on_spark(spark):
+    """Prompts bear no loss; with many short examples all three limits bind somewhere, and none is broken."""
+    r = np.random.default_rng(2)
+    texts = {i: "a word " * int(r.integers(0, 60)) for i in range(1500)}
+    df = spark.createDataFrame([(i, t, int(r.integers(0, 60))) for i, t in texts.items()], "doc_id long, text string, prompt long").coalesce(1)
+    rows = packed(df, **public_files(), bears_col="prompt", tokens=256, segments=6, loss=120).collect()
+    seq = defaultdict(list)
+    for x in rows:
+        seq[x.sequence_id].append(x)
+    full = [(sum(x.length for x in p), len(p), sum(x.loss for x in p)) for p in seq.values()]
+    assert all(a <= 256 and b <= 6 and c <= 120 for a, b, c in full)
+    assert any(a == 256 for a, _, _ in full) and any(b == 6 for _, b, _ in full) and any(c == 120 for _, _, c in full)
+    assert sum(x.length for x in rows) == sum(x.doc_tokens for x in rows if x.start == 0)
+
+
 def test_packing_limits_of_instructions():
     p = Packer(0, tokens=64, segments=4, loss=40, pool=50)
     r = np.random.default_rng(0)
@@ -325,6 +376,19 @@ def test_threads_by_whole_passages(spark):
         assert got == want
 
 
+def test_threads_of_one_conversation_that_quotes_one_line_thousands_of_times(spark):
+    rows = [(1, t, "user", "the same line" if t % 2 == 0 else "> the same line\nnew") for t in range(10_000)]
+    got = threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("turn % 2 = 1").select("turn", "parent_turn").collect()
+    assert len(got) == 5000 and all(r.parent_turn == r.turn - 1 for r in got)
+
+
+def test_threads_of_very_long_messages(spark):
+    long = "\n".join(f"line {i} of it" for i in range(20_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "short"), (2, 0, "user", "\n".join("> " + x for x in long.split("\n")) + "\nyes"), (2, 1, "user", "x" * 1_000_000)]
+    got = {(r.conv_id, r.turn): r for r in threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2, 0].parent_conv, got[2, 0].parent_turn, got[2, 0].text) == (1, 0, "yes") and len(got[2, 1].text) == 1_000_000
+
+
 def test_threads_query_is_the_table_where_nothing_is_quoted(spark):
     c = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     rows = QUERIES["op10_quotes"](spark, SF).collect()
