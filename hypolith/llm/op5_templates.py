@@ -15,16 +15,24 @@ from hypolith.llm.tables import small, table, written
 
 #: Words a window, share of an item's windows that a document must hold, and share of slots filled alike.
 WINDOW, COVERAGE, CONSISTENT = 5, 0.8, 0.8
+#: Windows in a row that a document has word by word from a longer item, so that it holds a part of it (25 words), and the
+#: least words of an item under WINDOW words that is looked for inside texts.
+STRETCH, SHORT = 21, 3
 #: Distinct benchmark windows (8 bytes each) that are sent to every task to screen documents; beyond them a join does it.
 SCREEN = 2_000_000
 #: Units, as words after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h hr hrs day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw v a pa kpa bar c f k percent pct % $ € £ usd eur gbp dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres hour hours minute minutes second seconds".split()
 _U = np.uint64
-_NUMBER, _UNIT, _NAME, _BOTH = (mixed(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
+_NUMBER, _UNIT, _NAME, _BOTH, _NAMED, _VERBATIM = (mixed(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104, 105, 106))
 
 
 class Templater:
-    """Hashes of a text's words as a template: numbers, units and names are typed placeholders, punctuation is off."""
+    """Hashes of a text's words as a template: numbers, units and names are typed placeholders, punctuation is off.
+
+    A capital doesn't tell a name from the first word of a sentence, nor a name from a text that was put in lower case, so
+    there are two readings: in the plain one no word is a name, in the named one every word with a capital is, also at
+    the begin of a sentence, and names in a row within a sentence are one.
+    """
 
     def __init__(self):
         self.hasher = Shingler(WINDOW)
@@ -39,12 +47,13 @@ class Templater:
         self.stop = stop
         self.units = np.sort(np.concatenate([self.words(u)[1] for u in UNITS]))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(template hash, hash of the word itself where it is a slot or else 0's place: the word's) for each word."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: template hash in the plain reading, hash of the word itself, whether it is written as a name, and
+        whether a sentence begins with it."""
         source = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         n = len(source)
         if not n:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
         h = self.hasher
         raw = np.frombuffer(source.tobytes().translate(LOWER), np.uint8).copy()
         after = np.zeros(n, bool)
@@ -75,47 +84,88 @@ class Templater:
         before = np.zeros(len(begin), bool)
         before[1:] = number[:-1]
         small = sums((source >= 0x61) & (source <= 0x7A))  # texts in capitals hold no more names than others
-        name = capital[first] & ~ended & (nd == 0) & (small[end] > small[begin])
+        name = capital[first] & (nd == 0) & (small[end] > small[begin])
         unit = before & np.isin(word, self.units) if hasattr(self, "units") else np.zeros(len(begin), bool)
-        out = np.where(number, _NUMBER, np.where(both, _BOTH, np.where(unit, _UNIT, np.where(name, _NAME, word))))
-        return out[heard], word[heard]
+        out = np.where(number, _NUMBER, np.where(both, _BOTH, np.where(unit, _UNIT, word)))
+        return out[heard], word[heard], name[heard], ended[heard]
+
+    def named(self, template: np.ndarray, word: np.ndarray, name: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Template and own words in the named reading."""
+        template = np.where(name, _NAME, template)
+        more = np.zeros(len(name), bool)
+        more[1:] = name[1:] & name[:-1] & ~ended[1:]
+        if more.any():
+            first = np.flatnonzero(~more)
+            place = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
+            # A name's words by their places; a single word stays as it is.
+            template, word = template[first], np.add.reduceat(word * self.hasher.powers[place], first)
+        return template, word
+
+    def windows(self, text: str, widths: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hash, own words by row, whether each is a slot) of the windows in the plain reading and in the named one. A text
+        under WINDOW words is one window of just its words, and has no named reading; `widths` asks for windows of
+        so many words, word by word, besides."""
+        template, word, name, ended = self.words(text)
+        n, out = len(word), []
+        view = lambda x, k: np.lib.stride_tricks.sliding_window_view(x, k)
+        if n >= WINDOW:
+            out.append((self.hasher.windows(template), view(word, WINDOW), view(template != word, WINDOW)))
+            template, own = self.named(template, word, name, ended)
+            if len(own) >= WINDOW:
+                out.append((mixed(self.hasher.windows(template) ^ _NAMED), view(own, WINDOW), view(template != own, WINDOW)))
+            else:
+                out.append((np.empty(0, np.uint64), np.empty((0, WINDOW), np.uint64), np.empty((0, WINDOW), bool)))
+        for k in {*widths, *({n} if 0 < n < WINDOW else ())}:
+            if k <= n:
+                each = view(word, k)
+                out.append((mixed((each * self.hasher.place[:k]).sum(1, dtype=np.uint64) + (_VERBATIM ^ _U(k))), each, np.zeros(each.shape, bool)))
+        return out
+
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, own words by row, whether each is a slot) of each window; one short window where words are fewer."""
-        template, word = self.words(text)
-        k = min(WINDOW, len(template))
-        if not k:
-            return template, np.empty((0, WINDOW), np.uint64), np.empty((0, WINDOW), bool)
-        view = lambda x: np.lib.stride_tricks.sliding_window_view(x, k)
-        return self.hasher.windows(template), view(word), view(template != word)
+class Known:
+    """A set of hashes: a table of bits rules most others out before the search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.shift = _U(64 - min(24, max(16, len(hashes).bit_length() + 4)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self.hashes >> self.shift] = True
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """The places of those in h that are in the set."""
+        maybe = np.flatnonzero(self.bits[h >> self.shift])
+        if not len(maybe):
+            return maybe
+        x = h[maybe]
+        return maybe[self.hashes[np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)] == x]
 
 
 HITS = "id long, part long, window long, at long, words array<long>, slots array<boolean>"
 
 
-def _windows(known: np.ndarray | None):
-    """Rows of HITS for (id, text): of every window, or of those in the ascending array `known`."""
+def _windows(hashes: np.ndarray | None, widths: tuple[int, ...] = ()):
+    """Rows of HITS for (id, text): of every window, or of those among `hashes`. part tells texts and readings apart; it is
+    even in the plain one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Templater()
+        t, known = Templater(), None if hashes is None else Known(hashes)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 ids, parts, found, at, words, slots = [], [], [], [], [], []
                 for i, text in zip(*batch.slice(start, 256).columns, strict=True):
-                    text = text.as_py()
-                    h, w, s = t.windows(text)
-                    if known is not None:
-                        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) and len(h) else np.empty(0, np.int64)
-                    else:
-                        hit = np.arange(len(h))
-                    if not len(hit):
-                        continue
-                    ids += [i.as_py()] * len(hit)
-                    parts += [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(hit)
-                    found.append(h[hit].view(np.int64))
-                    at.append(hit)
-                    words += list(w[hit].view(np.int64))
-                    slots += list(s[hit])
+                    text, part = text.as_py(), None
+                    for k, (h, w, s) in enumerate(t.windows(text, widths)):
+                        hit = np.arange(len(h)) if known is None else known.at(h)
+                        if not len(hit):
+                            continue
+                        if part is None:
+                            part = (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 << 1) - (1 << 63)
+                        ids += [i.as_py()] * len(hit)
+                        parts += [part + (k == 1)] * len(hit)
+                        found.append(h[hit].view(np.int64))
+                        at.append(hit)
+                        words += list(w[hit].view(np.int64))
+                        slots += list(s[hit])
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(at), pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.bool_()))], ["id", "part", "window", "at", "words", "slots"])
 
@@ -172,7 +222,23 @@ def _occurrence(at: np.ndarray, code: np.ndarray, words: np.ndarray, place: np.n
     return None
 
 
-def _judged(coverage: float, consistent: float):
+def _stretch(at: np.ndarray, code: np.ndarray, place: np.ndarray, item: np.ndarray) -> int:
+    """The most windows in a row of the item (place, item) that a text (at, code) has in a row, by equal codes."""
+    order = np.argsort(code, kind="stable")
+    at, code = at[order], code[order]
+    low, high = np.searchsorted(code, item), np.searchsorted(code, item, "right")
+    n = high - low
+    mine = np.repeat(place, n)
+    theirs = at[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    order = np.lexsort([mine, theirs - mine])
+    off, mine = (theirs - mine)[order], mine[order]
+    if not len(mine):
+        return 0
+    breaks = np.flatnonzero((np.diff(off) != 0) | (np.diff(mine) != 1)) + 1
+    return int(np.diff(np.concatenate([[0], breaks, [len(mine)]])).max())
+
+
+def _judged(coverage: float, consistent: float, stretch: int):
     """(id, item, coverage, slot_share) of a document's hits and an item's windows, or no row where it isn't held."""
 
     def run(hits: pa.Table, body: pa.Table) -> pa.Table:
@@ -191,6 +257,10 @@ def _judged(coverage: float, consistent: float):
                     continue
                 texts, at, window, words = (column(hits, x)[same] for x in ("part", "at", "window", "words"))
                 words = np.stack(words)
+                if one % 2 == 0 and len(was) > stretch:
+                    exact = np.unique(np.vstack([was, words]), axis=0, return_inverse=True)[1].reshape(-1)
+                    if any(_stretch(at[texts == x], exact[len(was) :][texts == x], place, exact[: len(was)]) >= stretch for x in np.unique(texts[texts % 2 == 0])):
+                        share = 1.0
                 # Where all windows are placeholders only, values must be the item's own.
                 own, theirs = (np.hstack([x[:, None], y]) if slots.all() else x[:, None] for x, y in ((names, was), (window, words)))
                 code = np.unique(np.vstack([own, theirs]), axis=0, return_inverse=True)[1].reshape(-1)
@@ -226,16 +296,19 @@ def _judged(coverage: float, consistent: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", screen: int = SCREEN) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", screen: int = SCREEN, stretch: int = STRETCH) -> DataFrame:
     """(doc_id, item_ids, coverage, slot_share, n_items) for each document id that holds a benchmark item.
 
-    A document holds an item if it has at least `coverage` of the item's distinct template windows and at least
-    `consistent` of the item's slot values (the number, unit or name that the item has there) are filled by one and the
+    A document holds an item if in one of the two readings (see Templater) it has at least `coverage` of the item's
+    distinct template windows and at least `consistent` of the item's slot values (the number, unit or name that the item has there) are filled by one and the
     same value, everywhere in the document or in one occurrence of the item that has `coverage` of its windows. So
     renamed questions count, also beside others of the same template, and chance meetings of templates don't. An item of
-    nothing but slots counts by its own values only.
-    Documents and items without words match nothing; items under WINDOW words are one window and match only texts of
-    just those words. Null ids match nothing. Repeated documents and items count once. Nothing else is read.
+    nothing but slots counts by its own values only. It also holds an item of which it has `stretch` windows in a row word
+    by word, however long the item is.
+    Documents and items without words match nothing. Items under WINDOW words have no template: they match word by
+    word, inside any text if they have SHORT words and more, else texts of just those words, for one or two words in
+    a text are no evidence. Very long texts are read whole, 256 texts at a time. Null ids match nothing. Repeated
+    documents and items count once; an item id with several texts is held if one of them is. Nothing else is read.
 
     Benchmark windows are screened in the pass over the texts when they are few enough to send to each task, and the
     hits, or else all windows, are hash-joined with the items' windows.
@@ -243,20 +316,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     known = written(items.mapInArrow(_windows(None), HITS).dropDuplicates(["id", "part", "at"]), "items")
-    total = known.groupBy("id").agg(F.count_distinct("window").alias("all")).withColumnRenamed("id", "item")
+    total = known.groupBy(F.col("id").alias("item"), F.col("part").alias("body")).agg(F.count_distinct("window").alias("all"))
+    widths = tuple(r[0] for r in known.select(F.size("words").alias("n")).filter(F.col("n").between(SHORT, WINDOW - 1)).distinct().collect())  # two at most
     distinct = known.select("window").distinct()
     few = distinct.limit(screen + 1).count() <= screen
     held = np.sort(distinct.toPandas()["window"].to_numpy(np.int64).view(np.uint64)) if few else None
-    hits = docs.mapInArrow(_windows(held), HITS)
+    hits = docs.mapInArrow(_windows(held, widths), HITS)
     hits = written(hits if few else hits.join(distinct, "window", "left_semi"), "hits")
-    sides = small(written(known.select("window", F.col("id").alias("item")).distinct(), "sides"), 200_000)
-    met = hits.select("id", "window").distinct().join(sides, "window").groupBy("id", "item").agg(F.count("*").alias("found"))
-    met = met.join(small(total), "item").filter(F.col("found") / F.col("all") >= coverage).select("id", "item")
+    sides = written(known.select("window", F.col("id").alias("item"), F.col("part").alias("body")).distinct(), "sides")
+    met = hits.select("id", "window").distinct().join(small(sides, 200_000), "window").groupBy("id", "item", "body").agg(F.count("*").alias("found"))
+    met = met.join(small(total), ["item", "body"]).filter(F.col("found") >= F.least(coverage * F.col("all"), F.lit(float(stretch)))).select("id", "item").distinct()
     met = written(met, "met")
-    held_by = hits.join(met, "id").join(sides, ["window", "item"], "left_semi").select("id", "item", "part", "at", "window", "words")
+    held_by = hits.join(met, "id").join(small(written(sides.select("window", "item").distinct(), "sides"), 200_000), ["window", "item"], "left_semi").select("id", "item", "part", "at", "window", "words")
     body = met.join(known.select(F.col("id").alias("item"), "part", "at", "window", "words", "slots"), "item").select("id", "item", "part", "at", "window", "words", "slots")
     body = body.toDF(*body.columns)
-    met = held_by.groupBy("id", "item").cogroup(body.groupBy("id", "item")).applyInArrow(_judged(coverage, consistent), "id long, item long, coverage double, slot_share double")
+    met = held_by.groupBy("id", "item").cogroup(body.groupBy("id", "item")).applyInArrow(_judged(coverage, consistent, stretch), "id long, item long, coverage double, slot_share double")
     return met.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("slot_share").alias("slot_share")).withColumn("n_items", F.size("item_ids").cast("long"))
 
 

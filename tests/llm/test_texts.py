@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from hypolith.llm.op2_quality import classified
 from hypolith.llm.op3_html import _Maker, choose, extracted, features, main_text, trained
 from hypolith.llm.dom import Dom
-from hypolith.llm.op5_templates import Templater, contaminated
+from hypolith.llm.op5_templates import UNITS, Templater, contaminated
 from hypolith.llm.op8_packing import END, Packer, packed, public_files
 from hypolith.llm.op9_lm import CLASSES, Network, buckets, corpus_counts, scored
 from hypolith.llm.op9_lm import trained as lm_trained
@@ -158,9 +158,11 @@ def test_html_query_keeps_every_article(spark):
 
 def test_template_words():
     t = Templater()
-    same = lambda a, b: (t.words(a)[0] == t.words(b)[0]).all()
-    assert same("he has 5 kg of Rice, today", "HE has 71 lbs of Corn today".replace("HE", "he"))
+    same = lambda a, b: np.array_equal(t.named(*t.words(a))[0], t.named(*t.words(b))[0])
+    assert same("he has 5 kg of Rice, today", "he has 71 lbs of Corn today")
     assert same("it was Élan there", "it was Paul there") and not same("it was élan there", "it was paul there")
+    assert same("Anna went to New York City. Tom too", "Maria Lopez went to Boston. Sam too") and not same("to Boston. Tom too", "to Boston Tom too")
+    assert len(t.windows("a b c d", (3,))) == 2 and [len(h) for h, _, _ in t.windows("a Bo Co d e f", (3, 4))] == [2, 1, 4, 3]
     assert same("(about) 3.5 days", "about 4 hours") and not same("3 apples", "3 pears")
     assert len(t.words(None)[0]) == len(t.words(" \n ")[0]) == len(t.words("... --")[0]) == 0
 
@@ -199,6 +201,96 @@ def test_contaminated_by_one_occurrence_of_several(spark):
         assert got == {1: [1], 2: [1], 3: [1], 5: [2], 6: [2], 7: [3], 9: [1]}
 
 
+def test_contaminated_by_short_items_and_long_parts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    long = [word() for _ in range(100)]
+    items = [(1, "Name four Baltic rivers"), (2, "What is 7"), (3, "two words"), (4, " ".join(long)), (5, "one"), (5, "Spell it out loud")]
+    docs = [(1, f"{filler(40)} name four baltic rivers. {filler(9)}"), (2, f"{filler(9)} What is 7?"), (3, f"{filler(9)} what is 8"), (4, f"{filler(5)} two words {filler(5)}"), (5, "Two words!"), (6, " ".join(long[20:50])), (7, f"{filler(30)} {' '.join(long[50:75])} {filler(30)}"), (8, f"{' '.join(long[:12])} {filler(30)} {' '.join(long[30:42])} {filler(3)} {' '.join(long[60:72])}"), (9, "ONE"), (10, f"so {filler(2)} spell it out loud")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for screen in (1_000_000, 0):
+        assert {x.doc_id: list(x.item_ids) for x in contaminated(df, bench, screen=screen).collect()} == {1: [1], 2: [2], 5: [3], 6: [4], 7: [4], 9: [5], 10: [5]}
+
+
+def word_problems(n, seed, usual=True):
+    """(question, the same with other names, numbers and units) from templates with names at the begin of sentences too.
+    Not usual: the things and deeds are other words, too."""
+    r = random.Random(seed)
+    names = ["Anna", "Maria", "Tom", "Peter", "Lena", "Max", "New York", "Boston", "Ana Maria Silva", "Paul", "Oslo", "San Jose", "Eve", "Ivan", "Ken"]
+    things, verbs = ["eggs", "pears", "books", "coins", "cards", "lamps"], ["gives", "sells", "sends", "lends"]
+    units = ["kg", "miles", "hours", "dollars"]
+    out = []
+    for _ in range(n):
+        made = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(6))
+        t, v, w = (r.choice(things), r.choice(verbs), made()) if usual else (made(), made(), made())
+        forms = [
+            f"{{a}} has {{i}} {t} from the {w} shop. {{a}} {v} {{j}} {t} to {{b}}. {{b}} already had {{k}} {t}. How many {t} can {{b}} {v} now?",
+            f"The {w} road from {{a}} to {{b}} is {{i}} {{u}} long. {{c}} {v} {t} along {{j}} {{u}} of it on the first day and {{k}} {{u}} on the next. What is left?",
+            f"If {{a}} pays {{i}} {{u}} for {{j}} {t} in the {w} store and {{b}} {v} {{k}} {{u}} for the same {t}, who paid less for each?",
+        ]
+        form = r.choice(forms)
+
+        def fill():
+            a, b, c = r.sample(names, 3)
+            i, j, k = r.sample(range(2, 900), 3)
+            return form.format(a=a, b=b, c=c, i=i, j=j, k=k, u=r.choice(units))
+
+        out.append((fill(), fill()))
+    return out
+
+
+def test_reparameterised_questions_are_found(spark):
+    pairs = word_problems(200, 6)
+    r = random.Random(2)
+    filler = lambda: " ".join("".join(r.choice("klmnoprst") for _ in range(5)) for _ in range(40))
+    docs = [(i, f"{filler()}. {b} {filler()}") for i, (_, b) in enumerate(pairs)]
+    docs += [(1000 + i, f"{filler()}. {b} {filler()}") for i, (_, b) in enumerate(word_problems(200, 77, usual=False))]  # of the same forms about other things
+    docs += [(2000 + i, filler()) for i in range(100)] + [(3000 + i, f"{filler()} {a.lower()} {filler()}") for i, (a, _) in enumerate(pairs[:50])]
+    bench, df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: set(x.item_ids) for x in contaminated(df, bench).collect()}
+    recall = np.mean([i in got.get(i, ()) for i in range(200)])
+    assert recall >= 0.95 and np.mean([1000 + i in got for i in range(200)]) <= 0.05
+    assert not any(2000 + i in got for i in range(100)) and all(i in got[3000 + i] for i in range(50))
+
+
+def plain_windows(text):
+    """(plain, named) template windows of five words in plain Python."""
+    tokens, before, ended = [], False, True
+    for raw in re.findall("[^ \\t-\\r]+|\n", text or ""):
+        if raw == "\n":
+            ended = True
+            continue
+        w = "".join(c for c in raw if c.isalnum() or c in "%$" or ord(c) > 127)
+        low = w.lower()
+        if w:
+            number, letters = any(c in "0123456789" for c in w), any(c.isalpha() or ord(c) > 127 for c in w)
+            kind = "<n>" if number and not letters else "<b>" if number and w[0] in "0123456789" else "<u>" if before and low in UNITS else low
+            name = not number and w[0] != low[0] and re.search("[a-z]", w)
+            tokens.append((kind, low, bool(name), ended))
+        before = bool(w) and number and not letters
+        ended = raw[-1] in ".!?:;\""
+    plain = [k for k, *_ in tokens]
+    named = []
+    for i, (k, _, name, ended) in enumerate(tokens):
+        if not (name and i and tokens[i - 1][2] and not ended):
+            named.append("<name>" if name else k)
+    return [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (plain, named)]
+
+
+def test_contaminated_query_against_plain_windows(spark):
+    bench = {r.item_id: plain_windows(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: (set(r.item_ids), r.coverage) for r in QUERIES["op5_templates"](spark, SF).collect()}
+    for d, t in texts.items():
+        mine = plain_windows(t)
+        share = {i: max(len(a & b) / len(b) for a, b in zip(mine, x) if b) for i, x in bench.items()}
+        want = {i for i, x in share.items() if x >= 0.8}
+        assert got[d][0] <= want and {i for i, x in share.items() if x == 1} <= got[d][0], d
+        if got[d][0]:
+            assert abs(got[d][1] - max(share[i] for i in got[d][0])) < 1e-9
+
+
 def test_contaminated_query_finds_verbatim_items(spark):
     words = lambda x: " ".join(re.sub(r"[^\w\s]", " ", x.lower()).split())
     bench = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
