@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hypolith.llm.shingles import LOWER, Shingler
 from hypolith.llm.tables import table, written
 
-#: Labelled documents to fit on, unlabelled ones that the views label for each other, rounds, and the least confidence.
-LABELLED, UNLABELLED, ROUNDS, SURE = 6000, 4000, 3, 0.95
+#: Labelled documents to fit on at most, rounds in which the views label all other documents for each other, the least
+#: confidence, and the weight of such a label against a given one.
+LABELLED, ROUNDS, SURE, TOLD = 6000, 2, 0.95, 0.3
 #: Width of the hashed features of the text and of the page's data.
 TEXT, META = 1 << 18, 1 << 10
-#: Documents of the sample that a feature must be active in; rarer ones say nothing.
+#: Documents that a feature must be active in; rarer ones say nothing.
 SEEN = 3
 #: Weight of the squared weights in the fit.
 RIDGE = 2e-3
-#: Parts that calibration is done by; up to so many labelled rows by all of them, beyond by the first.
-FOLDS, FEW = 5, 2000
+#: Parts of the labelled documents; each is calibrated on by a fit to the others.
+FOLDS = 5
+HEADS = ("quality", "toxic")
 #: The document columns that are read; those missing or null count as unknown.
 COLUMNS = ("text", "lang", "source", "n_chars")
 FEATURES = "text_at array<int>, meta_at array<int>"
@@ -54,18 +57,21 @@ class Viewer:
         words, n = self.shingler.words(text, _BARE), max(1, len(raw))
         kinds = np.bincount(_CLASS[raw], minlength=6) / n
         at = _distinct((words >> np.uint64(32)).astype(np.int32) & (TEXT - 1))
+        lines = text.split("\n")
+        long = len(text) / len(lines)
+        ended = sum(x.endswith((".", "!", "?", ":", '"')) for x in lines) / len(lines)
         shape = [self._named(k, _bin(v, w)) for k, v, w in (
+            ("lines", np.log2(1 + len(lines)), 0.5), ("line", np.log2(1 + long), 0.5), ("ended", ended, 0.1), ("unique", len(set(lines)) / len(lines), 0.1),
             ("symbols", kinds[1], 0.01), ("upper", kinds[2], 0.03), ("digits", kinds[3], 0.02), ("blank", kinds[4], 0.02), ("stops", kinds[5], 0.01),
             ("same", (words[1:] == words[:-1]).mean() if len(words) > 1 else 0, 0.02), ("distinct", len(at) / max(1, len(words)), 0.05), ("long", n / max(1, len(words)), 0.5),
         )]
+        shape.append(self._named("both", _bin(ended, 0.25), _bin(np.log2(1 + long), 1)))
         return _distinct(np.append(at, np.array(shape, np.int64).astype(np.int32) & (TEXT - 1)))
 
-    def meta(self, text: str, lang: object, source: object, chars: object) -> np.ndarray:
-        chars = len(text) if chars is None or chars != chars else chars
-        lines = text.split("\n")
-        long = len(text) / len(lines)
-        ended = sum(x.endswith((".", "!", "?", ":", '"')) for x in lines) / len(lines)
-        names = (("lang", lang), ("source", source), ("chars", _bin(np.log2(1 + max(0, chars)), 0.5)), ("lines", _bin(np.log2(1 + len(lines)), 0.5)), ("line", _bin(np.log2(1 + long), 0.5)), ("ended", _bin(ended, 0.1)), ("unique", _bin(len(set(lines)) / len(lines), 0.1)), ("both", _bin(ended, 0.25), _bin(np.log2(1 + long), 1)))
+    def meta(self, lang: object, source: object, chars: object) -> np.ndarray:
+        """What the table says of the document beside its text: each column, and pairs of them."""
+        size = "none" if chars is None or chars != chars else _bin(np.log2(1 + max(0, chars)), 0.5)
+        names = (("lang", lang), ("source", source), ("chars", size), ("lang source", lang, source), ("lang chars", lang, size), ("source chars", source, size))
         return np.unique(np.array([self._named(*x) for x in names]) % META).astype(np.int32)
 
 
@@ -76,48 +82,62 @@ for _chars, _kind in (("#$%&*|<>{}[]^~=+_/\\@!", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXY
     _CLASS[[ord(c) for c in _chars]] = _kind
 
 
+class Told:
+    """Documents that the other view labelled: how many of each class, and in how many each feature was active."""
+
+    def __init__(self, width: int):
+        self.n, self.active = np.zeros(2), np.zeros((2, width))
+
+
 class Rows:
     """A sparse matrix of ones."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
         self.size = np.array([len(r) for r in rows], np.int64)
-        self.at = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), self.size)
-        often = np.bincount(self.at, minlength=width)[self.at] >= min(SEEN, self.n)
+        self.all = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+        self.of = np.repeat(np.arange(self.n), self.size)
+        often = np.bincount(self.all, minlength=width)[self.all] >= min(SEEN, self.n)
         # Only the features that are left get numbers to fit; names holds their positions.
-        self.names, self.at = np.unique(self.at[often], return_inverse=True)
-        self.row = self.row[often]
-
-    def contrast(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The log ratio of each feature's share among the ones to that among the zeros, one example added to each."""
-        shares = []
-        for part in (weight * y, weight * (1 - y)):
-            shares.append((np.bincount(self.at, part[self.row], len(self.names)) + 1) / (part.sum() + 2))
-        return np.log(shares[0] / shares[1])
-
-    def fit(self, y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = RIDGE) -> np.ndarray:
+        self.names, self.at = np.unique(self.all[often], return_inverse=True)
+        self.row = self.of[often]
+
+    def contrast(self, y: np.ndarray, weight: np.ndarray, told: Told) -> np.ndarray:
+        """The log ratio of each feature's share among the ones to that among the zeros, over the weighted rows and the told
+        documents; 0 for features that fewer than SEEN have. One example that is like all is added."""
+        shares, held = [], np.zeros(self.width)
+        parts = [(weight * p, told.n[k] * TOLD, told.active[k] * TOLD) for k, p in ((1, y), (0, 1 - y))]
+        total = sum(p.sum() + n for p, n, _ in parts)
+        for part, n, active in parts:
+            size = max(1e-9, part.sum() + n)
+            shares.append((np.bincount(self.all, part[self.of], self.width) + active + size / total) / size)
+        held = np.bincount(self.all, weight[self.of], self.width) + told.active.sum(0)
+        return np.where(held >= min(SEEN, self.n), np.log(shares[0] / shares[1]), 0.0)
+
+    def fit(self, y: np.ndarray, weight: np.ndarray, told: Told, steps: int = 150, ridge: float = RIDGE) -> np.ndarray:
         """Logistic regression on features scaled by their contrast, by adaptive gradient steps over all rows.
 
-        The scale makes telling features cheap, so that few labels are enough. The weights that are returned belong to
-        the plain features; the last is the constant.
+        The scale makes telling features cheap, so that few labels are enough; the sum of all contrasts is a feature too,
+        by which those count that only told documents have. The weights that are returned belong to the plain
+        features; the last is the constant.
         """
-        scale = self.contrast(y, weight)
-        value = scale[self.at]
-        w, size = np.zeros(len(self.names) + 1), np.zeros(len(self.names) + 1)
+        scale = self.contrast(y, weight, told)
+        value = scale[self.names][self.at]
+        sums = np.bincount(self.of, scale[self.all], self.n) / 10
+        w, size = np.zeros(len(self.names) + 2), np.zeros(len(self.names) + 2)
         total, rate = max(1e-9, weight.sum()), 0.1
         for _ in range(steps):
-            r = weight * (_chance(np.bincount(self.row, w[self.at] * value, self.n) + w[-1]) - y) / total
-            g = np.append(np.bincount(self.at, r[self.row] * value, len(self.names)), r.sum())
+            r = weight * (_chance(np.bincount(self.row, w[self.at] * value, self.n) + w[-2] * sums + w[-1]) - y) / total
+            g = np.concatenate([np.bincount(self.at, r[self.row] * value, len(self.names)), [r @ sums, r.sum()]])
             g[:-1] += ridge * w[:-1]
             size += g * g
             w -= rate * g / (np.sqrt(size) + 1e-8)
-        out = np.zeros(self.width + 1)
-        out[self.names], out[-1] = w[:-1] * scale, w[-1]
+        out = np.append(scale * w[-2] / 10, w[-1])
+        out[self.names] += w[:-2] * scale[self.names]
         return out
 
     def odds(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.names][self.at], self.n) + w[-1]
+        return np.bincount(self.of, w[self.all], self.n) + w[-1]
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -135,39 +155,58 @@ def _scaled(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _apart(views: tuple[Rows, Rows], given: list[np.ndarray], weight: list[np.ndarray], known: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, odds by view) of known rows by fits that didn't see them: every fold of few rows, the first of many."""
-    rows, odds = np.zeros(0, np.int64), np.zeros((0, 2))
-    for k in range(FOLDS) if known.sum() <= FEW else (0,):
-        at = np.flatnonzero(known & (fold == k))
-        found = [v.odds(v.fit(g, np.where(known & (fold == k), 0.0, w)))[at] for v, g, w in zip(views, given, weight, strict=True)]
-        rows, odds = np.append(rows, at), np.concatenate([odds, np.column_stack(found)])
-    return rows, odds
-
-
-def cotrained(views: tuple[Rows, Rows], y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Weights of both views, the calibration of each, and that of both together.
-
-    y: 0 or 1, -1 where unknown; fold: 0 to FOLDS - 1, by which rows are kept out of the fits that calibrate them. In
-    every round each view labels the unknown rows of which it is sure, for the other view's next fit. With one class
-    alone the weights are zero, so that nothing is told apart.
-    """
+def fitted(views: tuple[Rows, Rows], y: np.ndarray, fold: np.ndarray, told: tuple[Told, Told]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Weights of both views, the calibration of each, and that of both together, from labelled rows (y: 0 or 1, -1 where
+    this label is missing) and what the other view told. Each fold is calibrated on by fits that didn't see it. With one
+    class alone the weights are zero, so that nothing is told apart."""
     known = y >= 0
     if len(set(y[known])) < 2:
         return [np.zeros(v.width + 1) for v in views], [np.zeros(2)] * 2, np.zeros(3)
-    given, weight = [np.where(known, y, 0.5) for _ in views], [known.astype(float) for _ in views]
-    for k in range(rounds + 1):
-        rows, odds = _apart(views, given, weight, known, fold) if k in (0, rounds) else (rows, odds)
-        scale = [_scaled(odds[:, i : i + 1], y[rows]) for i in range(2)] if k in (0, rounds) else scale
-        found = [v.fit(g, w) for v, g, w in zip(views, given, weight, strict=True)]
-        if k < rounds:
-            for me, other in ((0, 1), (1, 0)):
-                p = _chance(scale[me][0] * views[me].odds(found[me]) + scale[me][1])
-                told = ~known & ((p >= sure) | (p <= 1 - sure))
-                given[other] = np.where(told, p >= 0.5, np.where(known, y, 0.5))
-                weight[other] = known + 0.3 * told
-    both = np.column_stack([odds[:, i] * s[0] + s[1] for i, s in enumerate(scale)])
-    return found, scale, _scaled(both, y[rows])
+    given, odds = np.where(known, y, 0.5), np.zeros((len(y), 2))
+    for k in range(FOLDS):
+        if (mine := known & (fold == k)).any():
+            weight = (known & (fold != k)).astype(float)
+            for i, v in enumerate(views):
+                odds[mine, i] = v.odds(v.fit(given, weight, told[i]))[mine]
+    scale = [_scaled(odds[known, i : i + 1], y[known]) for i in range(2)]
+    both = np.column_stack([odds[known, i] * s[0] + s[1] for i, s in enumerate(scale)])
+    return [v.fit(given, known.astype(float), told[i]) for i, v in enumerate(views)], scale, _scaled(both, y[known])
+
+
+def _told(model: dict[str, tuple], sure: float) -> Callable:
+    """Rows of TOLD_ROWS for (known, text_at, meta_at): over the documents without a label of which a view is sure, in how
+    many each feature of the other view is active; feature -1 has the documents."""
+    packed = {h: ([w.astype(np.float32) for w in m[0]], m[1]) for h, m in model.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((4, width + 1), np.int64) for width in (TEXT, META)]
+        for batch in batches:
+            free = ~np.asarray(batch.column(0), bool)
+            lists = []
+            for c in (1, 2):
+                at = np.asarray(batch.column(c).flatten(), np.int64)
+                size = np.asarray(pa.compute.list_value_length(batch.column(c)), np.int64)
+                lists.append((at, np.repeat(np.arange(len(free)), size)))
+            for h, (weights, scale) in enumerate(packed.values()):
+                for me in (0, 1):
+                    at, row = lists[me]
+                    p = _chance(scale[me][0] * (np.bincount(row, weights[me][at], len(free)) + weights[me][-1]) + scale[me][1])
+                    for one, yes in ((1, p >= sure), (0, p <= 1 - sure)):
+                        yes = yes & free
+                        at2, row2 = lists[1 - me]
+                        total[1 - me][2 * h + one][:-1] += np.bincount(at2[yes[row2]], minlength=total[1 - me].shape[1] - 1)
+                        total[1 - me][2 * h + one][-1] += yes.sum()
+        for view, t in enumerate(total):
+            some = np.flatnonzero(t.any(0))
+            for i in range(0, len(some), 1 << 16):
+                part = some[i : i + (1 << 16)]
+                feature = np.where(part == t.shape[1] - 1, -1, part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), view, np.int32)), pa.array(feature.astype(np.int32)), *(pa.array(t[k, part]) for k in range(4))], ["view", "feature", "a", "b", "c", "d"])
+
+    return run
+
+
+TOLD_ROWS = "view int, feature int, a long, b long, c long, d long"
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -177,26 +216,44 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def _viewed(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.DataFrame:
     v = Viewer()
-    rows = [(v.text(t or ""), v.meta(t or "", a, s, c)) for t, a, s, c in zip(text, lang, source, chars, strict=True)]
+    rows = [(v.text(t or ""), v.meta(a, s, c)) for t, a, s, c in zip(text, lang, source, chars, strict=True)]
     return pd.DataFrame({"text_at": [a for a, _ in rows], "meta_at": [b for _, b in rows]})
 
 
-def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, id_col: str = "doc_id") -> dict[str, tuple]:
-    """The fitted views for `quality` and `toxic`, from at most `labelled` labelled and `unlabelled` other documents.
+def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE, id_col: str = "doc_id") -> dict[str, tuple]:
+    """The fitted views for `quality` and `toxic`.
 
-    Both samples are the first in the order of a hash of the id, so they don't depend on how the tables lie. Only
-    positions of features come to the driver, some hundred a document.
+    At most `labelled` labelled documents, the first in the order of a hash of the id among those whose documents are
+    there, come to the driver, a row an id. In every round all other documents are scored on Spark by both views, and how
+    often each feature occurs among those of which a view is sure is summed for the other view's next fit: as many
+    rows as there are features come to the driver, however many documents they sum up.
     """
-    ids = lambda d, n, salt: d.filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(salt)), id_col).limit(n)
-    some = ids(labels.groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), labelled, 1)
-    more = ids(docs.select(F.col(id_col).cast("long").alias(id_col)), unlabelled, 2).select(id_col, F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
-    wanted = written(some.select(id_col, F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic")).unionByName(more).groupBy(id_col).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "sample")
-    here = docs.select(F.col(id_col).cast("long").alias(id_col), *_columns(docs)).join(F.broadcast(wanted), id_col)  # at most labelled + unlabelled rows
-    viewed = here.select("quality", "toxic", F.xxhash64(id_col).alias("h"), F.pandas_udf(_viewed, FEATURES)(*COLUMNS).alias("v")).select("quality", "toxic", "h", "v.*")
-    pdf = written(viewed, "views").toPandas()
-    rows = tuple(Rows(list(pdf[c]), width) for c, width in (("text_at", TEXT), ("meta_at", META)))
+    key = F.col(id_col).cast("long").alias(id_col)
+    viewed = written(docs.select(key, *_columns(docs)).select(id_col, F.pandas_udf(_viewed, FEATURES)(*COLUMNS).alias("v")).select(id_col, "v.*"), "views", wide=True)
+    given = labels.filter(F.col(id_col).isNotNull()).groupBy(key).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    there = given.join(viewed.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(labelled)
+    some = F.broadcast(written(there, "sample"))  # at most `labelled` rows
+    one = viewed.join(some, id_col).groupBy(id_col).agg(F.min(F.struct("text_at", "meta_at")).alias("v"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    pdf = written(one.select("v.*", *(F.coalesce(h, F.lit(-1)).alias(h) for h in HEADS), F.xxhash64(id_col).alias("h")), "labelled").toPandas().sort_values("h")
+    views = tuple(Rows(list(pdf[c]), width) for c, width in (("text_at", TEXT), ("meta_at", META)))
     fold = pdf["h"].to_numpy(np.int64) % FOLDS
-    return {head: cotrained(rows, pdf[head].to_numpy(float), fold) for head in ("quality", "toxic")}
+    told = {h: (Told(TEXT), Told(META)) for h in HEADS}
+    rest = viewed.join(some.select(id_col, F.lit(True).alias("k")), id_col, "left").select(F.coalesce("k", F.lit(False)).alias("known"), "text_at", "meta_at")
+    for k in range(rounds + 1):
+        model = {h: fitted(views, pdf[h].to_numpy(float), fold, told[h]) for h in HEADS}
+        if k == rounds or not any(m[2].any() for m in model.values()):
+            return model
+        sums = rest.mapInArrow(_told(model, sure), TOLD_ROWS).groupBy("view", "feature").agg(*(F.sum(c).alias(c) for c in "abcd"))
+        found = written(sums, "told").toPandas()
+        told = {h: (Told(TEXT), Told(META)) for h in HEADS}
+        for i, h in enumerate(HEADS):
+            for view in (0, 1):
+                part = found[found["view"] == view]
+                n = part["feature"].to_numpy() < 0
+                for one, c in ((0, "abcd"[2 * i]), (1, "abcd"[2 * i + 1])):
+                    told[h][view].n[one] = part[c][n].sum()
+                    told[h][view].active[one][part["feature"][~n].to_numpy()] = part[c][~n]
+    return model
 
 
 def scorer(model: dict[str, tuple]) -> Callable[..., Column]:
@@ -206,7 +263,7 @@ def scorer(model: dict[str, tuple]) -> Callable[..., Column]:
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.DataFrame:
         v, out = Viewer(), []
         for t, a, s, c in zip(text, lang, source, chars, strict=True):
-            at, row = (v.text(t or ""), v.meta(t or "", a, s, c)), []
+            at, row = (v.text(t or ""), v.meta(a, s, c)), []
             for views, scale, both in packed.values():
                 odds = [k[0] * (float(w[x].sum()) + float(w[-1])) + k[1] for w, x, k in zip(views, at, scale, strict=True)]
                 row += [*odds, both[0] * odds[0] + both[1] * odds[1] + both[2]]
@@ -217,17 +274,21 @@ def scorer(model: dict[str, tuple]) -> Callable[..., Column]:
     return F.pandas_udf(score, "text_score double, meta_score double, quality_score double, toxic_score double")
 
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **bounds: int) -> DataFrame:
-    """docs with a struct `quality` (text_score, meta_score, quality_score, toxic_score, kept) for each row.
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", name: str = "quality", **bounds: int) -> DataFrame:
+    """docs with a struct `name` (text_score, meta_score, quality_score, toxic_score, kept) for each row.
+
+    One view reads the text, the other what the table says beside it (language, source, length).
 
     kept: the chance of good quality is at least one half and that of toxicity below one half. Null texts count as
     empty, and unknown columns as one unknown value. Without labels of both classes all chances are one half and every
-    document is kept. Repeated rows get equal scores; other columns are passed on untouched (one named `quality` is
-    replaced). Labels of ids that no document has are ignored; an id labelled twice takes the larger label.
+    document is kept. Repeated rows get equal scores, and chances of exactly one half are kept; texts are read whole,
+    however long. Other columns are passed on untouched, but one that is called `name` is replaced. Labels of ids that no
+    document has are ignored; an id labelled twice takes the larger label, and one with several texts is fitted on once.
+    An empty table gives no rows.
     """
     score = scorer(trained(docs, labels, id_col=id_col, **bounds))(*_columns(docs))
-    kept = (F.col("quality.quality_score") >= 0.5) & ~(F.col("quality.toxic_score") > 0.5)
-    return docs.withColumn("quality", score).withColumn("quality", F.col("quality").withField("kept", kept))
+    kept = (F.col(f"{name}.quality_score") >= 0.5) & ~(F.col(f"{name}.toxic_score") > 0.5)
+    return docs.withColumn(name, score).withColumn(name, F.col(name).withField("kept", kept))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

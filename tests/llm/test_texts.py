@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hypolith.llm.op2_quality import classified
+from hypolith.llm.op2_quality import META, TEXT, TOLD_ROWS, Rows, Told, Viewer, _told, classified
 from hypolith.llm.op3_html import _Maker, choose, extracted, features, main_text, trained
 from hypolith.llm.dom import Dom
 from hypolith.llm.op5_templates import UNITS, Templater, contaminated
@@ -64,6 +64,43 @@ def test_quality_edge_cases(spark):
     assert classified(docs, one).count() == 3
 
 
+def test_quality_views_are_apart_and_ties_kept(spark):
+    v = Viewer()
+    assert np.array_equal(v.meta("en", "s", 5), Viewer().meta("en", "s", 5.0)) and not np.array_equal(v.meta("en", "s", 5), v.meta("en", "s", None))
+    docs = spark.createDataFrame([(i, "same text", "en", "s", 9, "x", "y") for i in range(20)], CLASH)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = classified(docs, labels, name="found").collect()
+    assert len({r.found for r in rows}) == 1 and rows[0].quality == "x" and rows[0].kept == "y"
+
+
+def test_one_round_of_co_training_against_plain_python(spark):
+    r = np.random.default_rng(0)
+    rows = [(bool(r.random() < 0.2), sorted(r.choice(50, 6, replace=False).tolist()), sorted(r.choice(9, 2, replace=False).tolist())) for _ in range(300)]
+    weights = {h: ([r.normal(0, 1, TEXT + 1), r.normal(0, 1, META + 1)], [np.array([1.5, 0.1]), np.array([2.0, -0.2])], np.ones(3)) for h in ("quality", "toxic")}
+    df = spark.createDataFrame(rows, "known boolean, text_at array<int>, meta_at array<int>")
+    got = defaultdict(int)
+    for x in df.repartition(5).mapInArrow(_told(weights, 0.8), TOLD_ROWS).collect():
+        for k, c in enumerate("abcd"):
+            got[x.view, x.feature, k] += x[c]
+    want = defaultdict(int)
+    for known, text, meta in rows:
+        views = (text, meta)
+        for h, (w, scale, _) in enumerate(weights.values()):
+            for me in (0, 1):
+                p = 1 / (1 + np.exp(-(scale[me][0] * (sum(np.float32(w[me][f]) for f in views[me]) + np.float32(w[me][-1])) + scale[me][1])))
+                if not known and (p >= 0.8 or p <= 0.2):
+                    for f in [*views[1 - me], -1]:
+                        want[1 - me, f, 2 * h + int(p >= 0.8)] += 1
+    assert {k: v for k, v in got.items() if v} == dict(want)
+    # The contrast of labelled rows and told documents together.
+    m, told, y = Rows([np.array(t, np.int32) for _, t, _ in rows], 50), Told(50), r.integers(0, 2, 300).astype(float)
+    told.n[:], told.active[:] = [40, 20], r.integers(0, 15, (2, 50))
+    n = [sum(y == k) + 0.3 * told.n[k] for k in (0, 1)]
+    for f in range(50):
+        c = [sum(f in t for (_, t, _), z in zip(rows, y) if z == k) + 0.3 * told.active[k][f] + n[k] / sum(n) for k in (0, 1)]
+        assert abs(m.contrast(y, np.ones(300), told)[f] - np.log(c[1] / n[1] / (c[0] / n[0]))) < 1e-9
+
+
 def test_quality_keeps_clean_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     got = {r.doc_id: r for r in QUERIES["op2_quality"](spark, SF).collect()}
