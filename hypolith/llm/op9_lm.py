@@ -6,102 +6,196 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hypolith.llm.shingles import Shingler, mixed
+from hypolith.llm.shingles import Shingler
 from hypolith.llm.tables import table, written
 
-#: Words are hashed to BUCKETS; a bucket's class is its remainder by CLASSES, its input vector that by INPUTS.
-BUCKETS, CLASSES, INPUTS = 1 << 18, 64, 1 << 13
-#: Words on each side, numbers a word, hidden numbers; share of words masked in training; rounds over the corpus.
-SIDE, WIDTH, HIDDEN, MASKED, ROUNDS = 2, 16, 32, 0.05, 2
-RATE, BATCH, BLOCK = 0.1, 128, 1024
-#: What is added to each bucket's count.
+#: The network's outputs are a path of two choices, a group and a member of it. The first FREQUENT members of all groups are
+#: the most frequent words, one each; the others share what is left of the vocabulary by the words' hashes.
+GROUPS, MEMBERS, FREQUENT = 32, 32, 512
+#: Words whose counts every task holds (16 bytes each); rarer ones meet their counts in a join.
+COMMON = 1 << 16
+#: Words on each side, numbers a word, hidden numbers, input vectors that words share by hash.
+SIDE, WIDTH, HIDDEN, INPUTS = 2, 16, 32, 1 << 13
+#: Step of training, words a step and a scored block, and words a copy of the network is trained on.
+RATE, BATCH, SHARD = 0.1, 2048, 4_000_000
+#: What is added to a word's count.
 PRIOR = 0.5
+#: Numbers a row when networks are averaged.
+BLOCK = 1024
 
 
-def buckets(hasher: Shingler, text: str | None) -> np.ndarray:
-    return (hasher.words(text) >> np.uint64(20)).astype(np.int64) % BUCKETS
+class Vocabulary:
+    """The cell (group * MEMBERS + member) of each word, and the counts of the most frequent words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        """words: hashes from the most frequent on, COMMON at most."""
+        frequent = words[:FREQUENT]
+        order = np.argsort(frequent)
+        rank = np.arange(len(frequent))
+        self.frequent, self.cell = frequent[order], (rank % GROUPS * MEMBERS + rank // GROUPS)[order]
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+
+    @staticmethod
+    def find(held: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(held):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(held, words), len(held) - 1)
+        return at, held[at] == words
+
+    def cells(self, words: np.ndarray) -> np.ndarray:
+        own = FREQUENT // GROUPS
+        shared = (words >> np.uint64(24)).astype(np.int64) % GROUPS * MEMBERS + own + (words >> np.uint64(40)).astype(np.int64) % (MEMBERS - own)
+        at, hit = self.find(self.frequent, words)
+        return np.where(hit, self.cell[at], shared) if len(self.frequent) else shared
 
 
 class Network:
-    """Class scores of a word from the vectors of 2 * SIDE words around it (0 beyond the text), by one hidden layer."""
+    """The chances of a word's group, and of its member in the group, from the vectors of 2 * SIDE words around it (0
+    beyond the text), by one hidden layer."""
 
-    SHAPES = ((INPUTS + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((INPUTS + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, MEMBERS), (GROUPS, MEMBERS))
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
         r = np.random.default_rng(seed)
         sizes = [int(np.prod(s)) for s in self.SHAPES]
         if flat is None:
-            flat = np.concatenate([r.normal(0, (0.3, 0.15, 0, 0.15, 0)[i], n) for i, n in enumerate(sizes)])
-        parts = np.split(np.asarray(flat, np.float32), np.cumsum(sizes)[:-1])
-        self.word, self.w1, self.b1, self.w2, self.b2 = (p.reshape(s).copy() for p, s in zip(parts, self.SHAPES, strict=True))
-        self.word[INPUTS] = 0
-        self.pace: list[np.ndarray] = []
+            flat = np.concatenate([r.normal(0, (0.3, 0.15, 0, 0.15, 0, 0.15, 0)[i], n) for i, n in enumerate(sizes)])
+        self.parts = [p.reshape(s).copy() for p, s in zip(np.split(np.asarray(flat, np.float32), np.cumsum(sizes)[:-1]), self.SHAPES, strict=True)]
+        self.parts[0][INPUTS] = 0
+        self.pace = [np.full(s if i else s[:1], 1e-4, np.float32) for i, s in enumerate(self.SHAPES)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.word, self.w1, self.b1, self.w2, self.b2)])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     @staticmethod
-    def around(ids: np.ndarray) -> np.ndarray:
+    def around(words: np.ndarray) -> np.ndarray:
         """For each word the inputs of its neighbours, left to right."""
-        padded = np.concatenate([np.full(SIDE, INPUTS), ids % INPUTS, np.full(SIDE, INPUTS)])
+        ids = (words >> np.uint64(20)).astype(np.int64) % INPUTS
+        padded = np.concatenate([np.full(SIDE, INPUTS), ids, np.full(SIDE, INPUTS)])
         return np.stack([padded[SIDE + d : SIDE + d + len(ids)] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
-    def log_classes(self, near: np.ndarray) -> np.ndarray:
-        x = self.word[near].reshape(len(near), -1)
-        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    def _hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.parts[0][near].reshape(len(near), -1)
+        return x, np.maximum(x @ self.parts[1] + self.parts[2], 0)
 
-    def step(self, near: np.ndarray, right: np.ndarray, rate: float) -> None:
+    def log_cells(self, near: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The log chance of each word's cell."""
+        group, member = np.divmod(cells, MEMBERS)
+        a = self._hidden(near)[1]
+        out = np.log(np.maximum(self._softmax(a @ self.parts[3] + self.parts[4])[np.arange(len(a)), group], 1e-12))
+        order = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for g in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[g] : bounds[g + 1]]
+            out[at] += np.log(np.maximum(self._softmax(a[at] @ self.parts[5][g] + self.parts[6][g])[np.arange(len(at)), member[at]], 1e-12))
+        return out
+
+    def step(self, near: np.ndarray, cells: np.ndarray, rate: float) -> None:
         """One step by each number's own pace: the rate over the root of its squared gradients so far."""
-        if not self.pace:
-            self.pace = [np.full(x.shape, 1e-4, np.float32) for x in (self.w1, self.b1, self.w2, self.b2)] + [np.full(len(self.word), 1e-4, np.float32)]
+        word, w1, _, w2, _, w3, _ = self.parts
         n = len(near)
-        x = self.word[near].reshape(n, -1)
-        a = np.maximum(x @ self.w1 + self.b1, 0)
-        z = a @ self.w2 + self.b2
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), right] -= 1
+        order = np.argsort(cells // MEMBERS, kind="stable")  # rows of a group lie together
+        near = near[order]
+        group, member = np.divmod(cells[order], MEMBERS)
+        x, a = self._hidden(near)
+        z = self._softmax(a @ w2 + self.parts[4])
+        z[np.arange(n), group] -= 1
         z /= n
-        da = (z @ self.w2.T) * (a > 0)
-        dx = (da @ self.w1.T).reshape(-1, WIDTH)
-        for p, g, h in zip((self.w1, self.b1, self.w2, self.b2), (x.T @ da, da.sum(0), a.T @ z, z.sum(0)), self.pace[:4], strict=True):
+        da = z @ w2.T
+        grads = [None, None, None, a.T @ z, z.sum(0), np.zeros_like(w3), np.zeros_like(self.parts[6])]
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
+        for g in np.flatnonzero(np.diff(bounds)):
+            i, j = bounds[g], bounds[g + 1]
+            y = self._softmax(a[i:j] @ w3[g] + self.parts[6][g])
+            y[np.arange(j - i), member[i:j]] -= 1
+            y /= n
+            grads[5][g], grads[6][g] = a[i:j].T @ y, y.sum(0)
+            da[i:j] += y @ w3[g].T
+        da *= a > 0
+        grads[1], grads[2] = x.T @ da, da.sum(0)
+        dx = (da @ w1.T).reshape(-1, WIDTH)
+        for p, g, h in zip(self.parts[1:], grads[1:], self.pace[1:], strict=True):
             h += g * g
             p -= rate * g / np.sqrt(h)
         at = near.ravel()
-        held = self.pace[4]
-        np.add.at(held, at, (dx * dx).mean(1) * 16)
-        np.subtract.at(self.word, at, rate * dx / np.sqrt(held[at])[:, None])
-        self.word[INPUTS] = 0
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g, at = np.add.reduceat(dx[order], first), at[first]
+        self.pace[0][at] += (g * g).sum(1)
+        word[at] -= rate * g / np.sqrt(self.pace[0][at])[:, None]
+        word[INPUTS] = 0
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, total = Shingler(1), np.zeros(BUCKETS, np.int64)
+    hasher, held, size = Shingler(1), [], 0
+
+    def summed() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
     for batch in batches:
         for text in batch.column(0):
-            ids = buckets(hasher, text.as_py())
-            if len(ids):
-                np.add.at(total, ids, 1)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(total[at[i : i + (1 << 16)]])], ["bucket", "n"])
+            words = hasher.words(text.as_py())
+            if len(words):
+                held.append(words)
+                size += len(words)
+            if size >= 2_000_000:
+                yield summed()
+                held, size = [], 0
+    if held:
+        yield summed()
+
+
+class Counts:
+    """How often each word occurs in all texts: a table as long as the vocabulary (word, n), its most frequent words, and by
+    cell the number of words that occur and of distinct ones."""
 
+    def __init__(self, docs: DataFrame, text_col: str = "text", common: int = COMMON):
+        rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_counted, "word long, n long")
+        self.table = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "counts", wide=True)
+        # The words from some count on, as many as are allowed, by a histogram of counts in steps of an eighth of a doubling.
+        step = F.floor(F.log2("n") * 8)
+        steps = sorted((r[0], r[1]) for r in self.table.groupBy(step).count().collect())
+        while steps and sum(n for _, n in steps) > common:
+            steps.pop(0)
+        top = self.table.filter(step >= (steps[0][0] if steps else 1 << 20)).toPandas().sort_values(["n", "word"], ascending=[False, True])
+        self.words, self.n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+        vocabulary = self.vocabulary()
 
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often words of each bucket occur in all texts: counted in every task and summed by bucket."""
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    pdf = written(rows, "counts").toPandas()  # BUCKETS rows at most, whatever the corpus
-    out = np.zeros(BUCKETS, np.float64)
-    out[pdf["bucket"].to_numpy(np.int64)] = pdf["n"]
-    return out
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, GROUPS * MEMBERS), np.int64)
+            for batch in batches:
+                at = vocabulary.cells(batch.column(0).to_numpy().view(np.uint64))
+                np.add.at(total[0], at, batch.column(1).to_numpy())
+                total[1] += np.bincount(at, minlength=GROUPS * MEMBERS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS * MEMBERS)), pa.array(total[0]), pa.array(total[1])], ["cell", "n", "kinds"])
 
+        by = self.table.mapInArrow(cells, "cell long, n long, kinds long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
+        self.cells, self.kinds = np.zeros((2, GROUPS * MEMBERS))
+        self.cells[by["cell"]], self.kinds[by["cell"]] = by["n"], by["kinds"]
 
-def _trainer(flat: np.ndarray, rate: float, masked: float, seed: int):
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.words, self.n)
+
+    @property
+    def total(self) -> int:
+        return int(self.cells.sum())
+
+
+def _trainer(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
     flat = flat.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,22 +203,18 @@ def _trainer(flat: np.ndarray, rate: float, masked: float, seed: int):
         near, right, held = [], [], 0
         for batch in batches:
             for text in batch.column(0):
-                ids = buckets(hasher, text.as_py())
-                if not len(ids):
-                    continue
-                # Which words are masked depends on the text alone, so a task that is run again trains alike.
-                draw = (mixed(ids.astype(np.uint64) * np.uint64(2654435761) + np.arange(len(ids), dtype=np.uint64) + np.uint64(seed)) >> np.uint64(40)).astype(np.float64) / 2**24
-                at = np.flatnonzero(draw < masked)
-                near.append(net.around(ids)[at])
-                right.append(ids[at] % CLASSES)
-                held += len(at)
-                if held >= BATCH:
-                    x, y = np.concatenate(near), np.concatenate(right)
-                    for i in range(0, len(x) - BATCH + 1, BATCH):
-                        net.step(x[i : i + BATCH], y[i : i + BATCH], rate)
+                words = hasher.words(text.as_py())
+                for i in range(0, len(words), BATCH):
+                    # A stretch of a long text, with its neighbours on both sides.
+                    low = max(0, i - SIDE)
+                    near.append(net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH])
+                    right.append(vocabulary.cells(words[i : i + BATCH]))
+                    held += len(right[-1])
+                    if held >= BATCH:
+                        x, y = np.concatenate(near), np.concatenate(right)
+                        net.step(x[:BATCH], y[:BATCH], rate)
                         n += BATCH
-                    left = len(x) % BATCH
-                    near, right, held = [x[len(x) - left :]], [y[len(y) - left :]], left
+                        near, right, held = [x[BATCH:]], [y[BATCH:]], held - BATCH
         if held:
             net.step(np.concatenate(near), np.concatenate(right), rate)
             n += held
@@ -135,13 +225,19 @@ def _trainer(flat: np.ndarray, rate: float, masked: float, seed: int):
     return run
 
 
-def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, masked: float = MASKED) -> Network:
-    """A network fitted on masked words of every text. Each round, every task trains a copy on what it reads; the
-    next round starts from the copies' mean, weighted by words and summed number by number before the shuffle."""
-    flat = Network().flat()
+def trained(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, rate: float = RATE, shard: int = SHARD) -> Network:
+    """A network fitted on every word of every text.
+
+    Texts are dealt by a hash of id and text to as many shards as the number of words asks for, and lie there in the
+    hash's order, so that the network depends on the rows and not on how the table is cut. A copy is trained in each
+    shard; their mean, weighted by words and summed on Spark, is the network, or where the next round starts.
+    """
+    flat, vocabulary = Network().flat(), counts.vocabulary()
     cut = np.cumsum([0, *(len(x) for x in np.array_split(flat, -(-len(flat) // BLOCK)))])
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("h")).filter("text is not null")
+    rows = rows.repartition(max(1, -(-counts.total // shard)), "h").sortWithinPartitions("h", "text").select("text")
     for k in range(rounds):
-        copies = docs.select(F.col(text_col).cast("string")).mapInArrow(_trainer(flat, rate / (k + 1), masked, k + 1), "block long, weight double, numbers array<double>")
+        copies = rows.mapInArrow(_trainer(flat, vocabulary, rate / (k + 1)), "block long, weight double, numbers array<double>")
         numbers = copies.select("block", "weight", F.posexplode("numbers").alias("at", "x"))
         mean = numbers.groupBy("block", "at").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
         pdf = written(mean, "network").toPandas()  # as many rows as the network has numbers
@@ -151,34 +247,71 @@ def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, rate:
     return Network(flat)
 
 
-def scored(docs: DataFrame, net: Network, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, per_word) for each row: the sum over all words of the log chance of the word's
-    class given both sides and of the word's bucket in its class by the counts. Texts without words: 0 words, 0, null.
-    """
-    share = counts + PRIOR
-    inside = np.log(share / np.bincount(np.arange(BUCKETS) % CLASSES, share)[np.arange(BUCKETS) % CLASSES]).astype(np.float32)
-    flat = net.flat()
+SCORED = "doc_id long, key long, n_words long, inside double, word long, own int"
+
+
+def _scorer(flat: np.ndarray, counts: Counts):
+    """For each row its words and what needs no join, and a row for each distinct word that isn't common."""
+    vocabulary, base = counts.vocabulary(), np.log(counts.cells + PRIOR * np.maximum(1, counts.kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, hasher = Network(flat), Shingler(1)
+        net, hasher, seen = Network(flat), Shingler(1), set()
         for batch in batches:
-            size, total = [], []
-            for text in batch.column(1):
-                ids, s = buckets(hasher, text.as_py()), 0.0
-                near = net.around(ids)
-                for i in range(0, len(ids), 4096):
-                    part = ids[i : i + 4096]
-                    s += float(net.log_classes(near[i : i + 4096])[np.arange(len(part)), part % CLASSES].sum(dtype=np.float64) + inside[part].sum(dtype=np.float64))
-                size.append(len(ids))
-                total.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_likelihood"])
+            for start in range(0, len(batch), 256):
+                out = [[] for _ in range(6)]
+                for doc, text in zip(*batch.slice(start, 256).columns, strict=True):
+                    doc, text = doc.as_py(), text.as_py() or ""
+                    words, s = hasher.words(text), 0.0
+                    cells = vocabulary.cells(words)
+                    for i in range(0, len(words), BATCH):
+                        low = max(0, i - SIDE)
+                        near = net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH]
+                        s += float(net.log_cells(near, cells[i : i + BATCH]).sum(dtype=np.float64))
+                    kinds, first, own = np.unique(words, return_index=True, return_counts=True)
+                    s -= float(base[cells].sum())
+                    at, hit = Vocabulary.find(vocabulary.words, kinds)
+                    s += float((own[hit] * np.log(vocabulary.counts[at[hit]] - own[hit] + PRIOR)).sum()) if hit.any() else 0.0
+                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    # Of copies of a text in a task one asks for its rare words.
+                    asks = key not in seen
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
+                    rare, own = (kinds[~hit].view(np.int64), own[~hit]) if asks else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    k = len(rare)
+                    for column, one, more in zip(out, (doc, key, len(words), s, None, int(asks)), ([None] * k, [key] * k, [None] * k, [None] * k, rare.tolist(), own.tolist()), strict=True):
+                        column.append(one)
+                        column += more
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+
+    return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
-    return rows.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+
+def scored(docs: DataFrame, net: Network, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_likelihood, per_word) for each row.
+
+    The sum over all words of the log chance of the word's cell given both sides, by the network, and of the word in its
+    cell by how often it occurs in all other texts (its occurrences in the scored text are left out). Frequent words
+    are cells of their own. Common words have their counts in every task; rarer ones meet the table of all words in a
+    join, once a text and word. Texts without words: 0 words, 0, null. Null texts are empty; repeated rows get equal
+    scores. Texts are scored whole, in blocks.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_scorer(net.flat(), counts), SCORED)
+    rows = written(rows, "scores", wide=True)
+    each = rows.filter("n_words is not null").select("doc_id", "key", "n_words", "inside", "own")
+    # Equal texts ask for equal words, so their sum is as many times the sum of one.
+    copies = each.groupBy("key").agg(F.sum("own").alias("copies"))
+    rare = rows.filter("word is not null").select("key", "word", "own").join(counts.table, "word")
+    rare = rare.groupBy("key").agg(F.sum(F.col("own") * F.log(F.col("n") - F.col("own") + PRIOR)).alias("rare"))
+    rare = copies.join(rare, "key").select("key", (F.col("rare") / F.col("copies")).alias("rare"))
+    out = each.join(rare, "key", "left").withColumn("log_likelihood", F.col("inside") + F.coalesce("rare", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a network trained on, and counts taken over, all documents. Null texts have no words;
     repeated rows each count and get equal scores; an empty table gives no rows. Other columns aren't read."""
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, trained(docs), corpus_counts(docs))
+    counts = Counts(docs)
+    return scored(docs, trained(docs, counts), counts)

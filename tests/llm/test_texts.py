@@ -16,7 +16,7 @@ from hypolith.llm.op3_html import _Maker, choose, extracted, features, main_text
 from hypolith.llm.dom import Dom
 from hypolith.llm.op5_templates import UNITS, Templater, contaminated
 from hypolith.llm.op8_packing import END, Packer, packed, public_files
-from hypolith.llm.op9_lm import CLASSES, Network, buckets, corpus_counts, scored
+from hypolith.llm.op9_lm import FREQUENT, GROUPS, INPUTS, MEMBERS, PRIOR, SIDE, Counts, Network, scored
 from hypolith.llm.op9_lm import trained as lm_trained
 from hypolith.llm.op10_quotes import normal, parsed, threaded
 from hypolith.llm.queries import QUERIES
@@ -422,35 +422,99 @@ def test_packing_limits_of_instructions():
 # op9
 
 
+def lm_texts(n, seed=0):
+    """Every middle word follows from its neighbours; some words are rare."""
+    r = np.random.default_rng(seed)
+    return [" ".join(f"a{k} b{k} c{k}" for k in r.integers(0, 12, 60)) + f" rare{seed}x{i} rare{seed}x{i % 7}" for i in range(n)]
+
+
 def test_lm_learns_from_both_sides(spark):
-    r = np.random.default_rng(0)
-    # Every middle word follows from its neighbours; the last fifth of the documents is held out.
-    text = lambda: " ".join(f"a{k} b{k} c{k}" for k in r.integers(0, 12, 60))
-    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
-    net, counts = lm_trained(docs.filter("doc_id < 240"), rounds=4, masked=0.5), corpus_counts(docs)
-    assert counts.sum() == 300 * 180
-    hasher, own, plain = Shingler(1), [], []
-    share = np.bincount(np.arange(len(counts)) % CLASSES, counts) / counts.sum()
+    docs = spark.createDataFrame(list(enumerate(lm_texts(300))), "doc_id long, text string")
+    counts = Counts(docs)
+    net, v, hasher = lm_trained(docs.filter("doc_id < 240"), counts, rounds=4), counts.vocabulary(), Shingler(1)
+    assert counts.total == 300 * 182
+    own, plain = [], []
     for row in docs.filter("doc_id >= 240").collect():
-        ids = buckets(hasher, row.text)
-        own.append(net.log_classes(net.around(ids))[np.arange(len(ids)), ids % CLASSES].mean())
-        plain.append(np.log(share[ids % CLASSES]).mean())
-    assert np.mean(own) > np.mean(plain) + 0.8
+        words = hasher.words(row.text)[:180]
+        own.append(net.log_cells(net.around(words), v.cells(words)).mean())
+        plain.append(np.log(counts.cells[v.cells(words)] / counts.total).mean())
+    assert np.mean(own) > np.mean(plain) + 1.5  # of 3.6 nats by counts alone
+
+
+@pytest.mark.parametrize("common", [1 << 16, 20, 0])
+def test_lm_scores_against_plain_python(spark, common):
+    texts = [None, "", "one two", *lm_texts(20), "one two", "w " * 5000 + "end"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    counts, net, hasher = Counts(docs, common=common), Network(), Shingler(1)
     got = {r.doc_id: r for r in scored(docs, net, counts).collect()}
-    ids = buckets(hasher, docs.first().text)
-    inside = np.log((counts + 0.5) / np.bincount(np.arange(len(counts)) % CLASSES, counts + 0.5)[np.arange(len(counts)) % CLASSES])
-    want = sum(net.log_classes(net.around(ids)[i : i + 1])[0, ids[i] % CLASSES] + inside[ids[i]] for i in range(len(ids)))
-    assert abs(got[0].log_likelihood - want) < 1e-2 and got[0].n_words == 180
+    total = defaultdict(int)
+    for t in texts:
+        for w in hasher.words(t).tolist():
+            total[w] += 1
+    top = sorted(total, key=lambda w: (-total[w], np.uint64(w).view(np.int64)))[:FREQUENT] if len(counts.words) else []
+    top = [w for w in top if w in set(counts.words.tolist())]
+    cell = lambda w: top.index(w) % GROUPS * MEMBERS + top.index(w) // GROUPS if w in top else (w >> 24) % GROUPS * MEMBERS + 16 + (w >> 40) % 16
+    n, kinds = defaultdict(int), defaultdict(int)
+    for w, c in total.items():
+        n[cell(w)] += c
+        kinds[cell(w)] += 1
+    emb, w1, b1, w2, b2, w3, b3 = (p.astype(float) for p in net.parts)
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    for i, t in enumerate(texts):
+        words = hasher.words(t).tolist()
+        if i == len(texts) - 1:
+            assert got[i].n_words == 5001 and np.isfinite(got[i].log_likelihood)
+            continue
+        want = 0.0
+        for j, w in enumerate(words):
+            near = [(words[j + d] >> 20) % INPUTS if 0 <= j + d < len(words) else INPUTS for d in (-2, -1, 1, 2)]
+            assert SIDE == 2
+            a = np.maximum(np.concatenate([emb[k] for k in near]) @ w1 + b1, 0)
+            g, m = divmod(cell(w), MEMBERS)
+            want += soft(a @ w2 + b2)[g] + soft(a @ w3[g] + b3[g])[m] + np.log(total[w] - words.count(w) + PRIOR) - np.log(n[cell(w)] + PRIOR * kinds[cell(w)])
+        assert abs(got[i].log_likelihood - want) < 1e-2 and got[i].n_words == len(words) and (got[i].per_word is None) == (not words)
+    assert got[2].log_likelihood == got[len(texts) - 2].log_likelihood
+
+
+def test_lm_step_follows_the_gradient():
+    r = np.random.default_rng(1)
+    near, cells = r.integers(0, 30, (40, 4)), r.integers(0, GROUPS * MEMBERS, 40)
+    net = Network()
+    before, loss = [p.astype(float).copy() for p in net.parts], lambda parts: -Network(np.concatenate([p.ravel() for p in parts])).log_cells(near, cells).mean()
+    net.step(near, cells, 1e-3)
+    for k in (0, 1, 2, 3, 5):
+        moved = net.parts[k] - before[k]
+        at = np.unravel_index(np.argmax(np.abs(moved)), moved.shape)
+        up, down = [p.copy() for p in before], [p.copy() for p in before]
+        up[k][at] += 3e-2
+        down[k][at] -= 3e-2
+        slope = loss(up) - loss(down)
+        assert slope and np.sign(slope) == -np.sign(moved[at]), k
+
+
+def test_lm_does_not_depend_on_the_partitions(spark):
+    docs = spark.createDataFrame(list(enumerate(lm_texts(60))), "doc_id long, text string")
+    flat = [lm_trained(d, Counts(d), shard=2000).flat() for d in (docs.coalesce(1), docs.repartition(7, "text"))]
+    assert np.allclose(flat[0], flat[1], atol=1e-5) and not np.allclose(flat[0], lm_trained(docs, Counts(docs), shard=10**9).flat(), atol=1e-5)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    once, twice = ([f"{t} {' '.join(f'u{k}x{i}x{j}' for j in range(30))}" for i, t in enumerate(lm_texts(n, k))] for n, k in ((40, 1), (10, 2)))
+    rows = scored(d := spark.createDataFrame(list(enumerate([*once, *twice, *twice])), "doc_id long, text string"), Network(), Counts(d)).collect()
+    score = {r.doc_id: r.per_word for r in rows}
+    assert min(score[i] for i in range(40, 60)) > max(score[i] for i in range(40))
 
 
 def test_lm_edge_cases(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "one"), (None, "x y"), (2, "one"), (3, "w " * 100_000)], "doc_id long, text string")
-    rows = scored(docs, lm_trained(docs), corpus_counts(docs)).collect()
+    counts = Counts(docs)
+    rows = scored(docs, lm_trained(docs, counts), counts).collect()
     assert len(rows) == 6 and all(r.per_word is None and r.log_likelihood == 0 for r in rows if r.n_words == 0)
     assert all(np.isfinite(r.log_likelihood) for r in rows)
     none = docs.limit(0)
-    assert scored(none, lm_trained(none), corpus_counts(none)).count() == 0
-    assert np.allclose(lm_trained(none).flat(), Network().flat())
+    counts = Counts(none)
+    assert scored(none, lm_trained(none, counts), counts).count() == 0
+    assert np.allclose(lm_trained(none, counts).flat(), Network().flat())
 
 
 # op10
