@@ -19,9 +19,9 @@ GROUPS, MEMBERS, FREQUENT = 32, 32, 512
 #: Words whose counts every task holds (16 bytes each); rarer ones meet their counts in a join.
 COMMON = 1 << 16
 #: Words on each side, numbers a word, hidden numbers, input vectors that words share by hash.
-SIDE, WIDTH, HIDDEN, INPUTS = 2, 16, 32, 1 << 13
+SIDE, WIDTH, HIDDEN, INPUTS = 2, 12, 24, 1 << 13
 #: Step of training, words a step and a scored block, and words a copy of the network is trained on.
-RATE, BATCH, SHARD = 0.1, 2048, 4_000_000
+RATE, BATCH, SHARD = 0.1, 4096, 4_000_000
 #: What is added to a word's count.
 PRIOR = 0.5
 #: Numbers a row when networks are averaged.
@@ -75,8 +75,9 @@ class Network:
     @staticmethod
     def around(words: np.ndarray) -> np.ndarray:
         """For each word the inputs of its neighbours, left to right."""
-        ids = (words >> np.uint64(20)).astype(np.int64) % INPUTS
-        padded = np.concatenate([np.full(SIDE, INPUTS), ids, np.full(SIDE, INPUTS)])
+        ids = (words >> np.uint64(20)).astype(np.int32) & (INPUTS - 1)
+        edge = np.full(SIDE, INPUTS, np.int32)
+        padded = np.concatenate([edge, ids, edge])
         return np.stack([padded[SIDE + d : SIDE + d + len(ids)] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
     @staticmethod
@@ -258,17 +259,32 @@ def _scorer(flat: np.ndarray, counts: Counts):
         net, hasher, seen = Network(flat), Shingler(1), set()
         for batch in batches:
             for start in range(0, len(batch), 256):
-                out = [[] for _ in range(6)]
-                for doc, text in zip(*batch.slice(start, 256).columns, strict=True):
+                out, docs = [[] for _ in range(6)], list(zip(*batch.slice(start, 256).columns, strict=True))
+                near, cells, of, held = [], [], [], 0
+                inside = np.zeros(len(docs))
+
+                def flush() -> None:
+                    """Scores the words that wait, of many texts at once."""
+                    nonlocal held
+                    if held:
+                        p = net.log_cells(np.concatenate(near), c := np.concatenate(cells)) - base[c]
+                        inside[:] += np.bincount(np.repeat(*np.array(of).T), p, len(docs))
+                    for x in (near, cells, of):
+                        x.clear()
+                    held = 0
+
+                for d, (doc, text) in enumerate(docs):
                     doc, text = doc.as_py(), text.as_py() or ""
                     words, s = hasher.words(text), 0.0
-                    cells = vocabulary.cells(words)
                     for i in range(0, len(words), BATCH):
                         low = max(0, i - SIDE)
-                        near = net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH]
-                        s += float(net.log_cells(near, cells[i : i + BATCH]).sum(dtype=np.float64))
+                        near.append(net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH])
+                        cells.append(vocabulary.cells(words[i : i + BATCH]))
+                        of.append((d, len(cells[-1])))
+                        held += len(cells[-1])
+                        if held >= BATCH:
+                            flush()
                     kinds, first, own = np.unique(words, return_index=True, return_counts=True)
-                    s -= float(base[cells].sum())
                     at, hit = Vocabulary.find(vocabulary.words, kinds)
                     s += float((own[hit] * np.log(vocabulary.counts[at[hit]] - own[hit] + PRIOR)).sum()) if hit.any() else 0.0
                     key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -282,6 +298,9 @@ def _scorer(flat: np.ndarray, counts: Counts):
                     for column, one, more in zip(out, (doc, key, len(words), s, None, int(asks)), ([None] * k, [key] * k, [None] * k, [None] * k, rare.tolist(), own.tolist()), strict=True):
                         column.append(one)
                         column += more
+                flush()
+                here = iter(inside)  # the texts' rows in order
+                out[3] = [None if n is None else s + float(next(here)) for n, s in zip(out[2], out[3], strict=True)]
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
 
