@@ -119,12 +119,31 @@ def auc(df: DataFrame, value: str, positive: Column, by: list[str]) -> DataFrame
     return r.groupBy(*by).agg(((F.sum(F.when(F.col("_p"), F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"))
 
 
+def ranked(df: DataFrame, value: str, key: str, buckets: int = 64) -> DataFrame:
+    """df with rank, from 1 in the order of value and then key, n, and the bucket of the value.
+
+    Values are dealt to buckets by approximate quantiles; a rank is the number of rows in lower buckets and the place in
+    its own, so that no task sorts all rows. Rows of one value share a bucket. Nulls of value are left out.
+    """
+    df = df.filter(F.col(value).isNotNull())
+    bounds = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
+    d = df.withColumn("bucket", at)
+    sizes = d.groupBy("bucket").agg(F.count("*").alias("_k"))
+    sizes = sizes.select("bucket", (F.sum("_k").over(Window.orderBy("bucket")) - F.col("_k")).alias("_off"), F.sum("_k").over(Window.partitionBy()).alias("n"))
+    d = d.join(F.broadcast(sizes), "bucket")  # a row a bucket
+    return d.withColumn("rank", F.col("_off") + F.row_number().over(Window.partitionBy("bucket").orderBy(value, key))).drop("_off")
+
+
 def adjusted(p: DataFrame, value: str = "p", key: str = "key") -> DataFrame:
-    """p with bonferroni and bh: p * n, and the least p * n / rank from the largest down, both at most 1."""
-    n = F.count("*").over(Window.partitionBy())
-    up = p.withColumn("_n", n).withColumn("_r", F.row_number().over(Window.orderBy(value, key)))
-    bh = F.min(F.col(value) * F.col("_n") / F.col("_r")).over(Window.orderBy(F.col("_r").desc()))
-    return up.withColumns({"rank": F.col("_r").cast("long"), "bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("_n")), "bh": F.least(F.lit(1.0), bh)}).drop("_n", "_r")
+    """p with rank, n, bonferroni and bh: p * n, and the least p * n / rank from the largest down, both at most 1. The least
+    of a bucket's rows is joined with that of the buckets above it."""
+    r = ranked(p, value, key).withColumn("_q", F.col(value) * F.col("n") / F.col("rank"))
+    above = r.groupBy("bucket").agg(F.min("_q").alias("_m"))
+    above = above.select("bucket", F.min("_m").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    r = r.join(F.broadcast(above), "bucket")  # a row a bucket
+    own = F.min("_q").over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
+    return r.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("n")), "bh": F.least(F.lit(1.0), own, "_above")}).drop("_q", "_above", "bucket")
 
 
 def winsorised(series: DataFrame, share: float) -> DataFrame:

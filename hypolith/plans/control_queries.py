@@ -94,9 +94,9 @@ def j2(spark, sf):
     return T.long_prices(spark, sf).groupBy("date").agg(F.count("*").alias("n"), F.count_if(F.col("ticker") % 9 == 0).alias("gone")).filter("gone = 0").drop("gone")
 
 
-@query("j3_ticker_reuse", "SELECT o_custkey % 300 AS ticker, count(DISTINCT o_custkey) AS entities, list_sort(list(DISTINCT o_custkey)) AS ids FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1")
+@query("j3_ticker_reuse", "SELECT o_custkey % 300 AS ticker, count(DISTINCT o_custkey) AS entities, min(o_custkey) AS first, max(o_custkey) AS last FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1")
 def j3(spark, sf):
-    return T.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 300).alias("ticker")).agg(F.count_distinct("o_custkey").alias("entities"), F.array_sort(F.collect_set("o_custkey")).alias("ids")).filter("entities > 1")
+    return T.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 300).alias("ticker")).agg(F.count_distinct("o_custkey").alias("entities"), F.min("o_custkey").alias("first"), F.max("o_custkey").alias("last")).filter("entities > 1")
 
 
 @query("j4_price_jumps", "SELECT ticker, date, round(r, 6) AS ret FROM (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM lp) WHERE abs(r) > 0.5", "lp")

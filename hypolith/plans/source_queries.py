@@ -51,37 +51,51 @@ def c10(spark, sf):
     return rounded(a.join(b, "m").na.drop().agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation")))
 
 
-def matched(df, key, side, at, rounds=8):
-    """(key_a, key_b, gap): rows of one side with a near row of the other, no row used twice.
-
-    In every round each free row asks for its nearest free partner before or after it, and pairs that ask for each
-    other are taken; rows that are left after all rounds stay single. Windows carry the last row of each side along,
-    so no pairs are formed but those asked for.
+def _nearest(free, key, side, at, stretch):
+    """free with p and q, the last row of the other side before and the first after it: within stretches of dates by a
+    window each, and across them by what the stretches end and begin with."""
+    row = F.struct(F.col(at).alias("t"), F.col(key).alias("k"))
+    free = free.withColumn("_s", F.floor(F.unix_date(at) / stretch))
+    out = free
+    for name, order, pick in (("p", (F.col(at), F.col(key)), F.max), ("q", (F.col(at).desc(), F.col(key).desc()), F.min)):
+        w = Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        here = {x: F.last(F.when(F.col(side) == x, row), ignorenulls=True).over(w) for x in (True, False)}
+        out = out.withColumn(f"_{name}", F.when(F.col(side), here[False]).otherwise(here[True]))
+        ends = free.groupBy("_s").agg(*(pick(F.when(F.col(side) == x, row)).alias(f"_{name}{int(x)}") for x in (True, False)))
+        v = Window.orderBy("_s" if name == "p" else F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("_s", *(F.last(f"_{name}{x}", ignorenulls=True).over(v).alias(f"_{name}{x}") for x in (0, 1)))
+        out = out.join(F.broadcast(carried), "_s")  # a row a stretch of dates
+        out = out.withColumn(name, F.coalesce(f"_{name}", F.when(F.col(side), F.col(f"_{name}0")).otherwise(F.col(f"_{name}1"))))
+    return out.select(key, side, at, "p", "q")
+
+
+def matched(df, key, side, at, stretch=256):
+    """(key_a, key_b, gap): rows of one side with a near row of the other, no row used twice, until no partner is left.
+
+    In every round each free row asks for its nearest free partner before or after it (of equals for the one with the
+    smaller key), and pairs that ask for each other are taken. The closest pair of all always is, so the rounds end when
+    one side is used up. Every round is a written table.
     """
-    free, out = df.select(key, side, at), None
-    ahead, back = Window.orderBy(at, key), Window.orderBy(F.desc(at), F.desc(key))
-    for _ in range(rounds):
-        row = F.struct(F.col(at).alias("t"), F.col(key).alias("k"))
-        last = lambda on, w: F.last(F.when(on, row), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        yes, no = F.col(side), ~F.col(side)
-        near = free.select(key, side, at, *(F.when(yes, last(no, w)).otherwise(last(yes, w)).alias(n) for n, w in (("p", ahead), ("q", back))))
+    free = T.written(df.select(key, side, at).filter(F.col(at).isNotNull() & F.col(side).isNotNull()), "free")
+    out = free.select(F.col(key).alias("key_a"), F.col(key).alias("key_b"), F.lit(0).alias("gap")).limit(0)
+    while True:
+        near = _nearest(free, key, side, at, stretch)
         gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff(F.col(f"{c}.t"), F.col(at))).alias("gap"), F.col(f"{c}.k").alias("k")))
         best = near.select(key, side, F.array_min(F.array_compact(F.array(gap("p"), gap("q")))).alias("b")).filter("b is not null")
         b = best.filter(~F.col(side)).select(F.col(key).alias("kb"), F.col("b.k").alias("asked"))
         pairs = best.filter(F.col(side)).join(b, (F.col("b.k") == F.col("kb")) & (F.col("asked") == F.col(key)))
-        pairs = pairs.select(F.col(key).alias("key_a"), F.col("kb").alias("key_b"), F.col("b.gap").alias("gap")).persist()
-        out = pairs if out is None else out.unionByName(pairs)
+        pairs = T.written(pairs.select(F.col(key).alias("key_a"), F.col("kb").alias("key_b"), F.col("b.gap").alias("gap")), "pairs")
         if not pairs.limit(1).count():
-            break
-        free = free.join(pairs.select(F.explode(F.array("key_a", "key_b")).alias(key)), key, "left_anti").persist()
-    return out
+            return out
+        out = out.unionByName(pairs)
+        free = T.written(free.join(pairs.select(F.explode(F.array("key_a", "key_b")).alias(key)), key, "left_anti"), "free")
 
 
 @query("c17_placebo_matching")
 def c17(spark, sf):
-    """Filings of good and poor quality, each matched with the nearest in time of the other kind: up to eight rounds."""
+    """Filings of good and poor quality, each matched with the nearest in time of the other kind."""
     d = T.filings(spark, sf).select("doc_id", "date").join(T.table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
-    return matched(d, "doc_id", "bad", "date", rounds=8)
+    return matched(d, "doc_id", "bad", "date")
 
 
 def trimmed_mean(x: pd.Series) -> float:
@@ -90,9 +104,10 @@ def trimmed_mean(x: pd.Series) -> float:
     return float(x.sort_values().iloc[k : len(x) - k].mean()) if len(x) else None
 
 
-@query("u1_u3_user_statistics", "SELECT l_returnflag, round(avg(x), 4) AS trimmed FROM (SELECT l_returnflag, l_quantity AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1) GROUP BY 1")
+@query("u1_u3_user_statistics", "SELECT l_suppkey, round(avg(x), 4) AS trimmed FROM (SELECT l_suppkey, l_quantity AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1) GROUP BY 1")
 def u1(spark, sf):
-    return T.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.pandas_udf(trimmed_mean, "double")("l_quantity"), 4).alias("trimmed"))
+    """A statistic of the user's own by supplier: each group is one supplier's rows, some hundred at any scale."""
+    return T.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.pandas_udf(trimmed_mean, "double")("l_quantity"), 4).alias("trimmed"))
 
 
 @query("u4_extractor_plugins", "SELECT doc_id, length(text) AS n_chars, CAST(len(regexp_extract_all(lower(text), '[a-z]+')) AS INTEGER) AS n_words FROM documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hypolith.operators import statistics as S
+from hypolith.operators.resampling import draw
 from hypolith.plans.registry import query
 from hypolith.sources import tables as T
 
@@ -124,12 +125,12 @@ def e18(spark, sf):
 
 @query("f21_g13_multiple_testing", f"WITH {TRIALS}, r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, key) AS rk FROM tr) SELECT key, round(p, 6) AS p, rk AS rank, round(least(1, p * n), 6) AS bonferroni, round(least(1, min(p * n / rk) OVER (ORDER BY rk DESC)), 6) AS bh FROM r")
 def g13(spark, sf):
-    return rounded(S.adjusted(_trials(spark, sf).select("key", "p")))
+    return rounded(S.adjusted(_trials(spark, sf).select("key", "p")).drop("n"))
 
 
 @query("g14_family_context", f"WITH {TRIALS}, r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, key) AS rk FROM tr), b AS (SELECT key, p, n, rk, least(1, min(p * n / rk) OVER (ORDER BY rk DESC)) AS bh FROM r) SELECT key, rk AS rank, n AS trials, round(0.05 / n, 9) AS alpha, p < 0.05 / n AS passes_bonferroni, bh <= 0.05 AS passes_bh FROM b")
 def g14(spark, sf):
-    a = S.adjusted(_trials(spark, sf).select("key", "p")).withColumn("trials", F.count("*").over(Window.partitionBy()))
+    a = S.adjusted(_trials(spark, sf).select("key", "p")).withColumnRenamed("n", "trials")
     return a.select("key", "rank", "trials", R(0.05 / F.col("trials"), 9).alias("alpha"), (F.col("p") < 0.05 / F.col("trials")).alias("passes_bonferroni"), (F.col("bh") <= 0.05).alias("passes_bh"))
 
 
@@ -156,11 +157,9 @@ def e22(spark, sf):
 
 @query("e24_bias_impact", "WITH q AS (SELECT signal, row_number() OVER (ORDER BY signal DESC, ticker, date) AS hi, row_number() OVER (ORDER BY signal, ticker, date) AS lo, count(*) OVER () AS n FROM sig), s AS (SELECT avg(CASE WHEN hi <= greatest(1, n // 5) THEN signal END) - avg(CASE WHEN lo <= greatest(1, n // 5) THEN signal END) AS spread FROM q), d AS (SELECT sum(0.3) AS lost FROM customer WHERE c_custkey % 13 = 0), t AS (SELECT count(*) AS n FROM customer) SELECT round(spread, 4) AS spread, round(spread * 10 * 252 - lost * 1e4 / n, 2) AS bias_bps FROM s, d, t", "sig")
 def e24(spark, sf):
-    """The spread of the top and bottom fifth of all signals, by quantile bounds and not by one sort of all rows."""
-    s = T.signals(spark, sf)
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) / 5))
-    q = s.select("signal", F.row_number().over(Window.orderBy(F.desc("signal"), "ticker", "date")).alias("hi"), F.row_number().over(Window.orderBy("signal", "ticker", "date")).alias("lo"), n.alias("k"))
-    spread = q.agg((F.avg(F.when(F.col("hi") <= F.col("k"), F.col("signal"))) - F.avg(F.when(F.col("lo") <= F.col("k"), F.col("signal")))).alias("spread"))
+    """The spread of the top and bottom fifth of all signals, by ranks within buckets of values and not by one sort of all rows."""
+    q = S.ranked(T.signals(spark, sf), "signal", "ticker").withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
+    spread = q.agg((F.avg(F.when(F.col("rank") > F.col("n") - F.col("k"), F.col("signal"))) - F.avg(F.when(F.col("rank") <= F.col("k"), F.col("signal")))).alias("spread"))
     c = T.table(spark, sf, "customer").agg((F.count_if(F.col("c_custkey") % 13 == 0) * 0.3).alias("lost"), F.count("*").alias("n"))
     return spread.crossJoin(c).select(R("spread", 4).alias("spread"), R(F.col("spread") * 10 * 252 - F.col("lost") * 1e4 / F.col("n"), 2).alias("bias_bps"))
 
@@ -227,12 +226,29 @@ def f7(spark, sf):
 @query("g20_edge_decay", f"WITH {DR}, {ROLL}, l AS (SELECT regr_slope(alpha, i) AS b1, regr_intercept(alpha, i) AS b0 FROM pts) SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope, b1 < 0 AS decaying, round(CASE WHEN b1 < 0 AND b0 > 0 THEN ln(2) * b0 / abs(b1) * 63 END, 4) AS half_life FROM l", "lp")
 def g20(spark, sf):
     l = rolling_alpha(daily_returns(spark, sf)).agg(F.regr_slope("alpha", "i").alias("b1"), F.regr_intercept("alpha", "i").alias("b0"))
-    life = F.when((F.col("b1") < 0) & (F.col("b0") > 0), F.log(F.lit(2.0)) * F.col("b0") / F.abs("b1") * 63)
-    return l.select(R("b0").alias("intercept"), R("b1").alias("slope"), (F.col("b1") < 0).alias("decaying"), R(life, 4).alias("half_life"))
+    return l.select(R("b0").alias("intercept"), R("b1").alias("slope"), (F.col("b1") < 0).alias("decaying"), R(_half_life(), 4).alias("half_life"))
+
+
+def _half_life():
+    return F.when((F.col("b1") < 0) & (F.col("b0") > 0), F.log(F.lit(2.0)) * F.col("b0") / F.abs("b1") * 63)
+
+
+@query("g20_half_life_interval", f"WITH {DR}, {ROLL}, n AS (SELECT count(*) AS n FROM pts), d AS (SELECT r.range AS rep, ('0x' || substr(md5('42-' || r.range || '-' || k.range), 1, 8))::BIGINT % n AS i FROM n, range(0, 500) r, range(0, 10000) k WHERE k.range < n), l AS (SELECT rep, regr_slope(alpha, pts.i) AS b1, regr_intercept(alpha, pts.i) AS b0 FROM d JOIN pts ON pts.i = d.i GROUP BY 1), h AS (SELECT CASE WHEN b1 < 0 AND b0 > 0 THEN ln(2) * b0 / abs(b1) * 63 END AS h FROM l) SELECT count(h) AS n, round(quantile_cont(h, 0.025), 4) AS low, round(quantile_cont(h, 0.975), 4) AS high FROM h", "lp")
+def g20_interval(spark, sf):
+    """The half-life over 500 resamples of the rolling points: how many decay, and the middle 95 % of those."""
+    pts = rolling_alpha(daily_returns(spark, sf)).select("i", "alpha")
+    n = pts.count()  # a point a quarter
+    if not n:
+        return pts.agg(F.count("*").alias("n"), F.max("alpha").alias("low"), F.max("alpha").alias("high"))
+    d = spark.range(500).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("rep", (draw(42, "rep", "k") % n).alias("i"))
+    l = d.join(F.broadcast(pts), "i").groupBy("rep").agg(F.regr_slope("alpha", "i").alias("b1"), F.regr_intercept("alpha", "i").alias("b0"))
+    h = l.select(_half_life().alias("h"))
+    return h.agg(F.count("h").alias("n"), R(F.percentile("h", F.lit(0.025)), 4).alias("low"), R(F.percentile("h", F.lit(0.975)), 4).alias("high"))
 
 
 @query("f14_expanding_baseline", "SELECT ticker, date, round(x, 6) AS x, CASE WHEN count(*) OVER w >= 2 THEN round(quantile_cont(x, 0.1) OVER w, 6) END AS p10 FROM (SELECT ticker, date, CAST(signal AS DOUBLE) AS x FROM sig) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "sig")
 def f14(spark, sf):
+    """Each percentile looks at a ticker's earlier rows, one a date, so its cost is bounded by the calendar."""
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return T.signals(spark, sf).select("ticker", "date", R("signal").alias("x"), F.when(F.count("*").over(w) >= 2, R(F.percentile("signal", F.lit(0.1)).over(w))).alias("p10"))
 

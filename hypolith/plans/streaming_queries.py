@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from hypolith.plans.registry import query
+from hypolith.sources import tables as T
 from hypolith.streaming import events as E
 
 
 def _drained(spark, sf, plan):
-    """The result of a streaming plan over the whole table: read as a stream, written once to memory in complete form."""
+    """The result of a streaming plan over the whole table: read as a stream, each complete result written to the shared folder."""
     table = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf}/events.parquet*")
-    name = f"s_{uuid.uuid4().hex}"
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    plan(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    path = T.shared_path(spark, "stream")
+    out = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    sink = out.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    sink.option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 @query("s1_windowed_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
