@@ -201,3 +201,55 @@ BIASES = (("yahoo", "no delisted names", "HIGH"), ("sec", "filers only", "LOW"),
 @query("v9_bias_catalogue", "SELECT * FROM (VALUES ('yahoo', 'no delisted names', 'HIGH'), ('sec', 'filers only', 'LOW'), ('fmp', 'current constituents', 'MEDIUM')) v(provider, bias, severity)")
 def v9(spark, sf):
     return spark.createDataFrame(BIASES, "provider string, bias string, severity string")
+
+
+#: Hypotheses in words, made from the parts' names: their mechanism, and the name of their signal.
+IDEAS_COLUMNS = (
+    "p_partkey",
+    "lower(p_name) || CASE p_partkey % 9 WHEN 0 THEN ' in the tech sector, large cap' WHEN 1 THEN ' at a regional bank, by 8-k' WHEN 2 THEN ' of an oil company, 10-q and 10-k' WHEN 3 THEN ' in a drug trial before fda approval, small cap' WHEN 4 THEN ' of a restaurant chain, annual' WHEN 5 THEN ' on departure' ELSE '' END AS mechanism",
+    "CASE p_partkey % 8 WHEN 0 THEN 'pronoun shift' WHEN 1 THEN 'risk_factor_removal score' WHEN 2 THEN 'cam_velocity' WHEN 3 THEN 'departure severity' WHEN 4 THEN 'sentiment_trajectory' ELSE 'hedging' END AS signal_name",
+    "CASE p_partkey % 7 WHEN 0 THEN 'transcript' WHEN 1 THEN 'sec_filing' ELSE 'prices' END AS source_type",
+    "CASE p_partkey % 5 WHEN 0 THEN '10-K,8-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN '10-K' ELSE '' END AS forms",
+)
+IDEAS = ", ".join(IDEAS_COLUMNS)
+#: Words of a sector, in order; words of large and of small companies.
+SECTOR_WORDS = [("pharma|biotech|healthcare|medical device|drug trial|fda approval", "healthcare"), ("software company|semiconductor|saas business|tech sector", "technology"), ("bank stock|insurance company|fintech|regional bank", "financial"), ("oil company|gas producer|renewable energy|utility sector", "energy"), ("retail sector|consumer goods|restaurant chain", "consumer")]
+LARGE, SMALL = "large cap|mega cap|s&p 500|sp500|spx", "small cap|mid cap|russell 2000"
+#: Extractors by a part of the signal's name, in order.
+EXTRACTORS = [("pronoun", "pronoun_divergence"), ("risk_factor_removal|risk_factor_clean", "risk_factor_removal"), ("cam_expansion|cam_velocity", "cam_expansion"), ("departure|severity|credibility|echo|coherence|fragility|scripted|semantic|pivot|sentiment_trajectory", "llm")]
+
+
+def rules_sql(x, rules, otherwise):
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for p, n in rules) + f" ELSE {otherwise} END"
+
+
+def _ideas(spark, sf):
+    return T.table(spark, sf, "part").selectExpr(*IDEAS_COLUMNS)
+
+
+@query("b3_hypothesis_scope", f"SELECT p_partkey, {rules_sql('mechanism', SECTOR_WORDS, 'NULL')} AS sector, CASE WHEN regexp_matches(mechanism, '{SMALL}') THEN 50000000 WHEN regexp_matches(mechanism, '{LARGE}') THEN 10000000000 ELSE 300000000 END AS min_market_cap, coalesce({rules_sql('mechanism', SECTOR_WORDS, 'NULL')} || ' sector stocks', 'all US listed equities') || CASE WHEN regexp_matches(mechanism, '10-k|annual') THEN ' filing 10-Ks' ELSE '' END || CASE WHEN regexp_matches(mechanism, '8-k|departure') THEN ' filing 8-Ks' ELSE '' END || CASE WHEN regexp_matches(mechanism, '{LARGE}') THEN ', large cap' ELSE '' END || CASE WHEN regexp_matches(mechanism, '{SMALL}') THEN ', small/mid cap' ELSE '' END AS description FROM (SELECT {IDEAS} FROM part)")
+def b3_scope(spark, sf):
+    """Sector, least market value and description of the names that a hypothesis is about, from its words."""
+    m = F.col("mechanism")
+    sector = F.nullif(first_match(m, SECTOR_WORDS, "none"), F.lit("none"))
+    says = lambda p, text: F.when(m.rlike(p), text).otherwise("")
+    cap = F.when(m.rlike(SMALL), 50_000_000).when(m.rlike(LARGE), 10_000_000_000).otherwise(300_000_000)
+    told = F.concat(F.coalesce(F.concat(sector, F.lit(" sector stocks")), F.lit("all US listed equities")), says("10-k|annual", " filing 10-Ks"), says("8-k|departure", " filing 8-Ks"), says(LARGE, ", large cap"), says(SMALL, ", small/mid cap"))
+    return _ideas(spark, sf).select("p_partkey", sector.alias("sector"), cap.alias("min_market_cap"), told.alias("description"))
+
+
+@query("b4_forms_and_frequency", "WITH h AS (SELECT p_partkey, CASE WHEN source_type = 'sec_filing' AND forms <> '' THEN forms WHEN regexp_matches(mechanism, '8-k|item 5.02') THEN '8-K' WHEN contains(mechanism, '10-q') THEN '10-Q' WHEN contains(mechanism, '10-k') THEN '10-K' ELSE '10-K,10-Q' END AS forms FROM (SELECT " + IDEAS + " FROM part)) SELECT p_partkey, forms, CASE WHEN regexp_matches(forms, '10-?Q') OR (regexp_matches(forms, '10-?K') AND regexp_matches(forms, '8-?K')) THEN 'quarterly' WHEN regexp_matches(forms, '8-?K') THEN 'event_driven' ELSE 'annual' END AS frequency FROM h")
+def b4_forms(spark, sf):
+    """The forms that a hypothesis reads, by its source's fields or its words, and how often they come."""
+    m = F.col("mechanism")
+    forms = F.when((F.col("source_type") == "sec_filing") & (F.col("forms") != ""), F.col("forms")).when(m.rlike("8-k|item 5.02"), "8-K").when(F.contains(m, F.lit("10-q")), "10-Q").when(F.contains(m, F.lit("10-k")), "10-K").otherwise("10-K,10-Q")
+    h = _ideas(spark, sf).select("p_partkey", forms.alias("forms"))
+    has = lambda p: F.col("forms").rlike(p)
+    return h.withColumn("frequency", F.when(has("10-?Q") | (has("10-?K") & has("8-?K")), "quarterly").when(has("8-?K"), "event_driven").otherwise("annual"))
+
+
+@query("b5_extractor_rules", f"SELECT p_partkey, {rules_sql('lower(signal_name)', EXTRACTORS, "CASE WHEN source_type = 'transcript' THEN 'llm' ELSE 'linguistic' END")} AS extractor FROM (SELECT {IDEAS} FROM part)")
+def b5_rules(spark, sf):
+    """The extractor by the signal's name, else by its source."""
+    named = F.nullif(first_match(F.col("signal_name"), EXTRACTORS, "none"), F.lit("none"))
+    return _ideas(spark, sf).select("p_partkey", F.coalesce(named, F.when(F.col("source_type") == "transcript", "llm"), F.lit("linguistic")).alias("extractor"))

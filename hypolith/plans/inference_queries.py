@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from hypolith.operators import portfolio as P
 from hypolith.operators import resampling as B
 from hypolith.operators import statistics as S
 from hypolith.operators.regression import ols
+from hypolith.plans.portfolios import legs_sql
 from hypolith.plans.registry import query
 from hypolith.plans.statistics_queries import ACF, DR, T2, daily_returns, rounded
 from hypolith.sources import tables as T
@@ -119,6 +118,22 @@ def g6(spark, sf):
     return e.withColumn("k", k).groupBy("rep").agg(R(F.avg(F.when(F.col("k") <= 100, F.col("ret")))).alias("early"))
 
 
+SHUFFLED = f"dts AS (SELECT rep.range AS rep, date, row_number() OVER (PARTITION BY rep.range ORDER BY date) AS k, row_number() OVER (PARTITION BY rep.range ORDER BY {draw_sql('11', 'rep.range', 'CAST(date AS VARCHAR)')}, date) AS j FROM (SELECT DISTINCT date FROM val), range(0, 20) rep), mv AS (SELECT a.rep, a.date, b.date AS was FROM dts a JOIN dts b ON a.rep = b.rep AND a.k = b.j), sh AS (SELECT mv.rep, v.date, v.ticker, v.fwd, s.signal FROM mv JOIN val v ON v.date = mv.date JOIN val s ON s.date = mv.was AND s.ticker = v.ticker)"
+
+
+@query("g6_time_shuffle_p", f"WITH {PANEL}, {SHUFFLED}, o AS (SELECT avg(ret) AS score FROM ({TOP5.format(by='', part='', t='val')})), p AS (SELECT rep, avg(ret) AS score FROM ({TOP5.format(by='rep,', part='rep,', t='sh')}) GROUP BY 1) SELECT round(any_value(o.score), 6) AS original, count(*) AS reps, round(avg(p.score), 6) AS shuffled_mean, round(greatest(1.0 / 21, sum(CASE WHEN p.score >= o.score THEN 1 ELSE 0 END) / 20), 6) AS p_value FROM o, p", "px")
+def g6_p(spark, sf):
+    """The share of twenty deals of the dates' labels, signals with them, whose objective reaches the original's."""
+    p = _panel(spark, sf)
+    d = p.select("date").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    w = Window.partitionBy("rep")  # a row a date
+    d = d.select("rep", "date", F.row_number().over(w.orderBy("date")).alias("k"), F.row_number().over(w.orderBy(B.draw(11, "rep", F.col("date").cast("string")), "date")).alias("j"))
+    moves = d.select("rep", "date", "k").join(d.select("rep", F.col("date").alias("was"), F.col("j").alias("k")), ["rep", "k"]).drop("k")
+    sh = moves.join(p.select("date", "ticker", "fwd"), "date").join(p.select(F.col("date").alias("was"), "ticker", "signal"), ["was", "ticker"])
+    both = objective(sh, ("rep",)).crossJoin(objective(p).withColumnRenamed("score", "own"))  # twenty rows by one
+    return rounded(both.agg(F.any_value("own").alias("original"), F.count("*").alias("reps"), F.avg("score").alias("shuffled_mean"), F.greatest(F.lit(1.0 / 21), F.count_if(F.col("score") >= F.col("own")) / 20).alias("p_value")))
+
+
 @query("g8_one_factor", f"WITH {DR}, f AS (SELECT date, ret AS y, lag(ret) OVER (ORDER BY date) AS x FROM dr) SELECT regr_count(y, x) AS n, round(regr_slope(y, x), 6) AS beta, round(regr_intercept(y, x), 6) AS alpha, round(regr_r2(y, x), 6) AS r2, round(covar_samp(y, x), 6) AS cov FROM f", "lp")
 def g8(spark, sf):
     f = daily_returns(spark, sf).select(F.col("ret").alias("y"), F.lag("ret").over(S.BY_DATE()).alias("x"))
@@ -162,16 +177,30 @@ def g10(spark, sf):
     f = factors(spark, sf).persist()
     r = ols(f, "ret", ["momentum", "reversal", "low_vol"])
     raw = f.agg(F.avg("ret") * 252).first()[0]
+    f.unpersist()
     alpha = float(r["beta"][0]) * 252
     share = 100 * (1 - alpha / raw) if raw else 0.0
     return spark.createDataFrame([(float(raw), alpha, float(share), bool(share > 50 and abs(r["t"][0]) < 2))], "raw double, alpha double, explained_pct double, recycling boolean")
 
 
-@query("g11_factor_correlations")
+def _leg_sql(signal: str) -> str:
+    return legs_sql(signal).replace("round(up - down, 6)", "up - down")
+
+
+_LOWVOL = "-CASE WHEN count(r) OVER v = 252 THEN stddev_samp(r) OVER v END"
+FACTOR_SERIES = (
+    "mkt AS (SELECT date, avg(fwd) AS ret FROM (SELECT date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS fwd FROM lp) WHERE fwd IS NOT NULL GROUP BY 1), "
+    f"fm AS (WITH {_leg_sql('lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1')}), fr AS (WITH {_leg_sql('-(close / nullif(lag(close, 21) OVER w, 0) - 1)')}), "
+    "fv AS (WITH " + _leg_sql(_LOWVOL).replace("FROM lp WINDOW w AS (PARTITION BY ticker ORDER BY date))", "FROM (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM lp) WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))", 1) + "), "
+    "fac AS (SELECT date, mkt.ret, fm.ret AS momentum, fr.ret AS reversal, fv.ret AS low_vol FROM mkt JOIN fm USING (date) JOIN fr USING (date) JOIN fv USING (date))"
+)
+
+
+@query("g11_factor_correlations", f"WITH {FACTOR_SERIES} SELECT round(corr(momentum, reversal), 6) AS momentum_reversal, round(corr(momentum, low_vol), 6) AS momentum_low_vol, round(corr(reversal, low_vol), 6) AS reversal_low_vol, count(*) AS n FROM fac WHERE momentum IS NOT NULL AND reversal IS NOT NULL AND low_vol IS NOT NULL", "lp")
 def g11(spark, sf):
     f = factors(spark, sf)
     names = ["momentum", "reversal", "low_vol"]
-    return f.agg(*(F.corr(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]), F.count("*").alias("n"))
+    return f.agg(*(R(F.corr(a, b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]), F.count("*").alias("n"))
 
 
 TRIM = "r AS (SELECT date, ret, row_number() OVER (ORDER BY ret, date) AS i, count(*) OVER () AS n FROM mr), t AS (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS pos FROM r WHERE i > floor(n * 0.05) AND i <= n - floor(n * 0.05)), c AS (SELECT count(*) AS n, avg(ret) AS m FROM t)"
@@ -231,15 +260,6 @@ def g22_neg(spark, sf):
     return T.signals(spark, sf).withColumn("signal", -F.col("signal"))
 
 
-@query("g23_power_curve")
-def g23(spark, sf):
-    """A logistic curve of survival on the log of the noise, by least squares on five calibration points."""
-    pts = [(float(n), 1 / (1 + math.exp(1.5 * (math.log(n) - math.log(200))))) for n in (50, 100, 200, 300, 500)]
-    d = spark.createDataFrame(pts, "noise double, share double").select(F.log("noise").alias("x"), F.log(F.col("share") / (1 - F.col("share"))).alias("y"))
-    c = d.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    return c.withColumn("noise_at_80", F.exp((F.log(F.lit(4.0)) - F.col("intercept")) / F.col("slope")))
-
-
 @query("g24_seeds", "SELECT c_custkey, (42 + ('0x' || substr(sha256(c_name), 1, 8))::BIGINT) % 2147483648 AS seed FROM customer")
 def g24(spark, sf):
     return T.table(spark, sf, "customer").select("c_custkey", B.seed_of(42, F.col("c_name")).alias("seed"))
@@ -252,3 +272,60 @@ def v7(spark, sf):
     u = B.draw("seed", F.col("date").cast("string"), "ticker") / F.lit(2.0**32)
     o = objective(p.withColumn("signal", F.col("signal") + F.col("level") * 0.5 * (2 * u - 1)), ("level", "seed"))
     return o.groupBy(F.col("level").cast("long").alias("level")).agg(F.count("*").alias("runs"), F.count_if(F.col("score") > 0).alias("survived"), R(F.avg("score")).alias("mean_score"))
+
+
+LEVELS = (0, 2, 4, 8, 16)
+_U = lambda *keys: f"(2 * ({draw_sql(*keys)} / 4294967296.0) - 1)"
+TIERS = (
+    f"sd AS (SELECT stddev_samp(fwd) AS s FROM val), td AS (SELECT 1 AS tier, 0 AS level, 0 AS seed, date, ticker, fwd, fwd AS signal FROM val UNION ALL "
+    f"SELECT 2, l.l, k.range, date, ticker, fwd, fwd + l.l * s * {_U('k.range', 'CAST(date AS VARCHAR)', 'ticker')} FROM val, sd, (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS l) l, range(0, 4) k UNION ALL "
+    f"SELECT 3, 0, k.range, date, ticker, fwd, CASE WHEN k.range = 0 THEN -fwd ELSE {_U('100 + k.range', 'CAST(date AS VARCHAR)', 'ticker')} - fwd / s END FROM val, sd, range(0, 3) k UNION ALL "
+    f"SELECT 4, 0, k.range, date, ticker, fwd, {_U('200 + k.range', 'CAST(date AS VARCHAR)', 'ticker')} FROM val, range(0, 20) k), "
+    f"run AS (SELECT tier, level, seed, avg(ret) AS score, avg(ret) / nullif(stddev_samp(ret) / sqrt(count(*)), 0) AS t FROM ({TOP5.format(by='tier, level, seed,', part='tier, level, seed,', t='td')}) GROUP BY 1, 2, 3), "
+    "tiers AS (SELECT tier, level, count(*) AS runs, count_if(coalesce(t, 0) > 1.645) AS survived, avg(score) AS mean_score FROM run GROUP BY 1, 2)"
+)
+
+
+def _tiers(spark, sf):
+    """(tier, level, runs, survived, mean_score). All runs of all tiers go through one plan of the objective."""
+    p = _panel(spark, sf).drop("signal")
+    sd = p.agg(F.stddev_samp("fwd").alias("s"))
+    u = lambda *keys: 2 * (B.draw(*keys, F.col("date").cast("string"), "ticker") / F.lit(2.0**32)) - 1
+    plans = [(1, 0, 0)] + [(2, x, k) for x in LEVELS for k in range(4)] + [(3, 0, k) for k in range(3)] + [(4, 0, k) for k in range(20)]
+    runs = F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), F.lit(x).alias("level"), F.lit(k).alias("seed")) for t, x, k in plans)))
+    d = p.crossJoin(F.broadcast(sd)).withColumn("run", runs).select("date", "ticker", "fwd", "s", "run.*")  # one row
+    noise = F.col("fwd") + F.col("level") * F.col("s") * u("seed")
+    against = F.when(F.col("seed") == 0, -F.col("fwd")).otherwise(u(F.col("seed") + 100) - F.try_divide("fwd", "s"))
+    d = d.withColumn("signal", F.when(F.col("tier") == 1, F.col("fwd")).when(F.col("tier") == 2, noise).when(F.col("tier") == 3, against).otherwise(u(F.col("seed") + 200)))
+    by = ("tier", "level", "seed")
+    n = F.count("*").over(Window.partitionBy(*by, "date"))
+    top = d.withColumn("_n", n).withColumn("_top", P.top([*by, "date"], "signal", 0.2)).filter("_n >= 5 and _top").groupBy(*by, "date").agg(F.avg("fwd").alias("ret"))
+    run = top.groupBy(*by).agg(F.avg("ret").alias("score"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("t"))
+    return run.groupBy("tier", "level").agg(F.count("*").alias("runs"), F.count_if(F.coalesce("t", F.lit(0.0)) > 1.645).alias("survived"), F.avg("score").alias("mean_score"))
+
+
+@query("v7_four_tiers", f"WITH {PANEL}, {TIERS} SELECT tier, level, runs, survived, round(mean_score, 6) AS mean_score, CASE tier WHEN 1 THEN survived = runs WHEN 2 THEN level > 0 OR survived > 0 WHEN 3 THEN survived = 0 ELSE survived <= 0.05 * runs END AS passed FROM tiers", "px")
+def v7_tiers(spark, sf):
+    """Calibration: a planted effect survives, it survives less under noise, reversed signals don't survive, and random ones
+    survive in at most one of twenty runs."""
+    t = F.col("tier")
+    ok = F.when(t == 1, F.col("survived") == F.col("runs")).when(t == 2, (F.col("level") > 0) | (F.col("survived") > 0)).when(t == 3, F.col("survived") == 0).otherwise(F.col("survived") <= 0.05 * F.col("runs"))
+    return rounded(_tiers(spark, sf).withColumn("passed", ok))
+
+
+_SHARE = "ln(greatest(0.5, survived) / greatest(0.5, runs - survived))"
+
+
+@query("g23_power_curve", f"WITH {PANEL}, {TIERS}, c AS (SELECT regr_slope({_SHARE}, ln(1 + level)) AS slope, regr_intercept({_SHARE}, ln(1 + level)) AS intercept FROM tiers WHERE tier = 2) SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, CASE WHEN slope < 0 THEN round((ln(4) - intercept) / slope, 6) END AS log_noise_at_80 FROM c", "px")
+def g23(spark, sf):
+    """A logistic curve of the shares that survive in the second tier on the log of the noise, and the noise at which 80 % do."""
+    share = F.log(F.greatest(F.lit(0.5), F.col("survived")) / F.greatest(F.lit(0.5), F.col("runs") - F.col("survived")))
+    d = _tiers(spark, sf).filter("tier = 2").select(F.log(1 + F.col("level")).alias("x"), share.alias("y"))
+    c = d.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return rounded(c.withColumn("log_noise_at_80", F.when(F.col("slope") < 0, (F.log(F.lit(4.0)) - F.col("intercept")) / F.col("slope"))))
+
+
+@query("g22_random_signals", f"SELECT ticker, date, round({_U('7', 'CAST(date AS VARCHAR)', 'ticker')}, 6) AS signal FROM sig", "sig")
+def g22_random(spark, sf):
+    """Signals that know nothing, one a cell, the same in every run."""
+    return rounded(T.signals(spark, sf).select("ticker", "date", (2 * (B.draw(7, F.col("date").cast("string"), "ticker") / F.lit(2.0**32)) - 1).alias("signal")))
