@@ -126,7 +126,8 @@ def ranked(df: DataFrame, value: str, key: str, buckets: int = 64) -> DataFrame:
     its own, so that no task sorts all rows. Rows of one value share a bucket. Nulls of value are left out.
     """
     df = df.filter(F.col(value).isNotNull())
-    bounds = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)))
+    parts = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(df.agg(F.percentile_approx(value, parts, 1000)).first()[0] or [])) if parts else []
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
     d = df.withColumn("bucket", at)
     sizes = d.groupBy("bucket").agg(F.count("*").alias("_k"))

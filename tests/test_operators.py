@@ -11,13 +11,17 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hypolith.functions import costs, special
+from hypolith.functions import filings as G
 from hypolith.functions.dates import add_business_days
+from hypolith.operators import factors as X
 from hypolith.operators import joins as J
 from hypolith.operators import portfolio as P
 from hypolith.operators import resampling as B
 from hypolith.operators import statistics as S
 from hypolith.operators.regression import ols
 from hypolith.plans import registry
+from hypolith.plans.filing_queries import removed_items
+from hypolith.plans.source_queries import matched
 from hypolith.plans.spec import DataSource, HypothesisSpec
 from hypolith.plans.verdict import evaluate
 from hypolith.sources import adapters as A
@@ -200,3 +204,90 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(registry.QUERIES) > 150
+
+
+def test_prices_of_zero_give_no_return(spark):
+    prices = spark.createDataFrame([("a", D("2024-01-01") + timedelta(days=i), float(x)) for i, x in enumerate([5, 0, 4, 0, 0, 8])], "ticker string, date date, close double").withColumn("volume", F.lit(0.0))
+    for f in (X.period_return, X.reversal, X.momentum, X.amihud, X.low_volatility):
+        assert f(prices).count() == 6
+    got = [r.value for r in X.period_return(prices).orderBy("date").collect()]
+    assert got == [None, -1.0, None, -1.0, None, None]
+    assert [r.fwd for r in J.offset_return(prices, 2).orderBy("date").collect()] == [None, -1.0, None, None, None, None]
+    points = prices.select("ticker", F.col("date").alias("signal_date"))
+    rows = J.with_return(J.forward_prices(points, prices, 5, True)).collect()
+    assert rows and all(r.entry_price > 0 for r in rows)
+    flat = series(spark, [0.0] * 30)
+    assert S.distribution(flat).count() == 1 and S.performance(flat).first().sharpe is None and S.gt_score(flat).first().t is None
+
+
+def test_a_total_loss_is_the_worst_drawdown(spark):
+    rows = S.equity(series(spark, [0.1, -1.0, 0.5])).orderBy("date").collect()
+    assert [round(r.cum, 6) for r in rows] == [1.1, 0, 0] and [r.drawdown for r in rows] == [0, -1, -1]
+    assert [(r.cum, r.drawdown) for r in S.equity(series(spark, [-1.5])).collect()] == [(0, -1)]
+
+
+def test_ranks_by_buckets(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"k{i:04}", float(v) if i % 50 else None) for i, v in enumerate(rng.choice([1.0, 2.0, *rng.normal(0, 5, 300)], 2000))]
+    df = spark.createDataFrame(rows, "key string, p double")
+    want = {k: i + 1 for i, (v, k) in enumerate(sorted((v, k) for k, v in rows if v is not None))}
+    for buckets in (1, 7, 64):
+        got = S.ranked(df, "p", "key", buckets).collect()
+        assert {r.key: r["rank"] for r in got} == want and {r.n for r in got} == {len(want)}
+    assert S.ranked(df.limit(0), "p", "key").count() == 0
+
+
+def test_matching_is_greedy_by_distance(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, bool(i % 3 == 0), D("2020-01-01") + timedelta(days=int(d))) for i, d in enumerate(rng.integers(0, 2000, 90))]
+    rows += [(1000 + i, i >= 12, D("2030-01-01") + timedelta(days=i)) for i in range(24)]  # a run of one side beside one of the other
+    got = {(r.key_a, r.key_b, r.gap) for r in matched(spark.createDataFrame(rows, "id int, side boolean, at date"), "id", "side", "at", stretch=100).collect()}
+    assert len({k for a, b, _ in got for k in (a, b)}) == 2 * len(got)
+    assert len(got) == min(sum(s for _, s, _ in rows), sum(not s for _, s, _ in rows))
+    # Greedy: the closest free pair first; its gaps are those of any order among equals.
+    free, gaps = {k: (s, d) for k, s, d in rows}, []
+    while {s for s, _ in free.values()} == {True, False}:
+        g, a, b = min((abs((free[x][1] - free[y][1]).days), x, y) for x in free for y in free if free[x][0] and not free[y][0])
+        gaps.append(g)
+        del free[a], free[b]
+    assert abs(sum(g for *_, g in got) - sum(gaps)) <= 0.05 * sum(gaps) and all(g == abs((rows_at(rows, a) - rows_at(rows, b)).days) for a, b, g in got)
+
+
+def rows_at(rows, key):
+    return next(d for k, _, d in rows if k == key)
+
+
+def test_filing_parts_of_hand_made_texts(spark):
+    risks = "\n".join(f"({i}) We may lose money on thing number {i}, and on all that follows from it." for i in range(1, 5))
+    annual = f"Table of Contents\nItem 1A. Risk Factors\nItem 7. Management's Discussion\n\nItem 1A. Risk Factors\n{risks}\nItem 1B. Unresolved\n" + "x" * 200
+    one = lambda c, **texts: spark.createDataFrame([tuple(texts.values())], ", ".join(f"{k} string" for k in texts)).select(c.alias("x")).first().x
+    found = one(G.section(F.col("t"), G.SECTIONS["risk_factors"], G.NEXT_SECTION), t=annual)
+    assert found.startswith("Item 1A. Risk Factors\n(1)") and found.endswith("follows from it.")
+    assert one(G.section(F.col("t"), G.SECTIONS["mda"], G.NEXT_SECTION), t="no items") is None
+    assert [x[:3] for x in one(G.risk_items(F.col("t")), t=found)] == ["(1)", "(2)", "(3)", "(4)"] and one(G.risk_items(F.col("t")), t="short") == []
+    call = "Welcome.\nQuestions and Answers\n" + "we said so. " * 60 + "\nEND OF CALL\nrest"
+    assert one(G.questions_part(F.col("t")), t=call).endswith("we said so.") and one(G.questions_part(F.col("t")), t="none") is None
+    assert one(G.segments(F.col("t"))["qa"], t=call).startswith("Questions") and one(G.segments(F.col("t"))["prepared"], t="all of it") == "all of it"
+    matters = "Opinion.\nCritical Audit Matters\nThe matters communicated below do not alter it.\n\nGoodwill\nCritical Audit Matter Description\n" + "level 3 inputs and more. " * 9 + "\nHow the critical audit matter was addressed\nlitigation\n/s/\nX"
+    df = G.audit_matters(spark.createDataFrame([(matters,), ("nothing",), (None,)], "t string"), "t")
+    rows = [r.matters for r in df.collect()]
+    assert len(rows[0]) == 1 and rows[0][0].startswith("Goodwill\nCritical Audit Matter Description") and rows[1:] == [[], []]
+    assert one(G.audit_topic(F.col("t")), t=rows[0][0]) == "financial_instruments" and one(G.audit_topic(F.col("t")), t="goodwill only") == "asset_valuation"
+    told = lambda t: one(G.tolerant_json(F.col("t"), {"signal_value": None})["signal_value"], t=t)
+    assert [told(t) for t in ('```json\n{"signal_value": 0.5}\n```', 'x {"a": {"b": "}"}, "signal_value": 2,} y', '"signal_value": -1.5, cut', "none")] == [0.5, 2.0, -1.5, None]
+
+
+def test_removed_items_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    words = lambda: sorted({f"w{k}" for k in rng.integers(0, 40, rng.integers(0, 9))})
+    items = [(d, i, words()) for d in range(6) for i in range(rng.integers(1, 7))]
+    pairs = [(d, d + 1) for d in range(5)]
+    got = {(r.old, r.new): r for r in removed_items(spark.createDataFrame(items, "doc_id long, item int, words array<string>"), spark.createDataFrame(pairs, "old long, new long")).collect()}
+    for a, b in pairs:
+        x, y = ([set(w) for d, _, w in items if d == k] for k in (a, b))
+        sim = lambda p, q: len(p & q) / len(p | q) if p | q else 0.0
+        far = [max(sim(p, q) for q in y) for p in x]
+        back = [max(sim(p, q) for p in x) for q in y]
+        r = got[a, b]
+        assert (r.n_removed, r.n_added, r.n_unchanged) == (sum(s < 0.15 for s in far), sum(s < 0.15 for s in back), sum(s >= 0.15 for s in far))
+        assert abs(r.score - r.n_removed * np.mean([1 - s for s in far])) < 1e-9
