@@ -128,23 +128,25 @@ def ranked(df: DataFrame, value: str, key: str, buckets: int = 64) -> DataFrame:
     df = df.filter(F.col(value).isNotNull())
     parts = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.agg(F.percentile_approx(value, parts, 1000)).first()[0] or [])) if parts else []
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
-    d = df.withColumn("bucket", at)
-    sizes = d.groupBy("bucket").agg(F.count("*").alias("_k"))
-    sizes = sizes.select("bucket", (F.sum("_k").over(Window.orderBy("bucket")) - F.col("_k")).alias("_off"), F.sum("_k").over(Window.partitionBy()).alias("n"))
-    d = d.join(F.broadcast(sizes), "bucket")  # a row a bucket
-    return d.withColumn("rank", F.col("_off") + F.row_number().over(Window.partitionBy("bucket").orderBy(value, key))).drop("_off")
+    d = df.withColumn("bucket", sum(((F.col(value) >= b).cast("int") for b in bounds), F.lit(0)))
+    sizes = dict(d.groupBy("bucket").count().collect())  # a row a bucket
+    before = [sum(n for b, n in sizes.items() if b < k) for k in range(len(bounds) + 1)]
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy(value, key))
+    return d.withColumns({"n": F.lit(sum(sizes.values())).cast("long"), "rank": _by_bucket(before).cast("long") + own})
+
+
+def _by_bucket(values: list) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
 
 
 def adjusted(p: DataFrame, value: str = "p", key: str = "key") -> DataFrame:
     """p with rank, n, bonferroni and bh: p * n, and the least p * n / rank from the largest down, both at most 1. The least
-    of a bucket's rows is joined with that of the buckets above it."""
+    of a bucket's rows meets that of the buckets above it."""
     r = ranked(p, value, key).withColumn("_q", F.col(value) * F.col("n") / F.col("rank"))
-    above = r.groupBy("bucket").agg(F.min("_q").alias("_m"))
-    above = above.select("bucket", F.min("_m").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
-    r = r.join(F.broadcast(above), "bucket")  # a row a bucket
+    least = dict(r.groupBy("bucket").agg(F.min("_q")).collect())  # a row a bucket
+    above = [min((q for b, q in least.items() if b > k), default=1.0) for k in range(max(least, default=0) + 1)]
     own = F.min("_q").over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
-    return r.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("n")), "bh": F.least(F.lit(1.0), own, "_above")}).drop("_q", "_above", "bucket")
+    return r.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("n")), "bh": F.least(F.lit(1.0), own, _by_bucket(above))}).drop("_q", "bucket")
 
 
 def winsorised(series: DataFrame, share: float) -> DataFrame:
