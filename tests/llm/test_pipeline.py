@@ -67,3 +67,16 @@ def test_stages(spark, tmp_path):
 def test_run_names_every_document_that_is_left(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 1024").count() == 0 and out.count() > 50
+
+
+def test_stages_of_nothing_and_of_clashing_columns(spark):
+    """Columns that documents doesn't name pass through every stage, also under names that the operators use."""
+    row = (1, "one two three four five six " * 9, "en", "s", 5, "mine", "yes", 7, "k", [1])
+    kind = "doc_id long, text string, lang string, source string, n_chars long, quality string, kept string, component_id int, digest string, item_ids array<int>"
+    docs = spark.createDataFrame([row, row, (None, None, None, None, None, None, None, None, None, None), (2, "", "en", "s", 0, "q", "no", 1, "d", [])], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        some, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        if name != "packing":
+            assert some.columns == docs.columns and some.schema == docs.schema
+            assert {r.quality for r in some.collect()} <= {"mine", "q", None}
