@@ -316,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     known = written(items.mapInArrow(_windows(None), HITS).dropDuplicates(["id", "part", "at"]), "items")
-    total = known.groupBy(F.col("id").alias("item"), F.col("part").alias("body")).agg(F.count_distinct("window").alias("all"))
+    total = known.groupBy(F.col("id").alias("item"), F.col("part").alias("body")).agg(F.count_distinct("window").alias("all"), F.bool_or(F.array_contains("slots", True)).alias("slotted"))
     widths = tuple(r[0] for r in known.select(F.size("words").alias("n")).filter(F.col("n").between(SHORT, WINDOW - 1)).distinct().collect())  # two at most
     distinct = known.select("window").distinct()
     few = distinct.limit(screen + 1).count() <= screen
@@ -325,12 +325,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     hits = written(hits if few else hits.join(distinct, "window", "left_semi"), "hits")
     sides = written(known.select("window", F.col("id").alias("item"), F.col("part").alias("body")).distinct(), "sides")
     met = hits.select("id", "window").distinct().join(small(sides, 200_000), "window").groupBy("id", "item", "body").agg(F.count("*").alias("found"))
-    met = met.join(small(total), ["item", "body"]).filter(F.col("found") >= F.least(coverage * F.col("all"), F.lit(float(stretch)))).select("id", "item").distinct()
-    met = written(met, "met")
+    met = met.join(small(total), ["item", "body"]).filter(F.col("found") >= F.least(coverage * F.col("all"), F.lit(float(stretch))))
+    # In the plain reading an item without numbers has no slots, so that its windows alone tell.
+    sure = F.bool_or((F.col("found") >= coverage * F.col("all")) & ~F.col("slotted") & (F.col("body") % 2 == 0))
+    met = written(met.groupBy("id", "item").agg(sure.alias("sure"), F.max(F.col("found") / F.col("all")).alias("coverage")), "met")
+    plain, met = met.filter("sure").select("id", "item", "coverage", F.lit(1.0).alias("slot_share")), met.filter("not sure").select("id", "item")
     held_by = hits.join(met, "id").join(small(written(sides.select("window", "item").distinct(), "sides"), 200_000), ["window", "item"], "left_semi").select("id", "item", "part", "at", "window", "words")
     body = met.join(known.select(F.col("id").alias("item"), "part", "at", "window", "words", "slots"), "item").select("id", "item", "part", "at", "window", "words", "slots")
     body = body.toDF(*body.columns)
-    met = held_by.groupBy("id", "item").cogroup(body.groupBy("id", "item")).applyInArrow(_judged(coverage, consistent, stretch), "id long, item long, coverage double, slot_share double")
+    met = held_by.groupBy("id", "item").cogroup(body.groupBy("id", "item")).applyInArrow(_judged(coverage, consistent, stretch), "id long, item long, coverage double, slot_share double").unionByName(plain)
     return met.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("slot_share").alias("slot_share")).withColumn("n_items", F.size("item_ids").cast("long"))
 
 
