@@ -180,7 +180,8 @@ def _told(model: dict[str, tuple], sure: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((4, width + 1), np.int64) for width in (TEXT, META)]
-        for batch in batches:
+        # A thousand documents at a time, for each of their features takes some numbers.
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
             free = ~np.asarray(batch.column(0), bool)
             lists = []
             for c in (1, 2):
