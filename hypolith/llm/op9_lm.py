@@ -74,59 +74,69 @@ class Network:
 
     @staticmethod
     def around(words: np.ndarray) -> np.ndarray:
-        """For each word the inputs of its neighbours, left to right."""
-        ids = (words >> np.uint64(20)).astype(np.int32) & (INPUTS - 1)
-        edge = np.full(SIDE, INPUTS, np.int32)
+        """For each word the inputs of its neighbours, left to right; short integers, which sort by digits."""
+        ids = (words >> np.uint64(20)).astype(np.int16) & np.int16(INPUTS - 1)
+        edge = np.full(SIDE, INPUTS, np.int16)
         padded = np.concatenate([edge, ids, edge])
         return np.stack([padded[SIDE + d : SIDE + d + len(ids)] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+        """Of each column. Words lie along the last axis everywhere, so that sums over outputs add long rows."""
+        z -= z.max(0)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= z.sum(0)
         return z
 
     def _hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.parts[0][near].reshape(len(near), -1)
-        return x, np.maximum(x @ self.parts[1] + self.parts[2], 0)
+        """The input vectors (a row a word) and the hidden numbers (a column a word)."""
+        x = self.parts[0].take(near, 0).reshape(len(near), -1)
+        a = self.parts[1].T @ x.T
+        a += self.parts[2][:, None]
+        return x, np.maximum(a, 0, out=a)
+
+    @staticmethod
+    def _by_group(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order in which the words of a group lie together, group and member in it, and (group, begin, end)."""
+        group, member = np.divmod(cells, MEMBERS)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        group, member = group[order], member[order]
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        return order, group, member, [(g, i, j) for g, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j]
 
     def log_cells(self, near: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The log chance of each word's cell."""
-        group, member = np.divmod(cells, MEMBERS)
-        a = self._hidden(near)[1]
-        out = np.log(np.maximum(self._softmax(a @ self.parts[3] + self.parts[4])[np.arange(len(a)), group], 1e-12))
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[g] : bounds[g + 1]]
-            out[at] += np.log(np.maximum(self._softmax(a[at] @ self.parts[5][g] + self.parts[6][g])[np.arange(len(at)), member[at]], 1e-12))
+        order, group, member, runs = self._by_group(cells)
+        a, at = self._hidden(near[order])[1], np.arange(len(cells))
+        p = self._softmax(self.parts[3].T @ a + self.parts[4][:, None])[group, at]
+        p = np.log(np.maximum(p, 1e-12))
+        for g, i, j in runs:
+            p[i:j] += np.log(np.maximum(self._softmax(self.parts[5][g].T @ a[:, i:j] + self.parts[6][g][:, None])[member[i:j], at[: j - i]], 1e-12))
+        out = np.empty_like(p)
+        out[order] = p
         return out
 
     def step(self, near: np.ndarray, cells: np.ndarray, rate: float) -> None:
         """One step by each number's own pace: the rate over the root of its squared gradients so far."""
         word, w1, _, w2, _, w3, _ = self.parts
         n = len(near)
-        order = np.argsort(cells // MEMBERS, kind="stable")  # rows of a group lie together
-        near = near[order]
-        group, member = np.divmod(cells[order], MEMBERS)
+        order, group, member, runs = self._by_group(cells)
+        near, at = near[order], np.arange(n)
         x, a = self._hidden(near)
-        z = self._softmax(a @ w2 + self.parts[4])
-        z[np.arange(n), group] -= 1
+        z = self._softmax(w2.T @ a + self.parts[4][:, None])
+        z[group, at] -= 1
         z /= n
-        da = z @ w2.T
-        grads = [None, None, None, a.T @ z, z.sum(0), np.zeros_like(w3), np.zeros_like(self.parts[6])]
-        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(bounds)):
-            i, j = bounds[g], bounds[g + 1]
-            y = self._softmax(a[i:j] @ w3[g] + self.parts[6][g])
-            y[np.arange(j - i), member[i:j]] -= 1
+        da = w2 @ z
+        grads = [None, None, None, a @ z.T, z.sum(1), np.zeros_like(w3), np.zeros_like(self.parts[6])]
+        for g, i, j in runs:
+            y = self._softmax(w3[g].T @ a[:, i:j] + self.parts[6][g][:, None])
+            y[member[i:j], at[: j - i]] -= 1
             y /= n
-            grads[5][g], grads[6][g] = a[i:j].T @ y, y.sum(0)
-            da[i:j] += y @ w3[g].T
+            grads[5][g], grads[6][g] = a[:, i:j] @ y.T, y.sum(1)
+            da[:, i:j] += w3[g] @ y
         da *= a > 0
-        grads[1], grads[2] = x.T @ da, da.sum(0)
-        dx = (da @ w1.T).reshape(-1, WIDTH)
+        grads[1], grads[2] = x.T @ da.T, da.sum(1)
+        dx = (da.T @ w1.T).reshape(-1, WIDTH)
         for p, g, h in zip(self.parts[1:], grads[1:], self.pace[1:], strict=True):
             h += g * g
             p -= rate * g / np.sqrt(h)
@@ -134,8 +144,8 @@ class Network:
         order = np.argsort(at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        g, at = np.add.reduceat(dx[order], first), at[first]
-        self.pace[0][at] += (g * g).sum(1)
+        g, at = np.add.reduceat(dx.take(order, 0), first), at[first]
+        self.pace[0][at] += np.einsum("ij,ij->i", g, g)
         word[at] -= rate * g / np.sqrt(self.pace[0][at])[:, None]
         word[INPUTS] = 0
 
@@ -319,12 +329,13 @@ def scored(docs: DataFrame, net: Network, counts: Counts, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_scorer(net.flat(), counts), SCORED)
     rows = written(rows, "scores", wide=True)
     each = rows.filter("n_words is not null").select("doc_id", "key", "n_words", "inside", "own")
-    # Equal texts ask for equal words, so their sum is as many times the sum of one.
-    copies = each.groupBy("key").agg(F.sum("own").alias("copies"))
+    # Equal texts ask for equal words, so their sum is as many times the sum of one; they share one score to the last bit,
+    # whichever blocks they lay in.
+    copies = each.groupBy("key").agg(F.sum("own").alias("copies"), F.min("inside").alias("inside"))
     rare = rows.filter("word is not null").select("key", "word", "own").join(counts.table, "word")
     rare = rare.groupBy("key").agg(F.sum(F.col("own") * F.log(F.col("n") - F.col("own") + PRIOR)).alias("rare"))
-    rare = copies.join(rare, "key").select("key", (F.col("rare") / F.col("copies")).alias("rare"))
-    out = each.join(rare, "key", "left").withColumn("log_likelihood", F.col("inside") + F.coalesce("rare", F.lit(0.0)))
+    score = F.col("inside") + F.coalesce(F.try_divide("rare", "copies"), F.lit(0.0))
+    out = each.select("doc_id", "key", "n_words").join(copies.join(rare, "key", "left").select("key", score.alias("log_likelihood")), "key")
     return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))
 
 
