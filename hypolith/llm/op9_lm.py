@@ -269,7 +269,8 @@ def _scorer(flat: np.ndarray, counts: Counts):
         net, hasher, seen = Network(flat), Shingler(1), set()
         for batch in batches:
             for start in range(0, len(batch), 256):
-                out, docs = [[] for _ in range(6)], list(zip(*batch.slice(start, 256).columns, strict=True))
+                docs = list(zip(*batch.slice(start, 256).columns, strict=True))
+                keys, lengths, asking, rare = [], [], [], []
                 near, cells, of, held = [], [], [], 0
                 inside = np.zeros(len(docs))
 
@@ -283,9 +284,18 @@ def _scorer(flat: np.ndarray, counts: Counts):
                         x.clear()
                     held = 0
 
-                for d, (doc, text) in enumerate(docs):
-                    doc, text = doc.as_py(), text.as_py() or ""
-                    words, s = hasher.words(text), 0.0
+                for d, (_, text) in enumerate(docs):
+                    text = text.as_py() or ""
+                    words = hasher.words(text)
+                    keys.append(key := xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+                    lengths.append(len(words))
+                    # Of copies of a text in a task one is scored and asks for its rare words.
+                    asking.append(key not in seen)
+                    if not asking[-1]:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
                     for i in range(0, len(words), BATCH):
                         low = max(0, i - SIDE)
                         near.append(net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH])
@@ -294,25 +304,20 @@ def _scorer(flat: np.ndarray, counts: Counts):
                         held += len(cells[-1])
                         if held >= BATCH:
                             flush()
-                    kinds, first, own = np.unique(words, return_index=True, return_counts=True)
+                    kinds, own = np.unique(words, return_counts=True)
                     at, hit = Vocabulary.find(vocabulary.words, kinds)
-                    s += float((own[hit] * np.log(vocabulary.counts[at[hit]] - own[hit] + PRIOR)).sum()) if hit.any() else 0.0
-                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-                    # Of copies of a text in a task one asks for its rare words.
-                    asks = key not in seen
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen.add(key)
-                    rare, own = (kinds[~hit].view(np.int64), own[~hit]) if asks else (np.empty(0, np.int64), np.empty(0, np.int64))
-                    k = len(rare)
-                    for column, one, more in zip(out, (doc, key, len(words), s, None, int(asks)), ([None] * k, [key] * k, [None] * k, [None] * k, rare.tolist(), own.tolist()), strict=True):
-                        column.append(one)
-                        column += more
+                    if hit.any():
+                        inside[d] += float((own[hit] * np.log(vocabulary.counts[at[hit]] - own[hit] + PRIOR)).sum())
+                    rare.append((key, kinds[~hit].view(np.int64), own[~hit]))
                 flush()
-                here = iter(inside)  # the texts' rows in order
-                out[3] = [None if n is None else s + float(next(here)) for n, s in zip(out[2], out[3], strict=True)]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+                names, none = [x.split()[0] for x in SCORED.split(", ")], lambda n, t=pa.int64(): pa.nulls(n, t)
+                own = np.array(asking)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x, _ in docs], pa.int64()), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(inside, mask=~own), none(len(docs)), pa.array(own.astype(np.int32))], names)
+                if rare:
+                    key, words, own = zip(*rare, strict=True)
+                    key = np.repeat(np.array(key, np.int64), [len(w) for w in words])
+                    n = len(key)
+                    yield pa.RecordBatch.from_arrays([none(n), pa.array(key), none(n), none(n, pa.float64()), pa.array(np.concatenate(words)), pa.array(np.concatenate(own).astype(np.int32))], names)
 
     return run
 
