@@ -34,7 +34,9 @@ class Encoder:
         self.slow, self.fast = Tokenizer.from_file(path), None
         # Letters for which the two libraries' tables can't differ; a marker of special tokens leaves it to the first, and
         # so do long runs of one kind of character, on which the second's patterns run out of stack.
-        self.other = re.compile(f"[^\x00-ɏ‐-‧€]|<\\||\\s{{{RUN}}}|[^\\W\\d_]{{{RUN}}}|\\d{{{RUN}}}|[^\\w\\s]{{{RUN}}}|_{{{RUN}}}")
+        # A run is looked for from its first character alone, so that runs just under RUN cost what other text costs.
+        self.other = re.compile("[^\x00-ɏ‐-‧€]|<\\|")
+        self.runs = re.compile("|".join(f"(?<!{c}){c}{{{RUN}}}" for c in (r"\s", r"[^\W\d_]", r"\d", r"[^\w\s]", "_")))
         if ranks and pattern:
             import base64
 
@@ -45,7 +47,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=held, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or self.other.search(text):
+        if self.fast is None or self.other.search(text) or (len(text) >= RUN and self.runs.search(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         try:
             return np.array(self.fast.encode_ordinary(text), np.uint32)
@@ -164,7 +166,7 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
     A document is the ids of its whole text (null: empty) by the file `tokenizer`, then END; `ranks` and `pattern` name
     the same vocabulary for the faster library. bears_col: the document's first loss-bearing id (none or null: 0),
     which for instruction data is the prompt's length. A text of any length, also of one
-    run of white space, is encoded whole. Every id lies in exactly one piece. Each task packs what it
+    run of white space, is encoded whole, in time that grows with its length. Every id lies in exactly one piece. Each task packs what it
     reads, as it reads, with at most `pool` pieces waiting: no shuffle, bounded memory, and a lost task is done again
     with the same result. Only the last few sequences of a task are short, and their lengths are powers of two. Rows with
     a null id or repeated ids are packed like others. Other columns aren't read. No rows give no rows.

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -15,7 +16,7 @@ from hypolith.llm.op2_quality import META, TEXT, TOLD_ROWS, Rows, Told, Viewer,
 from hypolith.llm.op3_html import _Maker, choose, extracted, features, main_text, trained
 from hypolith.llm.dom import Dom
 from hypolith.llm.op5_templates import UNITS, Templater, contaminated
-from hypolith.llm.op8_packing import END, Packer, packed, public_files
+from hypolith.llm.op8_packing import END, RUN, Encoder, Packer, packed, public_files
 from hypolith.llm.op9_lm import FREQUENT, GROUPS, INPUTS, MEMBERS, PRIOR, SIDE, Counts, Network, scored
 from hypolith.llm.op9_lm import trained as lm_trained
 from hypolith.llm.op10_quotes import normal, parsed, threaded
@@ -387,6 +388,18 @@ def test_packing_long_runs(spark):
     assert check_packing(packed(df, **public_files()).collect(), texts) == 0
 
 
+def test_packing_runs_just_under_the_limit():
+    """Many runs of nearly RUN characters, of each kind, take seconds, and their ids are those of the tokenizers file."""
+    encoder, slow = Encoder(*public_files().values()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for kind in ("a", "Qz", " ", "1", "_", "!", "\n"):
+        text = ((kind * RUN)[: RUN - 1] + ("x" if len(kind) == 1 and kind != "a" else ". ")) * 70
+        began = time.process_time()
+        assert not encoder.runs.search(text) and encoder.runs.search("é" + kind * RUN + "é")
+        ids = encoder.ids(text)
+        assert time.process_time() - began < 5, kind
+        assert ids.tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_three_limits_on_spark(spark):
     """Prompts bear no loss; with many short examples all three limits bind somewhere, and none is broken."""
     r = np.random.default_rng(2)
