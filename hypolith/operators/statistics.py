@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hypolith.operators.order import AT, RANGE, placed, walked
+
 BY_DATE = lambda: Window.orderBy("date")
 PERCENTILES = (1, 5, 10, 25, 75, 90, 95, 99)
 
@@ -119,34 +121,25 @@ def auc(df: DataFrame, value: str, positive: Column, by: list[str]) -> DataFrame
     return r.groupBy(*by).agg(((F.sum(F.when(F.col("_p"), F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"))
 
 
-def ranked(df: DataFrame, value: str, key: str, buckets: int = 64) -> DataFrame:
-    """df with rank, from 1 in the order of value and then key, n, and the bucket of the value.
+def ranked(df: DataFrame, value: str, key: str, partitions: int | None = None) -> DataFrame:
+    """df with rank, from 1 in the order of value and then key, and n, how many there are. Nulls of value are left out.
 
-    Values are dealt to buckets by approximate quantiles; a rank is the number of rows in lower buckets and the place in
-    its own, so that no task sorts all rows. Rows of one value share a bucket. Nulls of value are left out.
+    Rows are dealt to ranges of (value, key), so a value that most rows share is dealt to many tasks by its keys.
     """
-    df = df.filter(F.col(value).isNotNull())
-    parts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.agg(F.percentile_approx(value, parts, 1000)).first()[0] or [])) if parts else []
-    d = df.withColumn("bucket", sum(((F.col(value) >= b).cast("int") for b in bounds), F.lit(0)))
-    sizes = dict(d.groupBy("bucket").count().collect())  # a row a bucket
-    before = [sum(n for b, n in sizes.items() if b < k) for k in range(len(bounds) + 1)]
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy(value, key))
-    return d.withColumns({"n": F.lit(sum(sizes.values())).cast("long"), "rank": _by_bucket(before).cast("long") + own})
+    return _placed(df, value, key, partitions).drop(RANGE, AT)
 
 
-def _by_bucket(values: list) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
+def _placed(df: DataFrame, value: str, key: str, partitions: int | None) -> DataFrame:
+    out, ranges = placed(df.filter(F.col(value).isNotNull()), value, key, partitions=partitions)
+    return out.withColumnRenamed("position", "rank").crossJoin(F.broadcast(ranges.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))))  # one row
 
 
-def adjusted(p: DataFrame, value: str = "p", key: str = "key") -> DataFrame:
+def adjusted(p: DataFrame, value: str = "p", key: str = "key", partitions: int | None = None) -> DataFrame:
     """p with rank, n, bonferroni and bh: p * n, and the least p * n / rank from the largest down, both at most 1. The least
-    of a bucket's rows meets that of the buckets above it."""
-    r = ranked(p, value, key).withColumn("_q", F.col(value) * F.col("n") / F.col("rank"))
-    least = dict(r.groupBy("bucket").agg(F.min("_q")).collect())  # a row a bucket
-    above = [min((q for b, q in least.items() if b > k), default=1.0) for k in range(max(least, default=0) + 1)]
-    own = F.min("_q").over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
-    return r.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("n")), "bh": F.least(F.lit(1.0), own, _by_bucket(above))}).drop("_q", "bucket")
+    of a range's rows meets that of the ranges above it."""
+    r = _placed(p, value, key, partitions).withColumn("_q", F.col(value) * F.col("n") / F.col("rank"))
+    r = walked(r, "_above", F.col("_q"), "min", back=True)
+    return r.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(value) * F.col("n")), "bh": F.least(F.lit(1.0), "_q", "_above")}).drop("_q", "_above", RANGE, AT)
 
 
 def winsorised(series: DataFrame, share: float) -> DataFrame:

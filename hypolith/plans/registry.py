@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
         if sql:
             head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
             body = sql.strip()
-            SQL[name] = (f"WITH {head}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if head else body
+            kind = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+            SQL[name] = (kind + head + (", " + body[len(kind) :] if body.startswith(kind) else " " + body)) if head else body
         return f
 
     return add

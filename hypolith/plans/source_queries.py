@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hypolith.functions.text import words
 from hypolith.operators import joins as J
+from hypolith.operators.matching import matched
 from hypolith.plans.joins_and_dates import forward_sql
 from hypolith.plans.registry import query
 from hypolith.plans.statistics_queries import rounded
@@ -51,47 +52,23 @@ def c10(spark, sf):
     return rounded(a.join(b, "m").na.drop().agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation")))
 
 
-def _nearest(free, key, side, at, stretch):
-    """free with p and q, the last row of the other side before and the first after it: within stretches of dates by a
-    window each, and across them by what the stretches end and begin with."""
-    row = F.struct(F.col(at).alias("t"), F.col(key).alias("k"))
-    free = free.withColumn("_s", F.floor(F.unix_date(at) / stretch))
-    out = free
-    for name, order, pick in (("p", (F.col(at), F.col(key)), F.max), ("q", (F.col(at).desc(), F.col(key).desc()), F.min)):
-        w = Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        here = {x: F.last(F.when(F.col(side) == x, row), ignorenulls=True).over(w) for x in (True, False)}
-        out = out.withColumn(f"_{name}", F.when(F.col(side), here[False]).otherwise(here[True]))
-        ends = free.groupBy("_s").agg(*(pick(F.when(F.col(side) == x, row)).alias(f"_{name}{int(x)}") for x in (True, False)))
-        v = Window.orderBy("_s" if name == "p" else F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select("_s", *(F.last(f"_{name}{x}", ignorenulls=True).over(v).alias(f"_{name}{x}") for x in (0, 1)))
-        out = out.join(F.broadcast(carried), "_s")  # a row a stretch of dates
-        out = out.withColumn(name, F.coalesce(f"_{name}", F.when(F.col(side), F.col(f"_{name}0")).otherwise(F.col(f"_{name}1"))))
-    return out.select(key, side, at, "p", "q")
-
-
-def matched(df, key, side, at, stretch=256):
-    """(key_a, key_b, gap): rows of one side with a near row of the other, no row used twice, until no partner is left.
-
-    In every round each free row asks for its nearest free partner before or after it (of equals for the one with the
-    smaller key), and pairs that ask for each other are taken. The closest pair of all always is, so the rounds end when
-    one side is used up. Every round is a written table.
-    """
-    free = T.written(df.select(key, side, at).filter(F.col(at).isNotNull() & F.col(side).isNotNull()), "free")
-    out = free.select(F.col(key).alias("key_a"), F.col(key).alias("key_b"), F.lit(0).alias("gap")).limit(0)
-    while True:
-        near = _nearest(free, key, side, at, stretch)
-        gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff(F.col(f"{c}.t"), F.col(at))).alias("gap"), F.col(f"{c}.k").alias("k")))
-        best = near.select(key, side, F.array_min(F.array_compact(F.array(gap("p"), gap("q")))).alias("b")).filter("b is not null")
-        b = best.filter(~F.col(side)).select(F.col(key).alias("kb"), F.col("b.k").alias("asked"))
-        pairs = best.filter(F.col(side)).join(b, (F.col("b.k") == F.col("kb")) & (F.col("asked") == F.col(key)))
-        pairs = T.written(pairs.select(F.col(key).alias("key_a"), F.col("kb").alias("key_b"), F.col("b.gap").alias("gap")), "pairs")
-        if not pairs.limit(1).count():
-            return out
-        out = out.unionByName(pairs)
-        free = T.written(free.join(pairs.select(F.explode(F.array("key_a", "key_b")).alias(key)), key, "left_anti"), "free")
-
-
-@query("c17_placebo_matching")
+#: The closest pairs by rounds in which nearest neighbours of two kinds ask for each other, as a recursive query.
+MATCHED = """
+WITH RECURSIVE o AS (SELECT doc_id AS key, quality = 0 AS side, datediff('day', DATE '2000-01-01', date) AS dy, row_number() OVER (ORDER BY date, doc_id) AS place FROM fil JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+r AS (SELECT 0 AS round, key, side, dy, place, NULL::BIGINT AS mate FROM o UNION ALL
+    SELECT round, key, side, dy, place, mate FROM (WITH f AS (SELECT * FROM r WHERE mate IS NULL),
+    n AS (SELECT *, last_value(CASE WHEN side THEN [dy, place] END IGNORE NULLS) OVER w AS bt, last_value(CASE WHEN NOT side THEN [dy, place] END IGNORE NULLS) OVER w AS bf,
+        first_value(CASE WHEN side THEN [dy, place] END IGNORE NULLS) OVER v AS nt, first_value(CASE WHEN NOT side THEN [dy, place] END IGNORE NULLS) OVER v AS nf
+        FROM f WINDOW w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    m AS (SELECT *, CASE WHEN side THEN bf ELSE bt END AS b, CASE WHEN side THEN nf ELSE nt END AS a FROM n),
+    g AS (SELECT *, CASE WHEN b IS NOT NULL THEN [dy - b[1], place - b[2], b[2]] END AS p, CASE WHEN a IS NOT NULL THEN [a[1] - dy, a[2] - place, place] END AS q FROM m),
+    k AS (SELECT *, CASE WHEN p IS NULL THEN a[2] WHEN q IS NULL OR p < q THEN b[2] ELSE a[2] END AS want FROM g)
+    SELECT x.round + 1 AS round, x.key, x.side, x.dy, x.place, y.key AS mate, count(y.key) OVER () AS found FROM k x LEFT JOIN k y ON y.place = x.want AND y.want = x.place) WHERE found > 0)
+SELECT x.key AS key_a, x.mate AS key_b, CAST(abs(x.dy - y.dy) AS INTEGER) AS gap FROM r x JOIN o y ON y.key = x.mate WHERE x.side AND x.mate IS NOT NULL
+"""
+
+
+@query("c17_placebo_matching", MATCHED, "fil")
 def c17(spark, sf):
     """Filings of good and poor quality, each matched with the nearest in time of the other kind."""
     d = T.filings(spark, sf).select("doc_id", "date").join(T.table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")

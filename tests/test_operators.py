@@ -18,10 +18,11 @@ from hypolith.operators import joins as J
 from hypolith.operators import portfolio as P
 from hypolith.operators import resampling as B
 from hypolith.operators import statistics as S
+from hypolith.operators.matching import matched
+from hypolith.operators.order import placed, walked
 from hypolith.operators.regression import ols
 from hypolith.plans import registry
 from hypolith.plans.filing_queries import removed_items
-from hypolith.plans.source_queries import matched
 from hypolith.plans.spec import DataSource, HypothesisSpec
 from hypolith.plans.verdict import evaluate
 from hypolith.sources import adapters as A
@@ -226,35 +227,81 @@ def test_a_total_loss_is_the_worst_drawdown(spark):
     assert [(r.cum, r.drawdown) for r in S.equity(series(spark, [-1.5])).collect()] == [(0, -1)]
 
 
-def test_ranks_by_buckets(spark):
+def test_ranks_with_hot_values(spark):
+    """95 % of the values are equal; they are dealt to many tasks, and no task holds more than a few shares of the rows."""
     rng = np.random.default_rng(0)
-    rows = [(f"k{i:04}", float(v) if i % 50 else None) for i, v in enumerate(rng.choice([1.0, 2.0, *rng.normal(0, 5, 300)], 2000))]
+    values = np.where(rng.random(4000) < 0.95, 0.05, rng.random(4000))
+    rows = [(f"k{i:04}", float(v) if i % 50 else None) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "key string, p double")
     want = {k: i + 1 for i, (v, k) in enumerate(sorted((v, k) for k, v in rows if v is not None))}
-    for buckets in (1, 7, 64):
-        got = S.ranked(df, "p", "key", buckets).collect()
+    for partitions in (1, 7, 16):
+        got = S.ranked(df, "p", "key", partitions).collect()
         assert {r.key: r["rank"] for r in got} == want and {r.n for r in got} == {len(want)}
-    assert S.ranked(df.limit(0), "p", "key").count() == 0
-
-
-def test_matching_is_greedy_by_distance(spark):
+    ranges = placed(df.filter("p is not null"), "p", "key", partitions=16)[1].collect()
+    assert len(ranges) > 8 and max(r.rows for r in ranges) < 4 * len(want) / 16
+    # The step-up procedure over all of them at once.
+    ps, n, least, bh = sorted((v, k) for k, v in rows if v is not None), len(want), 1.0, {}
+    for i in range(n, 0, -1):
+        least = min(least, ps[i - 1][0] * n / i)
+        bh[ps[i - 1][1]] = least
+    assert {r.key: round(r.bh, 9) for r in S.adjusted(df, partitions=16).collect()} == {k: round(v, 9) for k, v in bh.items()}
+    assert S.ranked(df.limit(0), "p", "key").count() == 0 and S.adjusted(df.limit(0)).count() == 0
+
+
+def test_walks_across_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(v) if v > 2 else None) for i, v in enumerate(rng.integers(0, 9, 300))]
+    d, _ = placed(spark.createDataFrame(rows, "i int, v int"), "i", partitions=9)
+    d = walked(walked(walked(walked(d, "last", F.col("v")), "next", F.col("v"), back=True), "sum", F.col("v"), "sum"), "min", F.col("v"), "min", back=True)
+    for r in d.collect():
+        before, after = [v for i, v in rows[: r.i] if v is not None], [v for i, v in rows[r.i + 1 :] if v is not None]
+        assert r.position == r.i + 1 and r.last == (before[-1] if before else None) and r.next == (after[0] if after else None)
+        assert (r["sum"] or 0) == sum(before) and r["min"] == min(after, default=None)
+
+
+def greedy(rows):
+    """The closest free pair again and again: by days, then rows between, then the first of the two."""
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    free, out = {i: r for i, r in enumerate(order)}, set()
+    while {r[1] for r in free.values()} == {True, False}:
+        some = sorted(free)
+        near = [(i, j) for i, j in zip(some, some[1:], strict=False) if free[i][1] != free[j][1]]  # nothing lies between a closest pair
+        i, j = min(near, key=lambda x: ((free[x[1]][2] - free[x[0]][2]).days, x[1] - x[0], x[0]))
+        a, b = (free[i], free[j]) if free[i][1] else (free[j], free[i])
+        out.add((a[0], b[0], (free[j][2] - free[i][2]).days))
+        del free[i], free[j]
+    return out
+
+
+def pairs_of(spark, rows, partitions=5):
+    return {tuple(r) for r in matched(spark.createDataFrame(rows, "id int, side boolean, at date"), "id", "side", "at", partitions).collect()}
+
+
+def test_matching_is_plain_greedy(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, bool(i % 3 == 0), D("2020-01-01") + timedelta(days=int(d))) for i, d in enumerate(rng.integers(0, 2000, 90))]
-    rows += [(1000 + i, i >= 12, D("2030-01-01") + timedelta(days=i)) for i in range(24)]  # a run of one side beside one of the other
-    got = {(r.key_a, r.key_b, r.gap) for r in matched(spark.createDataFrame(rows, "id int, side boolean, at date"), "id", "side", "at", stretch=100).collect()}
-    assert len({k for a, b, _ in got for k in (a, b)}) == 2 * len(got)
-    assert len(got) == min(sum(s for _, s, _ in rows), sum(not s for _, s, _ in rows))
-    # Greedy: the closest free pair first; its gaps are those of any order among equals.
-    free, gaps = {k: (s, d) for k, s, d in rows}, []
-    while {s for s, _ in free.values()} == {True, False}:
-        g, a, b = min((abs((free[x][1] - free[y][1]).days), x, y) for x in free for y in free if free[x][0] and not free[y][0])
-        gaps.append(g)
-        del free[a], free[b]
-    assert abs(sum(g for *_, g in got) - sum(gaps)) <= 0.05 * sum(gaps) and all(g == abs((rows_at(rows, a) - rows_at(rows, b)).days) for a, b, g in got)
-
-
-def rows_at(rows, key):
-    return next(d for k, _, d in rows if k == key)
+    day = lambda d: D("2020-01-01") + timedelta(days=int(d))
+    for seed, spread in ((0, 400), (1, 30)):
+        rows = [(i, bool(s), day(d)) for i, (s, d) in enumerate(zip(rng.integers(0, 2, 90), rng.integers(0, spread, 90), strict=True))]
+        assert pairs_of(spark, rows) == greedy(rows), seed
+    assert pairs_of(spark, [(1, True, day(0))]) == set() == pairs_of(spark, [(1, True, day(0)), (2, True, None), (3, None, day(1))])
+
+
+def test_matching_of_long_runs_takes_few_rounds(spark, monkeypatch):
+    """A run of many of one side beside one of the other is one round; runs of both in turn are as many as their number's log."""
+    from hypolith.operators import matching as M
+
+    rounds, keep = [], M.T.written
+    monkeypatch.setattr(M.T, "written", lambda df, name: (rounds.append(name), keep(df, name))[1])
+    rows = [(i, i >= 300, D("2030-01-01") + timedelta(days=i)) for i in range(600)]
+    assert pairs_of(spark, rows) == {(300 + i, 299 - i, 2 * i + 1) for i in range(300)} and rounds.count("pairs") == 1
+    rounds.clear()
+    rng = np.random.default_rng(5)
+    rows, at = [], 0
+    for k in range(24):
+        for _ in range(int(rng.integers(5, 40))):
+            at += int(rng.integers(0, 4))
+            rows.append((len(rows), bool(k % 2), D("2000-01-01") + timedelta(days=at)))
+    assert pairs_of(spark, rows) == greedy(rows) and rounds.count("pairs") <= 10
 
 
 def test_filing_parts_of_hand_made_texts(spark):
