@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hypolith.functions import text as X
+from hypolith.operators import names as N
 from hypolith.plans.registry import query
 from hypolith.sources import tables as T
 
@@ -263,16 +264,32 @@ def a12(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", i.cast("int").alias("first_line"), F.size(x).alias("n_lines"))
 
 
-NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' (inc|corp|ltd)$', ''))"
+def _norm_sql(c: str) -> str:
+    for pattern, new in N.CLEANED:
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    return f"trim({c})"
 
 
-@query("a13_fuzzy_sponsor", f"WITH s AS (SELECT s_suppkey, {NORM.format(c='s_name')} AS n FROM supplier), c AS (SELECT c_custkey, {NORM.format(c='c_name')} AS n FROM customer) SELECT s.s_suppkey, min(c.c_custkey) AS ticker FROM s JOIN c ON right(s.n, 6) = right(c.n, 6) GROUP BY 1")
+#: Companies and sponsors by expressions over the given tables: each supplier writes a customer's name in one of six ways.
+_CODE = "substr(md5(c_name), 1, 12)"
+TITLE = f"{_CODE} || ' ' || lower(c_mktsegment) || ' Inc'"
+SPONSOR = (
+    f"CASE s_suppkey % 6 WHEN 0 THEN upper({_CODE}) || ' ' || c_mktsegment || ' INC ' WHEN 1 THEN 'The ' || {_CODE} || ' ' || c_mktsegment || ' Laboratories, Ltd.' "
+    f"WHEN 2 THEN 'Onyx Pharms ' || {_CODE} || '  ' || c_mktsegment WHEN 3 THEN {_CODE} || ' Corp' WHEN 4 THEN substr({_CODE}, 1, 10) || 'zz gmbh' ELSE s_name END"
+)
+SPONSOR_RANK = (
+    "CASE WHEN upper(trim(s.name)) = upper(trim(c.title)) THEN 1 WHEN s.norm = c.norm THEN 2 WHEN c.norm <> '' AND s.norm <> '' AND (contains(s.norm, c.norm) OR contains(c.norm, s.norm)) THEN 3 "
+    "WHEN s.norm <> '' AND (contains(upper(c.title), left(s.norm, 10)) OR contains(s.norm, left(upper(c.title), 10))) THEN 4 END"
+)
+
+
+@query("a13_fuzzy_sponsor", f"WITH s AS (SELECT *, {_norm_sql('upper(trim(name))')} AS norm FROM (SELECT s_suppkey, {SPONSOR} AS name FROM supplier JOIN customer ON c_custkey = s_suppkey)), c AS (SELECT *, {_norm_sql('upper(trim(title))')} AS norm FROM (SELECT {TITLE} AS title, c_custkey AS value FROM customer)), p AS (SELECT s_suppkey, {SPONSOR_RANK} AS rank, value FROM s CROSS JOIN c) SELECT s_suppkey, CAST(rank AS INTEGER) AS rank, value AS ticker FROM p WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY rank, value) = 1")
 def a13(spark, sf):
-    """Normalised names that agree in their last six characters, the smallest customer of each supplier."""
-    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " (inc|corp|ltd)$", ""))
-    s = T.table(spark, sf, "supplier").select("s_suppkey", F.right(norm(F.col("s_name")), F.lit(6)).alias("n"))
-    c = T.table(spark, sf, "customer").select("c_custkey", F.right(norm(F.col("c_name")), F.lit(6)).alias("n"))
-    return s.join(c, "n").groupBy("s_suppkey").agg(F.min("c_custkey").alias("ticker"))
+    """Each supplier's company: the same name, the same when normalised, one in the other, or alike at the begin, in this order."""
+    customer = T.table(spark, sf, "customer")
+    c = customer.selectExpr(f"{TITLE} AS title", "c_custkey AS value")
+    s = T.table(spark, sf, "supplier").join(customer, F.col("c_custkey") == F.col("s_suppkey")).selectExpr("s_suppkey", f"{SPONSOR} AS name")
+    return s.join(N.matched_names(s.select("name"), c), "name").select("s_suppkey", "rank", F.col("value").alias("ticker"))
 
 
 STATUS = {"F": "APPROVED", "P": "PENDING", "O": "CRL"}

@@ -259,6 +259,45 @@ def test_walks_across_ranges(spark):
         assert (r["sum"] or 0) == sum(before) and r["min"] == min(after, default=None)
 
 
+def test_names_against_all_pairs(spark):
+    """Ranks of all names by all titles, with short names, equal ones and letters that most of them share."""
+    import re
+
+    from hypolith.operators.names import CLEANED, containing, matched_names
+
+    def norm(x):
+        x = x.strip().upper()
+        for pattern, new in CLEANED:
+            x = re.sub(pattern, new, x)
+        return x.strip()
+
+    rng = np.random.default_rng(3)
+    parts = ["Pfizer", "Merck", "a", "ab", "Inc", "Inc.", "Labs", "The", "Onyx", "Amgen", "co", "Bio-X", "  ", "ABCDEFGHIJKL", "abcdefghij zz", ","]
+    name = lambda: " ".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 5)))
+    names, known = [name() for _ in range(150)] + ["", None], [(name(), int(i)) for i in rng.permutation(120)] + [(None, 1), ("x", None)]
+
+    def rank(n, t):
+        a, b, up = norm(n), norm(t), t.upper()
+        if n.strip().upper() and n.strip().upper() == t.strip().upper():
+            return 1
+        if a and a == b:
+            return 2
+        if a and b and (a in b or b in a):
+            return 3
+        return 4 if a and (a[:10] in up or (up[:10] and up[:10] in a)) else None
+
+    want = {}
+    for n in {x for x in names if x is not None}:
+        found = [(r, v) for t, v in known if t is not None and v is not None and (r := rank(n, t))]
+        if found:
+            want[n] = min(found)
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = matched_names(df, spark.createDataFrame(known, "title string, value int")).collect()
+    assert {r.name: (r["rank"], r.value) for r in got} == want and len(got) == len(want)
+    some = spark.createDataFrame([("ab",), ("",), ("zzz",)], "needle string"), spark.createDataFrame([("xab",), ("ab",), ("b",)], "haystack string")
+    assert sorted(tuple(r) for r in containing(*some).collect()) == [("ab", "ab"), ("ab", "xab")]
+
+
 def greedy(rows):
     """The closest free pair again and again: by days, then rows between, then the first of the two."""
     order = sorted(rows, key=lambda r: (r[2], r[0]))
