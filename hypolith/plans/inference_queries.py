@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hypolith.functions import special as D
+from hypolith.functions.distributions import DUCK, SPARK
 from hypolith.operators import joins as J
 from hypolith.operators import portfolio as P
 from hypolith.operators import resampling as B
@@ -48,22 +49,35 @@ def g2(spark, sf):
 @query("g3_bca_pieces", f"WITH {BOOT}, o AS (SELECT avg(ret) AS m FROM mr), j AS (SELECT avg(m) OVER () - m AS d FROM (SELECT (sum(ret) OVER () - ret) / (count(*) OVER () - 1) AS m FROM mr)) SELECT round((SELECT avg(CASE WHEN mean < m THEN 1.0 ELSE 0.0 END) FROM boot, o), 6) AS below, round(sum(d ** 3) / (6 * sum(d * d) ** 1.5), 6) AS acceleration FROM j", "mr")
 def g3(spark, sf):
     """The share of resampled means below the observed one, and the jackknife acceleration."""
-    m, boot = _boot(spark, sf)
+    return rounded(g3_pieces(*_boot(spark, sf)))
+
+
+def g3_pieces(m, boot):
     mean = m.agg(F.avg("ret")).first()[0]
-    return rounded(boot.agg(F.avg((F.col("mean") < mean).cast("double")).alias("below")).crossJoin(B.jackknife(m)))
+    return boot.agg(F.avg((F.col("mean") < mean).cast("double")).alias("below")).crossJoin(B.jackknife(m))
+
+
+def bca_sql(d, level=0.95):
+    """(low, high) from one row (below, acceleration, means), the means in order."""
+    z0 = d.normal_quantile("least(1 - 1e-6, greatest(1e-6, below))")
+    z = [repr(D.NORMAL.inv_cdf(p)) for p in ((1 - level) / 2, (1 + level) / 2)]
+    pick = (lambda x, k: f"{x}[CAST({k} AS BIGINT)]") if d.duck else (lambda x, k: f"element_at({x}, CAST({k} AS INT))")
+    size = "len(means)" if d.duck else "size(means)"
+
+    def bound(z: str) -> str:
+        at = d.let(z0, lambda y: d.normal_cdf(f"{y} + ({y} + {z}) / (1 - acceleration * ({y} + {z}))"))
+        place = lambda q: f"{pick('means', f'floor({q}) + 1')} + ({q} - floor({q})) * ({pick('means', f'least(floor({q}) + 2, {size})')} - {pick('means', f'floor({q}) + 1')})"
+        return d.let(f"{at} * ({size} - 1)", place)
 
+    return f"round({bound(z[0])}, 6) AS low", f"round({bound(z[1])}, 6) AS high"
 
-@query("g3_bca_interval")
-def g3_bca(spark, sf, level=0.95):
-    """Bias-corrected and accelerated bounds: the percentiles that the two pieces move."""
+
+@query("g3_bca_interval", f"WITH {BOOT}, o AS (SELECT avg(ret) AS m FROM mr), j AS (SELECT avg(m) OVER () - m AS d FROM (SELECT (sum(ret) OVER () - ret) / (count(*) OVER () - 1) AS m FROM mr)), b AS (SELECT (SELECT avg(CASE WHEN mean < m THEN 1.0 ELSE 0.0 END) FROM boot, o) AS below, (SELECT list_sort(list(mean)) FROM boot) AS means, sum(d ** 3) / (6 * sum(d * d) ** 1.5) AS acceleration FROM j) SELECT {', '.join(bca_sql(DUCK))} FROM b", "mr")
+def g3_bca(spark, sf):
+    """Bias-corrected and accelerated bounds: the percentiles of the resampled means that the two pieces move."""
     m, boot = _boot(spark, sf)
-    below, a = g3(spark, sf).first()
-    z0 = D.NORMAL.inv_cdf(min(1 - 1e-6, max(1e-6, below)))
-    at = []
-    for p in ((1 - level) / 2, (1 + level) / 2):
-        z = z0 + D.NORMAL.inv_cdf(p)
-        at.append(D.NORMAL.cdf(z0 + z / (1 - a * z)))
-    return boot.agg(F.percentile("mean", F.lit(at[0])).alias("low"), F.percentile("mean", F.lit(at[1])).alias("high"))
+    pieces = g3_pieces(m, boot).crossJoin(boot.agg(F.array_sort(F.collect_list("mean")).alias("means")))  # one row; as many means as resamples
+    return pieces.selectExpr(*bca_sql(SPARK))
 
 
 @query("g4_resample_p", f"WITH {BOOT}, o AS (SELECT avg(ret) AS m FROM mr) SELECT round(greatest(1.0 / ({REPS} + 1), avg(CASE WHEN abs(mean - m) >= abs(m) THEN 1.0 ELSE 0.0 END)), 6) AS two_sided, round(greatest(1.0 / ({REPS} + 1), avg(CASE WHEN mean - m >= m THEN 1.0 ELSE 0.0 END)), 6) AS greater FROM boot, o", "mr")
@@ -223,9 +237,11 @@ def g17(spark, sf):
 
 @query("g17_power")
 def g17_power(spark, sf):
-    """Power of a t test for the observed effect, the least detectable effect and the rows that 80 % power takes."""
-    n, d = g17(spark, sf).first()
-    return spark.createDataFrame([(n, float(d), D.power(d, n), D.detectable(n), D.required_n(d))], "n long, d double, power double, detectable double, required_n long")
+    """For each ticker's daily returns: the power of a t test for the effect seen, the least effect that so many rows find and
+    the rows that this effect takes, both with 80 % power (null where it takes over 131,072)."""
+    e = _ticker_returns(spark, sf).groupBy("ticker").agg(F.count("*").alias("n"), F.try_divide(F.abs(F.avg("ret")), F.stddev_samp("ret")).alias("d")).filter("n > 1 and d is not null")
+    out = e.selectExpr("ticker", "n", "d", f"{SPARK.power('d', 'n')} AS power", f"{SPARK.detectable('n')} AS detectable", f"{SPARK.required_n('d')} AS required_n")
+    return out.withColumns({c: R(c, 5) for c in ("d", "power", "detectable")})
 
 
 @query("g18_universe_power", "SELECT ticker, count(*) AS n, round(stddev_samp(close / nullif(was, 0) - 1), 6) AS sigma, CAST(ceil(2.8 * 2.8 * var_samp(close / nullif(was, 0) - 1) / (0.01 * 0.01)) AS BIGINT) AS required_n FROM (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS was FROM lp) WHERE was IS NOT NULL GROUP BY 1", "lp")
@@ -242,12 +258,26 @@ def g19(spark, sf):
     return rounded(t.crossJoin(acf).select("t_mean", "t_sides", (0.5 * F.log((1 + F.col("acf_1")) / (1 - F.col("acf_1"))) * F.sqrt(F.col("n") - 3)).alias("z_acf")))
 
 
-@query("g19_p_values")
+def _ticker_returns(spark, sf):
+    """(ticker, date, ret) of each supplier's daily prices."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    return T.long_prices(spark, sf).select("ticker", "date", (F.try_divide("close", F.lag("close").over(w)) - 1).alias("ret")).filter("ret is not null")
+
+
+TRET = "tr AS (SELECT ticker, date, ret, lag(ret) OVER (PARTITION BY ticker ORDER BY date) AS was FROM (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM lp) WHERE ret IS NOT NULL)"
+_P = lambda d: (d.t_two_sided("mean", "n - 1"), d.t_two_sided("sides", "n - 2"), f"2 * {d.normal_cdf('-abs(acf)')}")
+_TESTS = ("mean", "sides", "acf")
+
+
+@query("g19_p_values", f"WITH {TRET}, st AS (SELECT ticker, count(*) AS n, avg(ret) / (stddev_samp(ret) / sqrt(count(*))) AS mean, {T2.format(s='(ret > 0)')} AS sides, 0.5 * ln((1 + corr(ret, was)) / (1 - corr(ret, was))) * sqrt(count(*) - 3) AS acf FROM tr GROUP BY 1 HAVING count(*) > 10 AND count_if(ret > 0) > 1 AND count_if(ret <= 0) > 1) " + " UNION ALL ".join(f"SELECT ticker, '{t}' AS test, round({t}, 6) AS statistic, round({p}, 8) AS p FROM st" for t, p in zip(_TESTS, _P(DUCK), strict=True)), "lp")
 def g19_p(spark, sf):
-    t, s, z = g19(spark, sf).first()
-    n = T.monthly_returns(spark, sf).count()
-    rows = [("mean", t, D.t_two_sided(t, n - 1)), ("sides", s, D.t_two_sided(s, n - 2)), ("acf", z, 2 * (1 - D.NORMAL.cdf(abs(z))))]
-    return spark.createDataFrame(rows, "test string, statistic double, p double")
+    """Each ticker's tests of the mean, of gains against losses and of the first autocorrelation, with p values as columns."""
+    r = _ticker_returns(spark, sf).withColumn("was", F.lag("ret").over(Window.partitionBy("ticker").orderBy("date")))
+    c = F.corr("ret", "was")
+    st = r.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if(F.col("ret") > 0).alias("up"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count("*"))).alias("mean"), S.two_sample_t(F.col("ret"), F.col("ret") > 0).alias("sides"), (0.5 * F.log((1 + c) / (1 - c)) * F.sqrt(F.count("*") - 3)).alias("acf"))
+    st = st.filter("n > 10 and up > 1 and n - up > 1")
+    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("test"), F.round(t, 6).alias("statistic"), F.round(F.expr(p), 8).alias("p")) for t, p in zip(_TESTS, _P(SPARK), strict=True))))
+    return st.select("ticker", rows.alias("x")).select("ticker", "x.*")
 
 
 @query("g22_noise_injection", f"SELECT ticker, date, round(signal + 1000 * (2 * ({draw_sql('42', 'CAST(date AS VARCHAR)', 'ticker')} / 4294967296.0) - 1), 6) AS signal FROM sig", "sig")

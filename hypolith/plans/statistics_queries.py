@@ -275,7 +275,7 @@ def f19(spark, sf):
     return rounded(S.structural_breaks(T.monthly_returns(spark, sf)))
 
 
-@query("f19_thinned_breaks")
+@query("f19_thinned_breaks", f"WITH {BREAK} SELECT CAST(unnest(list_slice(list_reduce(list_transform(list_sort(list(i)), lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[len(a)] > 5 THEN list_concat(a, v) ELSE a END), 1, 5)) AS INTEGER) AS i FROM b WHERE abs(t) > 1", "mr")
 def f19_thin(spark, sf):
     return S.thinned(S.structural_breaks(T.monthly_returns(spark, sf)), 1.0)
 

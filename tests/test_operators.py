@@ -259,6 +259,34 @@ def test_walks_across_ranges(spark):
         assert (r["sum"] or 0) == sum(before) and r["min"] == min(after, default=None)
 
 
+def test_distributions_as_columns(spark):
+    """Against the series of the driver's functions, for many arguments at once; and alike in DuckDB where it runs them."""
+    import duckdb
+
+    from hypolith.functions.distributions import DUCK, MANY, SPARK
+
+    rows = [(float(t), float(v)) for t in (-8, -3.3, -1, 0, 0.001, 1.96, 6, 30) for v in (1, 2, 3, 5, 10, 29, 400, MANY, MANY + 1, 50_000)] + [(None, 5.0), (1.0, 0.0)]
+    df = spark.createDataFrame(rows, "t double, v double")
+    asked = {"cdf": SPARK.normal_cdf("t"), "quantile": SPARK.normal_quantile("0.5 + t / 100"), "far": SPARK.t_two_sided("t", "v"), "upper": SPARK.t_quantile("0.975", "v"), "power": SPARK.power("abs(t) / 5", "v + 1")}
+    for r in df.selectExpr("t", "v", *(f"{e} AS {k}" for k, e in asked.items())).collect():
+        if r.t is None or not r.v:
+            assert r.far is None and (r.t is not None or (r.cdf is None and r["quantile"] is None))
+            continue
+        assert r.cdf == pytest.approx(special.NORMAL.cdf(r.t), abs=1e-12) and r["quantile"] == pytest.approx(special.NORMAL.inv_cdf(0.5 + r.t / 100), abs=1e-9)
+        near = 1e-9 if r.v <= MANY else 1e-6
+        assert r.far == pytest.approx(special.t_two_sided(r.t, r.v), abs=near) and r.upper == pytest.approx(special.t_quantile(0.975, r.v), abs=10 * near)
+        if r.v <= 400:
+            assert r.power == pytest.approx(special.power(abs(r.t) / 5, int(r.v) + 1), abs=1e-6)
+    ns = spark.createDataFrame([(5, 0.2), (30, 0.5), (400, 0.03), (60, 1.5), (9, 1e-4)], "n int, d double")
+    for r in ns.selectExpr("n", "d", f"{SPARK.detectable('n')} AS least", f"{SPARK.required_n('d')} AS rows").collect():
+        assert r.least == pytest.approx(special.detectable(r.n), abs=1e-5) and r.rows == (special.required_n(r.d) if r.d > 0.01 else None)
+    held = duckdb.connect()
+    held.execute("CREATE TABLE x AS SELECT unnest($1) AS t, unnest($2) AS v", [[t for t, _ in rows[:30]], [v for _, v in rows[:30]]])
+    mine = {(r.t, r.v): (r.cdf, r.far) for r in df.selectExpr("t", "v", f"{asked['cdf']} AS cdf", f"{asked['far']} AS far").collect()}
+    for t, v, cdf, far in held.execute(f"SELECT t, v, {DUCK.normal_cdf('t')}, {DUCK.t_two_sided('t', 'v')} FROM x").fetchall():
+        assert mine[t, v] == pytest.approx((cdf, far), abs=1e-14)
+
+
 def test_names_against_all_pairs(spark):
     """Ranks of all names by all titles, with short names, equal ones and letters that most of them share."""
     import re
