@@ -11,7 +11,6 @@ from hypolith.operators import joins as J
 from hypolith.operators import portfolio as P
 from hypolith.operators import resampling as B
 from hypolith.operators import statistics as S
-from hypolith.operators.regression import ols
 from hypolith.plans.portfolios import legs_sql
 from hypolith.plans.registry import query
 from hypolith.plans.statistics_queries import ACF, DR, T2, daily_returns, rounded
@@ -166,15 +165,6 @@ def factors(spark, sf):
     return out
 
 
-@query("g8_g9_factor_regression")
-def g8_k(spark, sf):
-    """Coefficients on three factors with plain and Newey-West deviations; dominant where |t| > 2."""
-    names = ["momentum", "reversal", "low_vol"]
-    r = ols(factors(spark, sf), "ret", names)
-    rows = [(n, float(b), float(s), float(w), float(t), bool(abs(t) > 2), float(D.t_two_sided(float(t), r["n"] - 4)), float(r["r2"])) for n, b, s, w, t in zip(["alpha", *names], r["beta"], r["se"], r["se_nw"], r["t"], strict=True)]
-    return spark.createDataFrame(rows, "term string, beta double, se double, se_nw double, t double, dominant boolean, p double, r2 double")
-
-
 @query("g9_newey_west_mean", f"WITH {DR}, e AS (SELECT date, ret - avg(ret) OVER () AS e, count(*) OVER () AS n FROM dr), l AS (SELECT e, n, " + ", ".join(f"lag(e, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, 5)) + " FROM e) SELECT any_value(n) AS n, round(sqrt(sum(e * e) + 2 * (" + " + ".join(f"{1 - k / 5} * coalesce(sum(e * l{k}), 0)" for k in range(1, 5)) + ")) / any_value(n), 6) AS se FROM l", "lp")
 def g9(spark, sf):
     """The deviation of a mean with Bartlett weights over four lags."""
@@ -185,18 +175,6 @@ def g9(spark, sf):
     return l.agg(F.count("*").alias("n"), R(F.sqrt(F.sum(F.col("e") ** 2) + 2 * both) / F.count("*")).alias("se"))
 
 
-@query("g10_factor_comparison")
-def g10(spark, sf):
-    """How much of the return the factors explain, and whether it is recycled from them."""
-    f = factors(spark, sf).persist()
-    r = ols(f, "ret", ["momentum", "reversal", "low_vol"])
-    raw = f.agg(F.avg("ret") * 252).first()[0]
-    f.unpersist()
-    alpha = float(r["beta"][0]) * 252
-    share = 100 * (1 - alpha / raw) if raw else 0.0
-    return spark.createDataFrame([(float(raw), alpha, float(share), bool(share > 50 and abs(r["t"][0]) < 2))], "raw double, alpha double, explained_pct double, recycling boolean")
-
-
 def _leg_sql(signal: str) -> str:
     return legs_sql(signal).replace("round(up - down, 6)", "up - down")
 

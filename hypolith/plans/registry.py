@@ -40,6 +40,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from hypolith.plans import (  # noqa: E402
     control_queries,  # noqa: F401
+    factor_queries,  # noqa: F401
     filing_queries,  # noqa: F401
     inference_queries,  # noqa: F401
     joins_and_dates,  # noqa: F401
