@@ -9,6 +9,7 @@ from hypolith.functions import costs as C
 from hypolith.operators import factors as X
 from hypolith.operators import joins as J
 from hypolith.operators import portfolio as P
+from hypolith.operators.walk_forward import walk_forward
 from hypolith.plans.joins_and_dates import forward_sql
 from hypolith.plans.registry import query
 from hypolith.sources import tables as T
@@ -233,9 +234,23 @@ def p11(spark, sf):
     return x.groupBy("signal_date").agg(F.count("excess").alias("n"), R(F.avg("excess")).alias("mean_excess"), R(F.avg(F.when(F.col("excess") > 0, 1.0).otherwise(0.0))).alias("hit_rate")).withColumn("spread_cost", R(cost))
 
 
-@query("p12_walk_forward", "WITH w AS (SELECT range AS k, CAST(DATE '1995-01-01' + to_years(CAST(range AS INTEGER)) AS DATE) AS train, CAST(DATE '1998-01-01' + to_years(CAST(range AS INTEGER)) AS DATE) AS test, CAST(DATE '1999-01-01' + to_years(CAST(range AS INTEGER)) AS DATE) AS until FROM range(0, 3)) SELECT w.k AS win, w.test, count(*) AS n, round(avg(ret) * 12, 6) AS alpha, round(avg(ret) / stddev_samp(ret), 6) AS ratio FROM w JOIN mr ON mr.date >= w.test AND mr.date < w.until GROUP BY 1, 2", "mr")
+WF = "wf AS (SELECT p.ticker, p.date, signal, price, adv, cap, sector FROM (SELECT ticker, date, 1 - close / nullif(lag(close, 21) OVER (PARTITION BY ticker ORDER BY date), 0) AS signal, close AS price, volume * 100 AS adv, ticker % 4 AS sector FROM lp) p JOIN (SELECT s_suppkey AS ticker, (abs(s_acctbal) + 1000) * 1e6 AS cap FROM supplier) USING (ticker) WHERE signal IS NOT NULL)"
+WALK = (
+    "sp AS (SELECT min(date) AS lo, max(date) AS hi, count(DISTINCT date) AS nd FROM wf), wi AS (SELECT CAST(k AS INTEGER) AS win, CAST(lo + CAST(k * 365 + 1095 AS INTEGER) AS DATE) AS test_start, CAST(lo + CAST(k * 365 + 1460 AS INTEGER) AS DATE) AS test_end FROM sp, range(0, 10000) r(k) WHERE nd >= 252 AND k * 365 + 1460 <= hi - lo), "
+    "dt AS (SELECT d.date, wi.* FROM (SELECT max(date) AS date FROM wf GROUP BY date_trunc('month', date)) d JOIN wi ON d.date > test_start AND d.date <= test_end), "
+    "ok AS (SELECT win FROM (SELECT win, min(k) OVER (ORDER BY win) AS least FROM (SELECT wi.win, count(dt.date) AS k FROM wi LEFT JOIN dt USING (win) GROUP BY 1)) WHERE least >= 10), "
+    f"tp AS (SELECT * FROM ({top_sql('wf', 'signal', 0.2)}) WHERE date IN (SELECT date FROM dt) AND price > 0), w1 AS (SELECT *, least(1.0 / least(count(*) OVER (PARTITION BY date), 50), 0.05, 0.05 * adv * price / 1e6) AS w FROM tp), "
+    "w2 AS (SELECT *, w * least(1.0, 0.3 / nullif(sum(w) OVER (PARTITION BY date, sector), 0)) AS weight FROM w1), pt AS (SELECT ticker, date AS signal_date, cap, price, adv * price AS adv, weight, CAST(floor(1e6 * weight / price) AS DOUBLE) AS shares FROM w2), "
+    f"co AS (SELECT *, least(greatest(0.005 * shares, 0.35), 0.01 * shares * price) + shares * price * ({SPREAD}) / 1e4 / 2 + shares * price * ({SLIP}) / 1e4 AS cost FROM pt)"
+)
+
+
+@query("p12_walk_forward", f"WITH {WF}, {WALK}, {forward_sql('lp', 'pt', 21, False)}, ch AS (SELECT signal_date AS date, count(*) AS trades, sum(weight * (exit_price / entry_price - 1)) / nullif(sum(weight), 0) AS gross, coalesce(sum(cost) / nullif(sum(shares * price), 0), 0) * 1e4 AS cost_bps FROM fwd JOIN co USING (ticker, signal_date) GROUP BY 1), n AS (SELECT *, gross - cost_bps / 1e4 AS net FROM ch WHERE gross IS NOT NULL) SELECT win AS window, test_start, test_end, count(*) AS cohorts, CAST(sum(trades) AS BIGINT) AS trades, round(avg(gross), 6) AS gross, round(avg(cost_bps), 4) AS cost_bps, round(avg(net), 6) AS net, round(avg(net) * 12 / nullif(stddev_samp(net) * sqrt(12), 0), 5) AS net_sharpe, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(min(net), 6) AS worst FROM dt JOIN ok USING (win) JOIN n USING (date) GROUP BY 1, 2, 3", "lp")
 def p12(spark, sf):
-    """Test years after three years of training, one a year: each return belongs to at most one window."""
-    m = T.monthly_returns(spark, sf).withColumn("win", (F.year("date") - 1998).cast("long")).filter("win between 0 and 2")
-    g = m.groupBy("win").agg(F.count("*").alias("n"), R(F.avg("ret") * 12).alias("alpha"), R(F.try_divide(F.avg("ret"), F.stddev_samp("ret"))).alias("ratio"))
-    return g.withColumn("test", F.make_date((F.col("win") + 1998).cast("int"), F.lit(1), F.lit(1)))
+    """Test years after three years of training, as many as the data's span holds: each month's cohort with its costs, by window."""
+    cap = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ticker"), ((F.abs("s_acctbal") + 1000) * 1e6).alias("cap"))
+    p = T.long_prices(spark, sf)
+    w = Window.partitionBy("ticker").orderBy("date")
+    s = p.select("ticker", "date", (1 - F.try_divide("close", F.lag("close", 21).over(w))).alias("signal"), F.col("close").alias("price"), (F.col("volume") * 100).alias("adv"), (F.col("ticker") % 4).alias("sector")).join(cap, "ticker")
+    out = walk_forward(s, p, 21, train=1095, test=365)
+    return out.withColumns({c: R(c) for c in ("gross", "net", "hit_rate", "worst")} | {"cost_bps": R("cost_bps", 4), "net_sharpe": R("net_sharpe", 5)})
