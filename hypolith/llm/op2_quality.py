@@ -20,6 +20,10 @@ LABELLED, ROUNDS, SURE, TOLD = 6000, 2, 0.95, 0.3
 TEXT, META = 1 << 18, 1 << 10
 #: Documents that a feature must be active in; rarer ones say nothing.
 SEEN = 3
+#: How much of an unsure contrast is kept: at 1 the share by which it passes chance, at 0 all of it.
+SHRINK = 0.7
+#: Bytes of a word's begin, and in how many words of a text the same begin counts once more.
+BEGIN, AGAIN = 5, 3
 #: Weight of the squared weights in the fit.
 RIDGE = 2e-3
 #: Parts of the labelled documents; each is calibrated on by a fit to the others.
@@ -66,7 +70,21 @@ class Viewer:
             ("same", (words[1:] == words[:-1]).mean() if len(words) > 1 else 0, 0.02), ("distinct", len(at) / max(1, len(words)), 0.05), ("long", n / max(1, len(words)), 0.5),
         )]
         shape.append(self._named("both", _bin(ended, 0.25), _bin(np.log2(1 + long), 1)))
-        return _distinct(np.append(at, np.array(shape, np.int64).astype(np.int32) & (TEXT - 1)))
+        return _distinct(np.concatenate([at, np.array(shape, np.int64).astype(np.int32) & (TEXT - 1), self._begins(raw)]))
+
+    def _begins(self, raw: np.ndarray) -> np.ndarray:
+        """The first BEGIN bytes of the words that have so many, and those that AGAIN words and more begin with: words that were
+        never seen often begin like words that were."""
+        raw = np.concatenate([[0x20], _BARE_BYTES[raw], np.full(BEGIN + 1, 0x20)]).astype(np.int64)
+        space = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
+        start = np.flatnonzero(space[: -BEGIN - 1] & ~space[1:-BEGIN]) + 1
+        h, long = np.zeros(len(start), np.int64), np.ones(len(start), bool)
+        for k in range(BEGIN):
+            long &= ~space[start + k]
+            h = h * 256 + raw[start + k]
+        each, often = np.unique(h[long], return_counts=True)
+        mixed = lambda x, salt: (((x * 0x9E3779B1 + salt) >> 13) & (TEXT - 1)).astype(np.int32)
+        return np.concatenate([mixed(each, 0), mixed(each[often >= AGAIN], 23_757)])
 
     def meta(self, lang: object, source: object, chars: object) -> np.ndarray:
         """What the table says of the document beside its text: each column, and pairs of them."""
@@ -77,6 +95,7 @@ class Viewer:
 
 #: Lower-cases A-Z and takes punctuation off words.
 _BARE = bytes(0x20 if chr(i) in ".,;:!?\"'()" else b for i, b in enumerate(LOWER))
+_BARE_BYTES = np.frombuffer(_BARE, np.uint8)
 _CLASS = np.zeros(256, np.int64)
 for _chars, _kind in (("#$%&*|<>{}[]^~=+_/\\@!", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\n\r\x0b\x0c", 4), (".,;:?", 5)):
     _CLASS[[ord(c) for c in _chars]] = _kind
@@ -104,15 +123,28 @@ class Rows:
 
     def contrast(self, y: np.ndarray, weight: np.ndarray, told: Told) -> np.ndarray:
         """The log ratio of each feature's share among the ones to that among the zeros, over the weighted rows and the told
-        documents; 0 for features that fewer than SEEN have. One example that is like all is added."""
-        shares, held = [], np.zeros(self.width)
-        parts = [(weight * p, told.n[k] * TOLD, told.active[k] * TOLD) for k, p in ((1, y), (0, 1 - y))]
-        total = sum(p.sum() + n for p, n, _ in parts)
-        for part, n, active in parts:
-            size = max(1e-9, part.sum() + n)
-            shares.append((np.bincount(self.all, part[self.of], self.width) + active + size / total) / size)
-        held = np.bincount(self.all, weight[self.of], self.width) + told.active.sum(0)
-        return np.where(held >= min(SEEN, self.n), np.log(shares[0] / shares[1]), 0.0)
+        documents, shrunk by how surely the shares differ; 0 for features that fewer than SEEN have.
+
+        Few labels and many words make chance contrasts, which together drown the real ones. The likelihood ratio of two
+        shares against one is what the largest of as many features without a difference reaches, twice the log of their number,
+        or more: a feature keeps that part of its contrast, to the power SHRINK, by which it passes that. One example that is like all is added.
+        """
+        sizes, active = [], []
+        for k, p in ((1, y), (0, 1 - y)):
+            sizes.append(max(1e-9, (weight * p).sum() + told.n[k] * TOLD))
+            active.append(np.bincount(self.all, (weight * p)[self.of], self.width) + told.active[k] * TOLD)
+        total, both = sum(sizes), active[0] + active[1]
+        shares = [(a + n / total) / n for a, n in zip(active, sizes, strict=True)]
+        often = both >= min(SEEN, self.n)
+
+        def log(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(p, 1e-12)), 0.0)
+
+        ratio = np.zeros(self.width)
+        for a, n in zip(active, sizes, strict=True):
+            ratio += 2 * (log(a, both * n / total) + log(n - a, (total - both) * n / total))
+        chance = 2 * np.log(max(2, often.sum()))
+        return np.where(often, np.log(shares[0] / shares[1]) * np.maximum(0, 1 - chance / np.maximum(ratio, 1e-9)) ** SHRINK, 0.0)
 
     def fit(self, y: np.ndarray, weight: np.ndarray, told: Told, steps: int = 150, ridge: float = RIDGE) -> np.ndarray:
         """Logistic regression on features scaled by their contrast, by adaptive gradient steps over all rows.

@@ -10,9 +10,10 @@ from html.parser import HTMLParser
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hypolith.llm.op2_quality import META, TEXT, TOLD_ROWS, Rows, Told, Viewer, _told, classified
+from hypolith.llm.op2_quality import META, SHRINK, TEXT, TOLD_ROWS, Rows, Told, Viewer, _told, classified
 from hypolith.llm.op3_html import _Maker, choose, extracted, features, main_text, trained
 from hypolith.llm.dom import Dom
 from hypolith.llm.op5_templates import UNITS, Templater, contaminated
@@ -96,10 +97,53 @@ def test_one_round_of_co_training_against_plain_python(spark):
     # The contrast of labelled rows and told documents together.
     m, told, y = Rows([np.array(t, np.int32) for _, t, _ in rows], 50), Told(50), r.integers(0, 2, 300).astype(float)
     told.n[:], told.active[:] = [40, 20], r.integers(0, 15, (2, 50))
+    y[[7 in t for _, t, _ in rows]] = 1.0  # two features that tell
+    y[[8 in t for _, t, _ in rows]] = 0.0
     n = [sum(y == k) + 0.3 * told.n[k] for k in (0, 1)]
-    for f in range(50):
-        c = [sum(f in t for (_, t, _), z in zip(rows, y) if z == k) + 0.3 * told.active[k][f] + n[k] / sum(n) for k in (0, 1)]
-        assert abs(m.contrast(y, np.ones(300), told)[f] - np.log(c[1] / n[1] / (c[0] / n[0]))) < 1e-9
+    got, often = m.contrast(y, np.ones(300), told), 0
+    counts = [[sum(f in t for (_, t, _), z in zip(rows, y, strict=True) if z == k) + 0.3 * told.active[k][f] for k in (0, 1)] for f in range(50)]
+    often = sum(sum(c) >= 3 for c in counts)
+    xlog = lambda x, p: x * np.log(x / p) if x > 0 else 0.0
+    for f, c in enumerate(counts):
+        share = [(c[k] + n[k] / sum(n)) / n[k] for k in (0, 1)]
+        # Shrunk by how far the likelihood ratio of two shares against one passes what chance alone reaches.
+        ratio = 2 * sum(xlog(c[k], sum(c) * n[k] / sum(n)) + xlog(n[k] - c[k], (sum(n) - sum(c)) * n[k] / sum(n)) for k in (0, 1))
+        assert abs(got[f] - np.log(share[1] / share[0]) * max(0, 1 - 2 * np.log(often) / max(ratio, 1e-9)) ** SHRINK) < 1e-9
+    assert np.count_nonzero(got) > 0
+
+
+def test_quality_views_teach_each_other(spark):
+    """With 40 labels the text view knows few of the words that tell; the sources tell nearly everything. After two rounds of
+    labels from each other the text view alone is right far more often than without, and both together are no worse."""
+    r, rows = np.random.default_rng(0), []
+    for i in range(2000):
+        y = int(r.random() < 0.5)
+        source = 2 * (y if r.random() < 0.97 else 1 - y) + int(r.integers(0, 2))
+        words = [f"w{k}" for k in r.integers(0, 400, 30)] + [f"{k}x{'good' if y else 'evil'}" for k in r.integers(0, 150, 3)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "en", f"s{source}", 100, y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, y int")
+    labels = spark.createDataFrame([(x[0], x[5], 0) for x in rows[:40]], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 2):
+        hit = lambda c: F.avg(((F.col(f"quality.{c}") >= 0.5) == (F.col("y") == 1)).cast("double"))
+        right[rounds] = classified(docs, labels, rounds=rounds).filter("doc_id >= 40").agg(hit("text_score"), hit("quality_score")).first()
+    assert right[2][0] > right[0][0] + 0.15 and right[2][0] > 0.7 and right[2][1] > right[0][1] - 0.01
+
+
+def test_quality_rejects_rare_toxic_words_with_few_labels(spark):
+    """400 labels, one in nine toxic, of which each has some of twelve words among hundreds that say nothing."""
+    r, rows = np.random.default_rng(3), []
+    for i in range(1500):
+        toxic = bool(r.random() < 0.11)
+        words = [f"w{k}" for k in r.zipf(1.3, 150) % 4000] + ([f"vile{k}" for k in r.integers(0, 12, 4)] if toxic else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "en", f"s{i % 7}", 100, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, t boolean")
+    labels = spark.createDataFrame([(x[0], int(x[0] % 9 > 0), int(x[5])) for x in rows[:400]], "doc_id long, quality int, toxic int")
+    got = classified(docs, labels).filter("doc_id >= 400").groupBy("t").agg(F.avg((F.col("quality.toxic_score") > 0.5).cast("double")).alias("x")).collect()
+    found = {x.t: x.x for x in got}
+    assert found[True] > 0.9 and found[False] < 0.02
 
 
 def test_quality_keeps_clean_documents(spark):
