@@ -144,7 +144,7 @@ class _Maker:
     def boilerplate(self) -> str:
         kind = int(self.r.integers(0, 9))
         if kind == 0:
-            return self.pick(f"<nav><ul>{self.links(6)}</ul></nav>", f'<div class="{self.pick("menu", "navbar", "breadcrumb", "nav main-nav")}"><ul>{self.links(5)}</ul></div>', f'<ul class="nav menu">{self.links(8)}</ul>', f'<div id="nav">{self.links(4)}</div>')
+            return self.pick(f"<nav><ul>{self.links(6)}</ul></nav>", f'<div class="{self.pick("menu", "navbar", "breadcrumb", "nav main-nav")}"><ul>{self.links(5)}</ul></div>', f'<ul class="nav menu">{self.links(8)}</ul>', f'<div id="nav">{self.links(4)}</div>', f'<nav><a href="/">{self.words(1, 2)}</a></nav>', f'<div class="{self.pick("menu", "breadcrumb", "nav")}"><a href="/">{self.words(1, 2)}</a></div>')
         if kind == 1:
             return self.pick(f"<header><h1>{self.words(1, 4)}</h1><p>{self.words(2, 9)}</p></header>", f'<div class="{self.pick("header", "masthead", "site-header", "topbar")}"><a href="/">{self.words(1, 3)}</a><p>{self.words(1, 9)}</p></div>', f'<header class="site-header"><div class="logo">{self.words(1, 3)}</div><p>{self.words(3, 12)}</p></header>')
         if kind == 2:
@@ -221,7 +221,9 @@ def extracted(pages: DataFrame, model: Boosted | None = None, id_col: str = "pag
 
     The trees score every node of a page; the choice is the likeliest in which no kept node lies in a dropped one.
     Null, empty and textless html gives the empty string; html without tags is one block. Rows are taken one by one,
-    so repeated rows get equal results; nulls in other columns are passed on and further columns aren't read.
+    so repeated rows get equal results; nulls in other columns are passed on and further columns aren't read. Pages of any
+    length and depth are read whole, in time that grows with their length; nodes as likely kept as dropped are dropped. No
+    rows give no rows.
     """
     model = model or trained()
     where = [F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")]

@@ -202,6 +202,34 @@ def test_html_quotes_begin_values_only_after_an_equals_sign():
     assert texts("<a " * 20_000 + "x") == ["<a " * 20_000 + "x"] and len(Dom("<div>" * 30_000 + "deep").texts) == 1
 
 
+def test_html_unclosed_elements_lose_no_text(spark, trees):
+    """An object, svg, math, noscript or template that only its parent's end closes hides nothing; a closed one hides all in it."""
+    texts = lambda h: [t for _, _, t in Dom(h).texts]
+    page = "<body><article><h1>Some head line</h1><p>First of all, a longer sentence stands here.</p>{}<p>Second, one more of them, as long as that.</p></article><footer>&copy; Me</footer></body>"
+    rows = []
+    for tag in ("object", "svg", "math", "noscript", "template"):
+        rows += [f"<{tag} data=x>", f"<{tag}><g><p>not this</p></g></{tag}>", f"<{tag}><{tag}>not this</{tag}>", f"<{tag}/>"]
+        assert texts(f"a<{tag}>b<i>c</i></{tag}>d") == ["a", "d"] and texts(f"<div>a<{tag}>b</div>c") == ["a", "b", "c"]
+    df = spark.createDataFrame([(i, "u", page.format(x)) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    want = "Some head line\nFirst of all, a longer sentence stands here.\nSecond, one more of them, as long as that."
+    assert {r.text for r in extracted(df, trees).collect()} == {want}
+
+
+def test_html_time_grows_with_length(trees):
+    for page in ("<div>" * 8000 + "</b>" * 8000, "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<b>" * 20_000 + "<p></p>" * 20_000, "<div>" * 20_000 + "</html></body>" * 20_000, "<svg>" * 50_000 + "x", "<iframe>" * 20_000):
+        began = time.process_time()
+        dom = Dom(page)
+        choose(dom.parent, np.zeros(len(dom.parent)))
+        assert time.process_time() - began < 6, page[:20]
+
+
+def test_html_menus_of_one_link(spark, trees):
+    text = "<article><h1>A head line</h1><p>The first sentence of the page, of which more follow.</p><p>And this is the second one, quite as long.</p></article>"
+    menus = ('<nav><a href="/">home</a></nav>', '<nav><a href="/x">all posts</a></nav>', '<div class="menu"><a href="/">start</a></div>')
+    df = spark.createDataFrame([(i, "u", f"<body>{m}{text}</body>") for i, m in enumerate(menus)] + [(9, "u", f"<body>{text}{menus[0]}</body>")], "page_id long, url string, html string")
+    assert {r.text for r in extracted(df, trees).collect()} == {"A head line\nThe first sentence of the page, of which more follow.\nAnd this is the second one, quite as long."}
+
+
 class _Plain(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
