@@ -263,7 +263,7 @@ SCORED = "doc_id long, key long, n_words long, inside double, word long, own int
 
 def _scorer(flat: np.ndarray, counts: Counts):
     """For each row its words and what needs no join, and a row for each distinct word that isn't common."""
-    vocabulary, base = counts.vocabulary(), np.log(counts.cells + PRIOR * np.maximum(1, counts.kinds))
+    vocabulary, total, prior = counts.vocabulary(), counts.cells, PRIOR * np.maximum(1, counts.kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, hasher, seen = Network(flat), Shingler(1), set()
@@ -278,7 +278,7 @@ def _scorer(flat: np.ndarray, counts: Counts):
                     """Scores the words that wait, of many texts at once."""
                     nonlocal held
                     if held:
-                        p = net.log_cells(np.concatenate(near), c := np.concatenate(cells)) - base[c]
+                        p = net.log_cells(np.concatenate(near), np.concatenate(cells))
                         inside[:] += np.bincount(np.repeat(*np.array(of).T), p, len(docs))
                     for x in (near, cells, of):
                         x.clear()
@@ -296,18 +296,23 @@ def _scorer(flat: np.ndarray, counts: Counts):
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
+                    mine = np.zeros(len(total))
                     for i in range(0, len(words), BATCH):
                         low = max(0, i - SIDE)
                         near.append(net.around(words[low : i + BATCH + SIDE])[i - low : i - low + BATCH])
                         cells.append(vocabulary.cells(words[i : i + BATCH]))
+                        mine += np.bincount(cells[-1], minlength=len(total))
                         of.append((d, len(cells[-1])))
                         held += len(cells[-1])
                         if held >= BATCH:
                             flush()
+                    # The text's own words count neither for a word nor for its cell, so the chances in a cell add up to 1.
+                    here = np.flatnonzero(mine)
+                    inside[d] -= float((mine[here] * np.log(np.maximum(total[here] - mine[here], 0) + prior[here])).sum())
                     kinds, own = np.unique(words, return_counts=True)
                     at, hit = Vocabulary.find(vocabulary.words, kinds)
                     if hit.any():
-                        inside[d] += float((own[hit] * np.log(vocabulary.counts[at[hit]] - own[hit] + PRIOR)).sum())
+                        inside[d] += float((own[hit] * np.log(np.maximum(vocabulary.counts[at[hit]] - own[hit], 0) + PRIOR)).sum())
                     rare.append((key, kinds[~hit].view(np.int64), own[~hit]))
                 flush()
                 names, none = [x.split()[0] for x in SCORED.split(", ")], lambda n, t=pa.int64(): pa.nulls(n, t)
@@ -326,8 +331,8 @@ def scored(docs: DataFrame, net: Network, counts: Counts, id_col: str = "doc_id"
     """(doc_id, n_words, log_likelihood, per_word) for each row.
 
     The sum over all words of the log chance of the word's cell given both sides, by the network, and of the word in its
-    cell by how often it occurs in all other texts (its occurrences in the scored text are left out). Frequent words
-    are cells of their own. Common words have their counts in every task; rarer ones meet the table of all words in a
+    cell by how often it occurs in all other texts among all words of the cell there: the scored text's own words are left
+    out of both, so the chances of a cell's words add up to 1, and a frequent word, a cell of its own, has chance 1 in it. Common words have their counts in every task; rarer ones meet the table of all words in a
     join, once a text and word. Texts without words: 0 words, 0, null. Null texts are empty; repeated rows get equal
     scores. Texts are scored whole, in blocks.
     """
@@ -338,7 +343,7 @@ def scored(docs: DataFrame, net: Network, counts: Counts, id_col: str = "doc_id"
     # whichever blocks they lay in.
     copies = each.groupBy("key").agg(F.sum("own").alias("copies"), F.min("inside").alias("inside"))
     rare = rows.filter("word is not null").select("key", "word", "own").join(counts.table, "word")
-    rare = rare.groupBy("key").agg(F.sum(F.col("own") * F.log(F.col("n") - F.col("own") + PRIOR)).alias("rare"))
+    rare = rare.groupBy("key").agg(F.sum(F.col("own") * F.log(F.greatest(F.col("n") - F.col("own"), F.lit(0)) + PRIOR)).alias("rare"))
     score = F.col("inside") + F.coalesce(F.try_divide("rare", "copies"), F.lit(0.0))
     out = each.select("doc_id", "key", "n_words").join(copies.join(rare, "key", "left").select("key", score.alias("log_likelihood")), "key")
     return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))

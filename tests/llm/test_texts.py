@@ -556,11 +556,38 @@ def test_lm_scores_against_plain_python(spark, common):
             assert SIDE == 2
             a = np.maximum(np.concatenate([emb[k] for k in near]) @ w1 + b1, 0)
             g, m = divmod(cell(w), MEMBERS)
-            want += soft(a @ w2 + b2)[g] + soft(a @ w3[g] + b3[g])[m] + np.log(total[w] - words.count(w) + PRIOR) - np.log(n[cell(w)] + PRIOR * kinds[cell(w)])
+            want += soft(a @ w2 + b2)[g] + soft(a @ w3[g] + b3[g])[m] + np.log(total[w] - words.count(w) + PRIOR) - np.log(n[cell(w)] - sum(cell(x) == cell(w) for x in words) + PRIOR * kinds[cell(w)])
         assert abs(got[i].log_likelihood - want) < 1e-2 and got[i].n_words == len(words) and (got[i].per_word is None) == (not words)
     assert got[2].log_likelihood == got[len(texts) - 2].log_likelihood
 
 
+def test_lm_chances_in_a_cell_add_up(spark, monkeypatch):
+    """What the counts add to a text of one word: over all words of a cell the chances make 1, and a word that is its cell has 1."""
+    texts = [f"a{i % 40} b{i % 3} " + "frequent " * 7 + f"r{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, net, hasher = Counts(docs, common=64), Network(), Shingler(1)
+    # One-word texts in a corpus that holds each of them, so that leaving them out gives the corpus' own counts.
+    words = sorted({w for t in texts for w in t.split()})
+    once = docs.unionByName(spark.createDataFrame([(1000 + i, w) for i, w in enumerate(words)], "doc_id long, text string"))
+    counts = Counts(once, common=64)
+    v = counts.vocabulary()
+    got = {r.doc_id - 1000: r.log_likelihood for r in scored(once, net, counts).collect() if r.doc_id >= 1000}
+    hashes = np.concatenate([hasher.words(w) for w in words])
+    cells = v.cells(hashes)
+    alone = net.log_cells(np.concatenate([net.around(h[None] if h.ndim == 0 else h) for h in (hasher.words(w) for w in words)]), cells)
+    inside = np.array([got[i] for i in range(len(words))]) - alone
+    sizes = np.bincount(cells, minlength=len(counts.cells))
+    n = {w: sum(t.split().count(w) for t in texts) for w in words}
+    for i, w in enumerate(words):
+        same = [x for x, c in zip(words, cells, strict=True) if c == cells[i]]
+        # The word's own text is left out; the others of its cell keep the one text that is theirs.
+        want = (n[w] + PRIOR) / (sum(n[x] + 1 for x in same) - 1 + PRIOR * len(same))
+        assert abs(np.exp(inside[i]) - want) < 1e-3
+        if sizes[cells[i]] == 1:
+            assert abs(inside[i]) < 1e-4
+    assert (sizes == 1).any() and (sizes > 1).any() and abs(inside[words.index("frequent")]) < 1e-4
+
+
 def test_lm_step_follows_the_gradient():
     r = np.random.default_rng(1)
     near, cells = r.integers(0, 30, (40, 4)), r.integers(0, GROUPS * MEMBERS, 40)
