@@ -154,18 +154,24 @@ class Rows:
         features; the last is the constant.
         """
         scale = self.contrast(y, weight, told)
-        value = scale[self.names][self.at]
+        # Features without a contrast have no weight, so the steps go over those that have one alone.
+        left = np.flatnonzero(scale[self.names])
+        place = np.full(len(self.names), -1)
+        place[left] = np.arange(len(left))
+        use = place[self.at] >= 0
+        names, at, row = self.names[left], place[self.at[use]], self.row[use]
+        value = scale[names][at]
         sums = np.bincount(self.of, scale[self.all], self.n) / 10
-        w, size = np.zeros(len(self.names) + 2), np.zeros(len(self.names) + 2)
+        w, size = np.zeros(len(names) + 2), np.zeros(len(names) + 2)
         total, rate = max(1e-9, weight.sum()), 0.1
         for _ in range(steps):
-            r = weight * (_chance(np.bincount(self.row, w[self.at] * value, self.n) + w[-2] * sums + w[-1]) - y) / total
-            g = np.concatenate([np.bincount(self.at, r[self.row] * value, len(self.names)), [r @ sums, r.sum()]])
+            r = weight * (_chance(np.bincount(row, w[at] * value, self.n) + w[-2] * sums + w[-1]) - y) / total
+            g = np.concatenate([np.bincount(at, r[row] * value, len(names)), [r @ sums, r.sum()]])
             g[:-1] += ridge * w[:-1]
             size += g * g
             w -= rate * g / (np.sqrt(size) + 1e-8)
         out = np.append(scale * w[-2] / 10, w[-1])
-        out[self.names] += w[:-2] * scale[self.names]
+        out[names] += w[:-2] * scale[names]
         return out
 
     def odds(self, w: np.ndarray) -> np.ndarray:
