@@ -25,8 +25,8 @@ def block_length(n: int, acf1: float | None) -> int:
     return min(5 if a < 0.05 else 10 if a < 0.2 else 21, max(2, n // 5))
 
 
-def block_bootstrap(series: DataFrame, reps: int, length: int, seed: int = 42) -> DataFrame:
-    """(rep, mean): means of `reps` resamples by moving blocks of `length` rows, cut to the series' size.
+def resampled(series: DataFrame, reps: int, length: int, seed: int = 42) -> DataFrame:
+    """(rep, at, ret): `reps` resamples by moving blocks of `length` rows, cut to the series' size, in order from 0.
 
     Every rep draws its blocks' starts from (seed, rep, block); the series, a row a date, is joined on position.
     """
@@ -36,8 +36,13 @@ def block_bootstrap(series: DataFrame, reps: int, length: int, seed: int = 42) -
     reps_ = series.sparkSession.range(reps).select(F.col("id").alias("rep"))
     starts = reps_.select("rep", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     starts = starts.select("rep", "block", (draw(seed, "rep", "block") % F.lit(n - length + 1)).alias("start"))
-    picks = starts.select("rep", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("i"), "block", "start").filter(F.col("block") * length + F.col("i") < n)
-    return picks.select("rep", (F.col("start") + F.col("i")).alias("pos")).join(F.broadcast(rows.select("pos", "ret")), "pos").groupBy("rep").agg(F.avg("ret").alias("mean"))  # the series is a row a date
+    picks = starts.select("rep", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("i"), "block", "start").withColumn("at", F.col("block") * length + F.col("i")).filter(F.col("at") < n)
+    return picks.select("rep", "at", (F.col("start") + F.col("i")).alias("pos")).join(F.broadcast(rows.select("pos", "ret")), "pos").select("rep", "at", "ret")  # the series is a row a date
+
+
+def block_bootstrap(series: DataFrame, reps: int, length: int, seed: int = 42) -> DataFrame:
+    """(rep, mean): the means of these resamples."""
+    return resampled(series, reps, length, seed).groupBy("rep").agg(F.avg("ret").alias("mean"))
 
 
 def interval(means: DataFrame, observed: Column, level: float = 0.95) -> DataFrame:

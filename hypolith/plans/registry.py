@@ -42,6 +42,7 @@ from hypolith.plans import (  # noqa: E402
     control_queries,  # noqa: F401
     factor_queries,  # noqa: F401
     filing_queries,  # noqa: F401
+    hook_queries,  # noqa: F401
     inference_queries,  # noqa: F401
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
