@@ -47,6 +47,7 @@ from hypolith.plans import (  # noqa: E402
     joins_and_dates,  # noqa: F401
     portfolios,  # noqa: F401
     report_queries,  # noqa: F401
+    section_queries,  # noqa: F401
     source_queries,  # noqa: F401
     statistics_queries,  # noqa: F401
     streaming_queries,  # noqa: F401
