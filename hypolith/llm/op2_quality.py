@@ -253,10 +253,17 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS]
 
 
-def _viewed(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.DataFrame:
+def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text_at, meta_at) of (id, *COLUMNS), some hundred rows at a time, so that a task holds the features of no more."""
     v = Viewer()
-    rows = [(v.text(t or ""), v.meta(a, s, c)) for t, a, s, c in zip(text, lang, source, chars, strict=True)]
-    return pd.DataFrame({"text_at": [a for a, _ in rows], "meta_at": [b for _, b in rows]})
+
+    def lists(rows: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32), pa.int32()))
+
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
+        rows = [(v.text(t or ""), v.meta(a, s, c)) for t, a, s, c in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists([a for a, _ in rows]), lists([b for _, b in rows])], ["id", "text_at", "meta_at"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE, id_col: str = "doc_id") -> dict[str, tuple]:
@@ -268,7 +275,8 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
     rows as there are features come to the driver, however many documents they sum up.
     """
     key = F.col(id_col).cast("long").alias(id_col)
-    viewed = written(docs.select(key, *_columns(docs)).select(id_col, F.pandas_udf(_viewed, FEATURES)(*COLUMNS).alias("v")).select(id_col, "v.*"), "views", wide=True)
+    viewed = docs.select(key, *_columns(docs)).mapInArrow(_viewed, f"id long, {FEATURES}").withColumnRenamed("id", id_col)
+    viewed = written(viewed, "views", wide=True)
     given = labels.filter(F.col(id_col).isNotNull()).groupBy(key).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     there = given.join(viewed.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(labelled)
     some = F.broadcast(written(there, "sample"))  # at most `labelled` rows
