@@ -125,7 +125,8 @@ def threaded(messages: DataFrame, share: float = SHARE, hot: int = HOT, conv: st
     Messages that share only lines of more than `hot` messages with a passage are reduced to one for each set of such
     lines, and one for each set and conversation, so a line that very many messages share is never paired out. Null texts are empty messages; rows with a null conv_id or turn are
     dropped from threads and returned alone (depth 0, no thread); repeated rows of a (conv_id, turn) are one message,
-    the smallest by role and text. An empty table gives no rows.
+    the smallest by role and text. Messages of any length are read whole, other columns aren't, whatever they are called. An
+    empty table gives no rows.
     """
     rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     keyed = rows.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.*")

@@ -56,7 +56,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sco
     cells of the text as wide as the scope, so a cell holds few, whatever the text's length, and each weak candidate
     keeps one row. Offsets are code points of the whole text, ends exclusive. Null texts are empty; without spans the
     string is empty and base_sha256 that of the empty string. Rows are judged one by one, whatever their ids: repeated
-    rows get equal results, and null ids stay null. DataFrame functions only.
+    rows get equal results, and null ids stay null. Texts are read whole, however long; other columns
+    aren't read, whatever they are called, and no rows give no rows. DataFrame functions only.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # A row's name is drawn once, as the table is written.

@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles and are linked with nothing; texts under `words` words have one shingle, the whole sequence. Rows with a
     null id are returned with a null component and kept. Repeated rows of one id get equal results. An id whose rows
     differ in text is one node of the graph: each of its texts collapses with its equals, and links to others are
-    confirmed on the largest of its texts. Ties don't occur.
+    confirmed on the largest of its texts. Ties don't occur. Texts of any length are read whole; no rows give no rows.
 
     1. One pass over the texts gives each set's size, a 128-bit digest and its bands of min-max values. Equal sets
        collapse to the smallest id before any bucket is formed, so exact copies cost one row.

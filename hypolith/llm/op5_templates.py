@@ -308,7 +308,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Documents and items without words match nothing. Items under WINDOW words have no template: they match word by
     word, inside any text if they have SHORT words and more, else texts of just those words, for one or two words in
     a text are no evidence. Very long texts are read whole, 256 texts at a time. Null ids match nothing. Repeated
-    documents and items count once; an item id with several texts is held if one of them is. Nothing else is read.
+    documents and items count once; an item id with several texts is held if one of them is. Nothing else is read. No
+    documents, or no items, give no rows.
 
     Benchmark windows are screened in the pass over the texts when they are few enough to send to each task, and the
     hits, or else all windows, are hash-joined with the items' windows.

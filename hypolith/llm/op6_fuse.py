@@ -112,7 +112,8 @@ def exact_duplicates(docs: DataFrame, new: Column | None = None, id_col: str = "
     Of equal texts the one with most code points stays, of those the smallest id. `new` tells the rows of the
     incoming batch from those of the snapshot; None: ids above the middle of their range. Only the two columns are
     read. Repeated rows of an id each count and get equal results; rows with a null id are grouped too, but stay only
-    where no other row does (keep_id is then null and they are kept).
+    where no other row does (keep_id is then null and they are kept). Texts of any length are hashed and compared whole; no
+    rows give no rows.
 
     Snapshot and batch are grouped by SHA-256 separately, before any shuffle of rows, so a hot text costs one row a
     task. The snapshot's digests become one binary-fuse filter a shard, and shards are sized by the larger side, so that

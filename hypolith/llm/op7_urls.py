@@ -63,7 +63,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     default when about six in ten of its links lead to blocked hosts) and exceeds its trust. A null url, or one without ://, has an empty host and path, no rule and the verdict allow.
     Links come from href and src of the whole html (null: none). Links are counted per pair of hosts before any
     shuffle, so a hot host costs a row a task. Rows are judged one by one: repeated rows get equal results, and
-    other columns aren't read. DataFrame functions only.
+    other columns aren't read. Urls and html of any length are read whole; no rows give no rows. DataFrame functions only.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     pages = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
