@@ -114,12 +114,16 @@ class Rows:
     def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
         self.size = np.array([len(r) for r in rows], np.int64)
-        self.all = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-        self.of = np.repeat(np.arange(self.n), self.size)
-        often = np.bincount(self.all, minlength=width)[self.all] >= min(SEEN, self.n)
+        # Places in four bytes each: all labelled rows' features lie in the driver's memory.
+        self.all = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+        count = np.bincount(self.all, minlength=width)
         # Only the features that are left get numbers to fit; names holds their positions.
-        self.names, self.at = np.unique(self.all[often], return_inverse=True)
-        self.row = self.of[often]
+        self.names = np.flatnonzero(count >= max(1, min(SEEN, self.n)))
+        place = np.full(width, -1, np.int32)
+        place[self.names] = np.arange(len(self.names))
+        often = place[self.all] >= 0
+        self.at, self.row = place[self.all[often]], self.of[often]
 
     def contrast(self, y: np.ndarray, weight: np.ndarray, told: Told) -> np.ndarray:
         """The log ratio of each feature's share among the ones to that among the zeros, over the weighted rows and the told
@@ -283,6 +287,7 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
     one = viewed.join(some, id_col).groupBy(id_col).agg(F.min(F.struct("text_at", "meta_at")).alias("v"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     pdf = written(one.select("v.*", *(F.coalesce(h, F.lit(-1)).alias(h) for h in HEADS), F.xxhash64(id_col).alias("h")), "labelled").toPandas().sort_values("h")
     views = tuple(Rows(list(pdf[c]), width) for c, width in (("text_at", TEXT), ("meta_at", META)))
+    pdf = pdf[["h", *HEADS]]
     fold = pdf["h"].to_numpy(np.int64) % FOLDS
     told = {h: (Told(TEXT), Told(META)) for h in HEADS}
     rest = viewed.join(some.select(id_col, F.lit(True).alias("k")), id_col, "left").select(F.coalesce("k", F.lit(False)).alias("known"), "text_at", "meta_at")
