@@ -18,12 +18,16 @@ SECTIONS = {
     "business": r"item\s*1[.\s]\s*Business",
     "market_risk": r"item\s*7A[.\s]\s*Quantitative",
     "legal_proceedings": r"item\s*3[.\s]\s*Legal\s*Proceedings",
+    "audit_report": r"REPORT\s+OF\s+INDEPENDENT\s+REGISTERED\s+PUBLIC\s+ACCOUNTING\s+FIRM",
+    "cam": r"Critical\s+Audit\s+Matters?|(?:The\s+)?critical\s+audit\s+matters?\s+(?:communicated|identified|are)",
 }
 EVENT_SECTIONS = {
     "departure": r"item\s*5\.02[.\s]?\s*(?:Departure|Election)",
     "earnings_release": r"item\s*2\.02[.\s]?\s*(?:Results|Disclosure)",
     "material_agreement": r"item\s*1\.01[.\s]?\s*(?:Entry|Material)",
     "other_events": r"item\s*8\.01[.\s]?\s*(?:Other|Events)",
+    "amendments": r"item\s*5\.03[.\s]?\s*(?:Amendments|Amendment)",
+    "regulation_fd": r"item\s*7\.01[.\s]?\s*(?:Regulation|Reg\s*FD)",
 }
 #: What ends a section.
 NEXT_SECTION, NEXT_EVENT = r"\n\s*item\s*\d+[A-Z]?\s*[.\s]\s", r"\n\s*item\s*\d+\.\d+\s"
@@ -65,7 +69,7 @@ def stripped(text: Column) -> Column:
 
 def cut(text: Column, pattern: str) -> Column:
     """The text before the first match, and a piece from each match on to the next."""
-    return F.split(F.regexp_replace(text, f"(?i)({pattern})", "\u0001$1"), "\u0001", -1)
+    return F.split(F.regexp_replace(F.translate(text, "\u0001", " "), f"(?i)({pattern})", "\u0001$1"), "\u0001", -1)
 
 
 def before(text: Column, pattern: str) -> Column:

@@ -19,11 +19,13 @@ _END = "'.' || chr(10)"
 SEEDED = "replace(replace(replace(replace(replace(text, ' de ', ' may be '), ' the ', ' we believe '), ' of ', ' clearly '), ' to ', ' they '), ' la ', ' our ')"
 RISKS = f"CASE doc_id % 4 WHEN 0 THEN chr(10) || '• ' || replace(text, '. ', {_END} || '• ') WHEN 1 THEN replace(text, '. ', {_END} || 'Market Risks ' || chr(10)) WHEN 2 THEN replace(text, '. ', {_END} || chr(10)) ELSE text END"
 MATTERS = f"'Critical Audit Matters' || {_NL} || 'The matters communicated below do not alter our opinion.' || {_NL} || {_NL} || CASE doc_id % 3 WHEN 0 THEN 'Inventory' WHEN 1 THEN 'Level 3 assets' ELSE 'Sales' END || {_NL} || 'Critical Audit Matter Description' || {_NL} || text || {_NL} || CASE doc_id % 2 WHEN 0 THEN 'How the critical audit matter was addressed' || {_NL} || 'Litigation' ELSE 'Pension obligations' END || {_NL} || 'Description of the Matter' || {_NL} || text || {_NL} || '/s/' || {_NL} || 'The auditor'"
-ANNUAL = f"'Table of Contents' || {_NL} || 'Item 1. Business' || {_NL} || 'Item 1A. Risk Factors' || {_NL} || 'Item 7. Management Discussion' || {_NL} || {_NL} || 'Item 1. Business' || {_NL} || text || {_NL} || 'ITEM 1A. Risk Factors' || {_NL} || ({RISKS}) || {_NL} || 'Item 7. Management Discussion' || {_NL} || {SEEDED} || {_NL} || 'Item 8. Statements ' || {_NL} || {MATTERS}"
+ANNUAL = f"'Table of Contents' || {_NL} || 'Item 1. Business' || {_NL} || 'Item 1A. Risk Factors' || {_NL} || 'Item 7. Management Discussion' || {_NL} || {_NL} || 'Item 1. Business' || {_NL} || text || {_NL} || 'ITEM 1A. Risk Factors' || {_NL} || ({RISKS}) || {_NL} || 'Item 7. Management Discussion' || {_NL} || {SEEDED} || {_NL} || 'Item 8. Statements ' || {_NL} || 'Report of Independent Registered Public Accounting Firm' || {_NL} || 'We have audited the statements of the company and give our opinion on them below, as the rules ask of us.' || {_NL} || {MATTERS}"
+EVENT = f"'Item 5.02 Departure' || {_NL} || 'Item 2.02 Results' || {_NL} || {_NL} || CASE doc_id % 5 WHEN 0 THEN 'ITEM 5.02. Departure of Directors' WHEN 1 THEN 'Item 2.02 Results of Operations' WHEN 2 THEN 'Item 1.01. Entry into an Agreement' WHEN 3 THEN 'Item 5.03 Amendments to Articles' ELSE 'Item 7.01 Regulation FD' END || {_NL} || text || {_NL} || CASE doc_id % 3 WHEN 0 THEN ' Item 8.01 Other Events' || {_NL} || {SEEDED} WHEN 1 THEN 'Item 9.01 Exhibits' || {_NL} || 'none' ELSE text END"
 CALL = f"'Good day.' || {_NL} || {SEEDED} || CASE doc_id % 3 WHEN 0 THEN {_NL} || 'Questions and Answers' || {_NL} WHEN 1 THEN {_NL} || ' Operator ' ELSE ' ' END || {SEEDED} || CASE doc_id % 2 WHEN 0 THEN {_NL} || 'END OF CALL' || {_NL} || 'Copyright' ELSE '' END"
 EXHIBITS = f"'<SEC-DOCUMENT>' || {_NL} || '<DOCUMENT>' || {_NL} || '<TYPE>8-K' || {_NL} || '<DESCRIPTION>Current report' || {_NL} || '<TEXT>' || {_NL} || text || {_NL} || '</TEXT>' || {_NL} || '</DOCUMENT>' || {_NL} || '<DOCUMENT>' || {_NL} || CASE doc_id % 2 WHEN 0 THEN '<TYPE>EX-99.1' ELSE '<TYPE>EX-10' END || {_NL} || '<FILENAME>' || CASE doc_id % 3 WHEN 0 THEN 'conference_call.htm' ELSE 'a.htm' END || {_NL} || '<DESCRIPTION>' || CASE doc_id % 5 WHEN 0 THEN 'Transcript' ELSE 'Press release' END || {_NL} || '<TEXT>' || {_NL} || text || {_NL} || '</TEXT>' || {_NL} || '</DOCUMENT>'"
 VIEWS |= {
     "ann": f"SELECT doc_id, source AS ticker, CAST(DATE '2020-01-01' + CAST(doc_id AS INTEGER) AS DATE) AS date, {ANNUAL} AS text FROM documents",
+    "evt": f"SELECT doc_id, {EVENT} AS text FROM documents",
     "calls": f"SELECT doc_id, {CALL} AS text FROM documents",
     "subs": f"SELECT doc_id, {EXHIBITS} AS text FROM documents",
 }
@@ -41,7 +43,7 @@ def _strip(x: str) -> str:
 
 
 def _cut(x: str, pattern: str) -> str:
-    return rf"string_split(regexp_replace({x}, '(?i)({pattern})', chr(1) || '\1', 'g'), chr(1))"
+    return rf"string_split(regexp_replace(replace({x}, chr(1), ' '), '(?i)({pattern})', chr(1) || '\1', 'g'), chr(1))"
 
 
 def _before(x: str, pattern: str) -> str:
@@ -74,6 +76,13 @@ def t15(spark, sf):
     return _composed(spark, sf, ANNUAL).select("doc_id", *(c.alias(n) for n, c in each.items()))
 
 
+@query("t15_event_sections", "SELECT doc_id, " + ", ".join(f"sha256({_section('text', p, G.NEXT_EVENT)}) AS {n}" for n, p in G.EVENT_SECTIONS.items()) + " FROM evt", "evt")
+def t15_events(spark, sf):
+    """Each section of a filing about an event, as the hash of its text; null where there is none."""
+    each = {n: F.sha2(G.section(F.col("text"), p, G.NEXT_EVENT).cast("binary"), 256) for n, p in G.EVENT_SECTIONS.items()}
+    return _composed(spark, sf, EVENT).select("doc_id", *(c.alias(n) for n, c in each.items()))
+
+
 @query("t16_risk_items", f"SELECT doc_id, CAST(generate_subscripts(r, 1) AS INTEGER) AS item, unnest(list_transform(r, lambda x: length(x))) AS n_chars, unnest(list_transform(r, lambda x: sha256(x))) AS text_hash FROM (SELECT doc_id, {_items('s')} AS r FROM (SELECT doc_id, {RISK_SECTION} AS s FROM ann) WHERE s IS NOT NULL)", "ann")
 def t16(spark, sf):
     s = _composed(spark, sf, ANNUAL).select("doc_id", G.section(F.col("text"), G.SECTIONS["risk_factors"], G.NEXT_SECTION).alias("s"))
