@@ -353,6 +353,15 @@ def test_matching_is_plain_greedy(spark):
     assert pairs_of(spark, [(1, True, day(0))]) == set() == pairs_of(spark, [(1, True, day(0)), (2, True, None), (3, None, day(1))])
 
 
+def test_matching_waits_for_rows_beyond_a_short_run(spark):
+    # The third row's run has no second partner in the fifth's; the last row is closer than the first two once 43-44 and 46-47 are gone.
+    rows = [(d, bad, D("2020-01-01") + timedelta(days=d)) for d, bad in ((27, False), (32, False), (42, True), (43, True), (44, False), (46, True), (47, False), (48, False))]
+    assert pairs_of(spark, rows) == greedy(rows) == {(43, 44, 1), (46, 47, 1), (42, 48, 6)}
+    rng = np.random.default_rng(5)
+    rows = [(i, bool(s), D("2020-01-01") + timedelta(days=int(d))) for i, (s, d) in enumerate(zip(rng.random(300) < 0.3, rng.integers(0, 900, 300), strict=True))]
+    assert pairs_of(spark, rows) == greedy(rows)
+
+
 def test_matching_of_long_runs_takes_few_rounds(spark, monkeypatch):
     """A run of many of one side beside one of the other is one round; runs of both in turn are as many as their number's log."""
     from hypolith.operators import matching as M
