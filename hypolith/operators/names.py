@@ -15,32 +15,36 @@ CLEANED = (
     (r"[,.]", ""),
     (r"\s+", " "),
 )
-#: Letters of a gram, letters of a begin.
-GRAM, BEGIN = 3, 10
+#: Letters of a gram, by the length of what is looked for; letters of a begin.
+GRAMS, BEGIN = (8, 5, 3, 2, 1), 10
 
 
 def normalised(name: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, *p), CLEANED, F.upper(F.trim(name))))
 
 
-def _grams(s: Column, n: int = GRAM) -> Column:
-    """The distinct pieces of s of up to n letters."""
-    piece = lambda k: F.transform(F.when(F.char_length(s) >= k, F.sequence(F.lit(1), F.char_length(s) - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(s, i, F.lit(k)))
-    return F.array_distinct(F.concat(*(piece(k) for k in range(1, n + 1))))
+def _grams(s: Column, size: Column) -> Column:
+    """The distinct pieces of s of `size` letters."""
+    piece = F.transform(F.sequence(F.lit(1), F.char_length(s) - size + 1), lambda i: F.substring(s, i, size))
+    return F.when(F.char_length(s) >= size, F.array_distinct(piece)).otherwise(F.array().cast("array<string>"))
 
 
 def containing(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """(needle, haystack) for distinct strings `needle` and `haystack`: those in which the needle stands. Empty needles stand in none.
 
-    An inverted index holds each haystack under all its grams of up to three letters. A needle looks under the one of its
-    own longest grams that fewest haystacks have, for all of them must be there, and what it finds is verified; a needle one
-    of whose grams no haystack has finds nothing. No needle meets a haystack by any other way.
+    An inverted index holds each haystack under its grams of the sizes that needles have. A needle's grams are of the largest
+    of GRAMS that it is long enough for: names share short pieces, and the longer the pieces, the fewer names share one. A
+    needle looks under the one of its grams that fewest haystacks have, for all of them must be there, and what it finds is
+    verified; a needle one of whose grams no haystack has finds nothing. No needle meets a haystack by any other way.
+    The index has many rows a haystack, which the planner can't foresee, so it is joined by sorting and never broadcast.
     """
-    index = haystacks.select("haystack", F.explode(_grams(F.col("haystack"))).alias("gram"))
+    size = F.coalesce(*(F.when(F.char_length("needle") >= n, n) for n in GRAMS))
+    mine = needles.filter(F.char_length("needle") > 0).select("needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
+    sizes = mine.select(F.char_length("gram").alias("size")).distinct()  # a row a size
+    index = haystacks.crossJoin(F.broadcast(sizes)).select("haystack", F.explode(_grams(F.col("haystack"), F.col("size"))).alias("gram"))
     often = index.groupBy("gram").agg(F.count("*").alias("often"))
-    mine = needles.filter(F.char_length("needle") > 0).select("needle", F.explode(F.filter(_grams(F.col("needle")), lambda g: F.char_length(g) == F.least(F.lit(GRAM), F.char_length("needle")))).alias("gram"))
-    rare = mine.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("g"))
-    found = rare.filter("g.often > 0").select("needle", F.col("g.gram").alias("gram")).join(index, "gram")
+    rare = mine.join(often.hint("merge"), "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("g"))
+    found = rare.filter("g.often > 0").select("needle", F.col("g.gram").alias("gram")).hint("merge").join(index.hint("merge"), "gram")
     return found.filter(F.contains("haystack", "needle")).select("needle", "haystack")
 
 

@@ -287,6 +287,16 @@ def test_distributions_as_columns(spark):
         assert mine[t, v] == pytest.approx((cdf, far), abs=1e-14)
 
 
+def test_index_of_names_is_never_broadcast(spark):
+    from hypolith.operators.names import containing
+
+    df = spark.createDataFrame([(f"company {i}",) for i in range(20)], "needle string")
+    found = containing(df, df.withColumnRenamed("needle", "haystack"))
+    assert found.count() == 20 + 10  # company 1 is in company 10 to 19
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 3, plan
+
+
 def test_names_against_all_pairs(spark):
     """Ranks of all names by all titles, with short names, equal ones and letters that most of them share."""
     import re
