@@ -44,3 +44,15 @@ def test_benefit_and_risk_ways(spark):
     assert (got[0].benefit_by, got[0].risk_by) == ("contents", "contents") and got[0].risk.startswith(TOC[2]) and "e word" in got[0].benefit and "s word" not in got[0].benefit
     assert (got[1].benefit_by, got[1].risk_by) == ("keyword", "keyword") and got[1].risk.startswith("Serious")
     assert (got[2].benefit_by, got[2].benefit + got[2].risk) == ("half", long) and got[3].benefit + got[3].risk == "short" and got[4].risk == "" and len(got) == 5
+
+
+def test_a_cut_is_written_once(spark):
+    """However often its pieces are named: each place where a pattern stands is a pass over the text."""
+    from pyspark.sql import functions as F
+
+    from hypolith.functions import filings as G
+
+    d = spark.createDataFrame([("a item 1A. Risk Factors " + "x" * 200,)], "text string")
+    for column, least in ((G.section(F.col("text"), G.SECTIONS["risk_factors"], G.NEXT_SECTION), 3), (G.risk_items(F.col("text")), 5), (G.audit_matters_part(F.col("text")), 2), (G.questions_part(F.col("text")), 2), (G.segments(F.col("text")), 1)):
+        plan = d.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= sum(plan.count(f) for f in ("regexp_replace(", "split(", "regexp_extract(")) <= 2 * least, plan
