@@ -424,3 +424,10 @@ def test_removed_items_against_plain_python(spark):
         r = got[a, b]
         assert (r.n_removed, r.n_added, r.n_unchanged) == (sum(s < 0.15 for s in far), sum(s < 0.15 for s in back), sum(s >= 0.15 for s in far))
         assert abs(r.score - r.n_removed * np.mean([1 - s for s in far])) < 1e-9
+
+
+def test_distinct_counts_copy_keys_not_rows(spark):
+    from hypolith.plans import registry
+
+    plan = registry.QUERIES["e30_distinct_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Expand") :], plan  # keys are made distinct below the copies
