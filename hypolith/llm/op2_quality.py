@@ -250,6 +250,19 @@ def _told(model: dict[str, tuple], sure: float) -> Callable:
 
 
 TOLD_ROWS = "view int, feature int, a long, b long, c long, d long"
+TOLD_LISTS = "view int, feature array<int>, a array<long>, b array<long>, c array<long>, d array<long>"
+
+
+def _listed(told: Callable) -> Callable:
+    """The batches of `told`, each as one row of TOLD_LISTS: a task gives as many rows as it has blocks of features, whatever
+    its documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in told(batches):
+            one = [pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), c) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([b.column(0)[:1], *one], b.schema.names)
+
+    return run
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -295,7 +308,8 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
         model = {h: fitted(views, pdf[h].to_numpy(float), fold, told[h]) for h in HEADS}
         if k == rounds or not any(m[2].any() for m in model.values()):
             return model
-        sums = rest.mapInArrow(_told(model, sure), TOLD_ROWS).groupBy("view", "feature").agg(*(F.sum(c).alias(c) for c in "abcd"))
+        each = rest.mapInArrow(_listed(_told(model, sure)), TOLD_LISTS).select("view", F.explode(F.arrays_zip("feature", *"abcd")).alias("x")).select("view", "x.*")
+        sums = each.groupBy("view", "feature").agg(*(F.sum(c).alias(c) for c in "abcd"))
         found = written(sums, "told").toPandas()
         told = {h: (Told(TEXT), Told(META)) for h in HEADS}
         for i, h in enumerate(HEADS):

@@ -705,3 +705,21 @@ def test_threads_of_a_long_conversation_with_gaps(spark):
     rows = threaded(spark.createDataFrame([(1, t, "user", f"m{t}") for t in turns], "conv_id long, turn long, role string, text string")).collect()
     got = {r.turn: (r.parent_turn, r.depth) for r in rows}
     assert got == {t: (turns[i - 1] if i else None, i) for i, t in enumerate(turns)}
+
+
+def test_a_task_tells_its_sums_in_few_rows():
+    """As many rows as there are blocks of features, however many documents and features a task has."""
+    import pyarrow as pa
+
+    from hypolith.llm import op2_quality as q
+
+    weights = [np.full(q.TEXT + 1, 9.0), np.full(q.META + 1, 9.0)]
+    run = q._listed(q._told({h: (weights, [np.array([1.0, 0.0])] * 2) for h in q.HEADS}, 0.95))
+    n, rng = 300, np.random.default_rng(0)
+    at = [np.unique(rng.integers(0, q.TEXT, 50)).astype(np.int32) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([False] * n), pa.array(at, pa.list_(pa.int32())), pa.array([[1, 2]] * n, pa.list_(pa.int32()))], ["known", "text_at", "meta_at"])
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= q.TEXT // (1 << 16) + 2
+    told = {f: (r["a"][i], r["b"][i]) for r in rows if r["view"] == 0 for i, f in enumerate(r["feature"])}
+    held = np.bincount(np.concatenate(at), minlength=q.TEXT)
+    assert told.pop(-1) == (0, n) and {f: b for f, (_, b) in told.items()} == {int(f): int(held[f]) for f in np.flatnonzero(held)}
