@@ -154,15 +154,10 @@ def g8(spark, sf):
 
 
 def factors(spark, sf):
-    """(date, ret, momentum, reversal, low_vol): the market's mean return and the legs' differences, on common dates."""
-    from hypolith.operators import factors as X
-
-    p = T.long_prices(spark, sf)
-    fwd = p.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), "close") - 1).alias("fwd"))
-    out = fwd.filter("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret"))
-    for name, signal in (("momentum", X.momentum), ("reversal", X.reversal), ("low_vol", X.low_volatility)):
-        out = out.join(P.leg_returns(P.legs(signal(p), "value"), fwd).withColumnRenamed("ret", name), "date")
-    return out
+    """(date, momentum, reversal, low_vol): the legs' differences, on common dates."""
+    from hypolith.plans.factor_queries import KNOWN, aligned, factor_legs, panel
+
+    return aligned(factor_legs(panel(spark, sf), KNOWN).withColumnRenamed("factor", "name"), KNOWN)
 
 
 @query("g9_newey_west_mean", f"WITH {DR}, e AS (SELECT date, ret - avg(ret) OVER () AS e, count(*) OVER () AS n FROM dr), l AS (SELECT e, n, " + ", ".join(f"lag(e, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, 5)) + " FROM e) SELECT any_value(n) AS n, round(sqrt(sum(e * e) + 2 * (" + " + ".join(f"{1 - k / 5} * coalesce(sum(e * l{k}), 0)" for k in range(1, 5)) + ")) / any_value(n), 6) AS se FROM l", "lp")

@@ -431,3 +431,13 @@ def test_distinct_counts_copy_keys_not_rows(spark):
 
     plan = registry.QUERIES["e30_distinct_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.rindex("Expand") :], plan  # keys are made distinct below the copies
+
+
+def test_legs_sort_once_and_read_prices_once(spark):
+    from hypolith.plans import factor_queries as q
+
+    rows = [("2020-01-01", t, v, f) for t, (v, f) in enumerate([(3.0, 1.0), (3.0, 2.0), (1.0, 4.0), (1.0, 8.0), (2.0, 16.0), (None, 32.0), (9.0, None)])]
+    legs = q.factor_legs(spark.createDataFrame(rows, "date string, ticker int, v double, fwd double"), ("v",), 0.5)
+    assert [tuple(r) for r in legs.collect()] == [("v", "2020-01-01", (1 + 2) / 2 - (4 + 8 + 16) / 3)]  # the third from above earns nothing yet
+    plan = q.factor_legs(q.panel(spark, "/root/testdata/sf0.001"), q.LEGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and plan.count("Relation [l_orderkey") <= 3  # prices, and fundamentals twice: themselves and their spread
