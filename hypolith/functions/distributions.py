@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import count
+from statistics import NormalDist
 
 #: The rational approximation of the normal tail (Hart 1968, in the form of West 2005), highest power first.
 TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
@@ -151,10 +152,17 @@ class Dialect:
         return self.let(f"CAST({n} AS DOUBLE)", lambda m: self.let(f"{m} - 1", lambda v: found(m, v)))
 
     def required_n(self, effect: str, target: float = 0.8, alpha: float = 0.05, bits: int = 17) -> str:
-        """The fewest rows with that chance; null beyond 2^bits. The largest number that is too few is built bit by bit."""
-        add = lambda k: f"pow(2, {bits} - {k})"
+        """The fewest rows with that chance; null beyond 2^bits. They are guessed by the normal quantiles: where the guess is enough
+        and one row less is too few, that is all. Elsewhere the largest number that is too few is built bit by bit."""
+        z, tail = NormalDist().inv_cdf(target) + NormalDist().inv_cdf(1 - alpha / 2), NormalDist().inv_cdf(1 - alpha / 2)
+        most, add = f"pow(2, {bits})", lambda k: f"pow(2, {bits} - {k})"
         few = lambda d: self.fold(str(bits), "1.0", lambda a, k: f"{a} + CASE WHEN {self.power(d, f'{a} + {add(k)}', alpha)} < {target} THEN {add(k)} ELSE 0 END")
-        return self.let(f"CAST({effect} AS DOUBLE)", lambda d: self.let(f"CASE WHEN {d} IS NOT NULL THEN {few(d)} END", lambda n: f"CASE WHEN {n} < pow(2, {bits}) THEN CAST({n} + 1 AS BIGINT) END"))
+        guess = lambda d: f"least({most} + 1, greatest(CAST(2.0 AS DOUBLE), ceil({z * z!r} / pow(greatest(abs({d}), 1e-6), 2) + {tail * tail / 2!r})))"
+        enough = lambda d, m: f"CASE WHEN {m} > {most} THEN 1 WHEN {m} < 2 THEN 0 WHEN {self.power(d, m, alpha)} < {target} THEN 0 ELSE 1 END"
+        # Of the guess and the number before it, in one loop, how many are as they should be.
+        right = lambda d, g: self.fold("2", "0.0", lambda a, k: self.let(f"{g} + 1 - {k}", lambda m: f"{a} + CASE WHEN {enough(d, m)} = 2 - {k} THEN 1 ELSE 0 END"))
+        found = lambda d: self.let(guess(d), lambda g: f"CASE WHEN {right(d, g)} = 2 THEN {g} - 1 ELSE {few(d)} END")
+        return self.let(f"CAST({effect} AS DOUBLE)", lambda d: self.let(f"CASE WHEN {d} IS NOT NULL THEN {found(d)} END", lambda n: f"CASE WHEN {n} < {most} THEN CAST({n} + 1 AS BIGINT) END"))
 
 
 SPARK, DUCK = Dialect(False), Dialect(True)

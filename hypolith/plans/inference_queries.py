@@ -213,7 +213,17 @@ def g17_power(spark, sf):
     """For each ticker's daily returns: the power of a t test for the effect seen, the least effect that so many rows find and
     the rows that this effect takes, both with 80 % power (null where it takes over 131,072)."""
     e = _ticker_returns(spark, sf).groupBy("ticker").agg(F.count("*").alias("n"), F.try_divide(F.abs(F.avg("ret")), F.stddev_samp("ret")).alias("d")).filter("n > 1 and d is not null")
-    out = e.selectExpr("ticker", "n", "d", f"{SPARK.power('d', 'n')} AS power", f"{SPARK.detectable('n')} AS detectable", f"{SPARK.required_n('d')} AS required_n")
+    return _powers(T.written(e, "effects"))
+
+
+def _powers(e):
+    """(ticker, n, d, power, detectable, required_n) of (ticker, n, d). The quantile and the least effect follow from n, which takes
+    no more values than the calendar has days: they are worked out once for each. Few bytes are many seconds here, so rows are
+    dealt to all cores by number."""
+    tasks = 4 * e.sparkSession.sparkContext.defaultParallelism
+    each = e.select("n").distinct().repartition(tasks, "n").selectExpr("n", f"{SPARK.t_quantile('0.975', 'n - 1')} AS c", f"{SPARK.detectable('n')} AS detectable")
+    out = e.repartition(tasks, "ticker").join(F.broadcast(each), "n")
+    out = out.selectExpr("ticker", "n", "d", f"{SPARK.t_power('c', 'n - 1', 'd * sqrt(n)')} AS power", "detectable", f"{SPARK.required_n('d')} AS required_n")
     return out.withColumns({c: R(c, 5) for c in ("d", "power", "detectable")})
 
 

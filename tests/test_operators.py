@@ -441,3 +441,24 @@ def test_legs_sort_once_and_read_prices_once(spark):
     assert [tuple(r) for r in legs.collect()] == [("v", "2020-01-01", (1 + 2) / 2 - (4 + 8 + 16) / 3)]  # the third from above earns nothing yet
     plan = q.factor_legs(q.panel(spark, "/root/testdata/sf0.001"), q.LEGS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_shipdate") and plan.count("Relation [l_orderkey") <= 3  # prices, and fundamentals twice: themselves and their spread
+
+
+def test_power_is_searched_once_for_each_number_of_rows(spark):
+    """However many tickers have it; and required rows where the guess by normal quantiles is off are those of the search."""
+    from hypolith.functions.distributions import SPARK
+    from hypolith.plans.inference_queries import _powers
+
+    rows = [(i, 4 + i % 3, d) for i, d in enumerate((0.0, 1e-7, 0.0101, 0.03, 0.1132, 0.2, 0.31, 0.5, 0.77, 1.1, 1.6, 2.9, 8.0))]
+    df = spark.createDataFrame(rows, "ticker int, n long, d double")
+    found = _powers(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    searched = next(i for i, x in enumerate(plan) if "aggregate(" in x and "AS detectable" in x and "AS c" in x)
+    assert "Aggregate [n" in "".join(plan[searched + 1 : searched + 3]), plan
+    alone = df.selectExpr("ticker", f"round({SPARK.power('d', 'n')}, 5) AS power", f"round({SPARK.detectable('n')}, 5) AS detectable")
+    held = {r.ticker: r for r in alone.collect()}
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = rows[r.ticker][2]
+        assert (r.power, r.detectable) == (held[r.ticker].power, held[r.ticker].detectable)
+        assert r.required_n == (special.required_n(d) if d > 0.01 else None)
