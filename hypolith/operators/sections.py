@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hypolith.functions.text import once
+
 #: A numbered heading, and words in lines that begin the texts on benefit and on risk.
 HEADING = r"(?i)^\s*(\d+\.?\d*)\s+([A-Z][A-Z\s/]+(?:ASSESSMENT|REVIEW|BACKGROUND|INTRODUCTION|EFFICACY|SAFETY|EVALUATION|RESULTS|SUMMARY|STUDIES|TRIALS|PHARMACOLOGY|CHEMISTRY|STATISTICS|RECOMMENDATIONS|CONCLUSIONS|DISCUSSION|APPENDIX|REFERENCES))"
 BENEFIT = "risk benefit assessment|recommendation|efficacy|benefit"
@@ -77,10 +79,12 @@ def benefit_and_risk(docs: DataFrame, key: str, text: str) -> DataFrame:
     half = F.floor(F.char_length(text) / 2).cast("int")
 
     def pick(found: str, words: str, rest: Column) -> Column:
-        from_line = F.array_position(F.transform("all", lambda x: F.lower(x).rlike(words) & (F.char_length(F.trim(x)) < LINE)), True).cast("int")
-        line = F.when(from_line > 0, F.array_join(F.slice("all", from_line, F.size("all")), "\n"))
+        # Patterns are looked for in short lines alone, and once: long lines hold most of a text.
+        from_line = F.array_position(F.transform("all", lambda x: (F.char_length(F.trim(x)) < LINE) & F.lower(x).rlike(words)), True).cast("int")
+        line = once(from_line, lambda k: F.when(k > 0, F.array_join(F.slice("all", k, F.size("all")), "\n")))
         long = lambda c: F.char_length(F.trim(c)) >= TEXT
-        return F.when(long(F.col(found)), F.struct(F.col(found).alias("x"), F.lit("contents").alias("by"))).when(long(line), F.struct(line.alias("x"), F.lit("keyword").alias("by"))).otherwise(F.struct(rest.alias("x"), F.lit("half").alias("by")))
+        told = once(line, lambda x: F.when(long(x), F.struct(x.alias("x"), F.lit("keyword").alias("by"))).otherwise(F.struct(rest.alias("x"), F.lit("half").alias("by"))))
+        return F.when(long(F.col(found)), F.struct(F.col(found).alias("x"), F.lit("contents").alias("by"))).otherwise(told)
 
     first, second = F.substring(F.col(text), F.lit(1), half), F.substring(F.col(text), half + 1, F.char_length(text))
     d = d.select(key, pick("b", BENEFIT, first).alias("b"), pick("r", RISK, second).alias("r"))

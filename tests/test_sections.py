@@ -56,3 +56,14 @@ def test_a_cut_is_written_once(spark):
     for column, least in ((G.section(F.col("text"), G.SECTIONS["risk_factors"], G.NEXT_SECTION), 3), (G.risk_items(F.col("text")), 5), (G.audit_matters_part(F.col("text")), 2), (G.questions_part(F.col("text")), 2), (G.segments(F.col("text")), 1)):
         plan = d.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert 1 <= sum(plan.count(f) for f in ("regexp_replace(", "split(", "regexp_extract(")) <= 2 * least, plan
+
+
+def test_keywords_are_looked_for_once(spark):
+    """In one pass over the lines of a text for benefit and one for risk, and in short lines alone, which are cheap to tell."""
+    from hypolith.operators import sections as S
+
+    found = benefit_and_risk(docs(spark, "a", "Clinical efficacy" + " and more" * 20 + "\n" + "x" * 300), "id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for words in (S.BENEFIT, S.RISK):
+        assert plan.count(words[:20]) == 1, plan
+    assert [r.benefit_by for r in found.orderBy("id").collect()] == ["half", "half"]
