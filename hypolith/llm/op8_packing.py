@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ class Encoder:
         if self.fast is None or self.other.search(text) or (len(text) >= RUN and self.runs.search(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         try:
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
+            return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
         except BaseException as e:  # a panic inside the library is no Exception
             if type(e).__name__ != "PanicException":
                 raise
@@ -107,16 +108,25 @@ class Packer:
         items = self.items
         need = np.array([self._demand(x) for x in items], float).reshape(-1, 3)
         here = np.ones(len(items), bool)
+        # A row for each limit, as steps go over all pieces, and gone pieces are left out as soon as they are half of them.
+        at = np.arange(len(items))
+        by, share = self._rows(need)
         while (left_over := int(here.sum())) > keep:
+            if 2 * left_over < len(at):
+                at = np.flatnonzero(here)
+                by, share = self._rows(need[at])
             left, chosen = self.limit.copy(), []
             while left[0] > 0 and left[1] > 0:
-                fits = here & (need <= left).all(1)
-                if not fits.any():
+                part = left / self.limit
+                worth = share[0] * part[0] + share[1] * part[1] + share[2] * part[2]
+                worth[(by[0] > left[0]) | (by[1] > left[1]) | (by[2] > left[2])] = -1.0
+                k = int(np.argmax(worth))
+                if worth[k] < 0:
                     break
-                worth = ((need / self.limit) * (left / self.limit)).sum(1)
-                i = int(np.argmax(np.where(fits, worth, -1.0)))
+                i = int(at[k])
                 chosen.append(items[i])
-                left, here[i] = left - need[i], False
+                # What is gone never fits.
+                left, here[i], by[0, k] = left - need[i], False, np.inf
             for i in np.flatnonzero(here) if left[0] > 0 and left[1] > 0 else ():
                 if n := self._room(items[i], left):
                     part, items[i] = self._cut(items[i], n)
@@ -124,6 +134,10 @@ class Packer:
                     left = left - self._demand(part)
                     need[i] = self._demand(items[i])
                     here[i] = len(items[i][2]) > 0
+                    k = np.searchsorted(at, i)
+                    by[:, k], share[:, k] = need[i], need[i] / self.limit
+                    if not here[i]:
+                        by[0, k] = np.inf
                 if left[0] <= 0 or left[1] <= 0:
                     break
             total = int(self.limit[0] - left[0])
@@ -133,6 +147,10 @@ class Packer:
                 self._halve(chosen, total)
         self.items = [x for x, y in zip(items, here, strict=True) if y]
 
+    def _rows(self, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Demands, and their shares of the limits, with a row for each limit."""
+        return need.T.copy(), (need / self.limit).T.copy()
+
     def _halve(self, items: list[tuple], total: int) -> None:
         """The last pieces of all, in sequences whose lengths are the powers of two that add up to theirs."""
         for k in range(total.bit_length() - 1, -1, -1):

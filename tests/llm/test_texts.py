@@ -723,3 +723,32 @@ def test_a_task_tells_its_sums_in_few_rows():
     told = {f: (r["a"][i], r["b"][i]) for r in rows if r["view"] == 0 for i, f in enumerate(r["feature"])}
     held = np.bincount(np.concatenate(at), minlength=q.TEXT)
     assert told.pop(-1) == (0, n) and {f: b for f, (_, b) in told.items()} == {int(f): int(held[f]) for f in np.flatnonzero(held)}
+
+
+def test_packing_steps_go_over_the_pieces_that_wait():
+    """The same choices as over all pieces of the pool at every step, gone ones too, with ever fewer to look at."""
+    from hypolith.llm import op8_packing as q
+
+    looked, r = [], np.random.default_rng(3)
+
+    class Watched(q.Packer):
+        def _rows(self, need):
+            looked.append(len(need))
+            return super()._rows(need)
+
+    size, bears = r.integers(1, 60, 300), r.integers(0, 60, 300)
+    p = Watched(0, 64, 5, 40, 1000)
+    for i in range(300):
+        p.add(i, np.arange(size[i], dtype=np.uint32), int(bears[i]))
+    items = list(p.items)
+    p.end()
+    assert looked[0] == len(items) and len(looked) > 4 and all(2 * b < a for a, b in zip(looked, looked[1:], strict=False))
+    left, first = p.limit.copy(), []
+    need = np.array([p._demand(x) for x in items], float)
+    free = np.ones(len(items), bool)
+    while (fits := free & (need <= left).all(1)).any():
+        i = int(np.argmax(np.where(fits, ((need / p.limit) * (left / p.limit)).sum(1), -1.0)))
+        first.append(items[i][0])
+        left, free[i] = left - need[i], False
+    opened = [x[0] for x in p.taken() if x[5] == 0]
+    assert first and opened[: len(first)] == first
