@@ -250,21 +250,42 @@ def _told(model: dict[str, tuple], sure: float) -> Callable:
 
 
 TOLD_ROWS = "view int, feature int, a long, b long, c long, d long"
-TOLD_LISTS = "view int, feature array<int>, a array<long>, b array<long>, c array<long>, d array<long>"
+TOLD_LISTS = "view int, block int, feature array<int>, a array<long>, b array<long>, c array<long>, d array<long>"
+#: Features of a block, as a power of two: the sums of a block of all tasks meet in one place.
+BLOCK = 10
 
 
-def _listed(told: Callable) -> Callable:
-    """The batches of `told`, each as one row of TOLD_LISTS: a task gives as many rows as it has blocks of features, whatever
-    its documents hold."""
+def _lists(view: int, block: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row of TOLD_LISTS."""
+    kinds = [pa.int32(), *[pa.int64()] * 4]
+    one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, k)) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([view], pa.int32()), pa.array([block], pa.int32()), *one], [x.split()[0] for x in TOLD_LISTS.split(", ")])
+
+
+def _listed(told: Callable, bits: int = 16) -> Callable:
+    """The batches of `told` as rows of TOLD_LISTS: a task gives as many rows as it has blocks of features, whatever its
+    documents hold. The documents' own count, feature -1, is in the first block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in told(batches):
-            one = [pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), c) for c in b.columns[1:]]
-            yield pa.RecordBatch.from_arrays([b.column(0)[:1], *one], b.schema.names)
+            view, (feature, *sums) = b.column(0)[0].as_py(), (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            block = np.maximum(feature, 0) >> bits
+            for k in np.unique(block):
+                yield _lists(view, int(k), [x[block == k] for x in (feature, *sums)])
 
     return run
 
 
+def _added(rows: pa.Table) -> pa.Table:
+    """The sums of one block of one view, of all tasks, as one row."""
+    flat = [pa.compute.list_flatten(rows.column(c)).to_numpy() for c in ("feature", *"abcd")]
+    names, place = np.unique(flat[0], return_inverse=True)
+    total = np.zeros((4, len(names)), np.int64)
+    for t, x in zip(total, flat[1:], strict=True):
+        np.add.at(t, place, x)
+    return pa.Table.from_batches([_lists(rows.column("view")[0].as_py(), rows.column("block")[0].as_py(), [names, *total])])
+
+
 def _columns(docs: DataFrame) -> list[Column]:
     kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "double"}
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS]
@@ -304,12 +325,16 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
     fold = pdf["h"].to_numpy(np.int64) % FOLDS
     told = {h: (Told(TEXT), Told(META)) for h in HEADS}
     rest = viewed.join(some.select(id_col, F.lit(True).alias("k")), id_col, "left").select(F.coalesce("k", F.lit(False)).alias("known"), "text_at", "meta_at")
+    # Every task tells a sum for each feature it meets, so what is told grows with the tasks: they are as many as the cores ask
+    # for, however many files the documents lie in.
+    rest = rest.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
     for k in range(rounds + 1):
         model = {h: fitted(views, pdf[h].to_numpy(float), fold, told[h]) for h in HEADS}
         if k == rounds or not any(m[2].any() for m in model.values()):
             return model
-        each = rest.mapInArrow(_listed(_told(model, sure)), TOLD_LISTS).select("view", F.explode(F.arrays_zip("feature", *"abcd")).alias("x")).select("view", "x.*")
-        sums = each.groupBy("view", "feature").agg(*(F.sum(c).alias(c) for c in "abcd"))
+        each = rest.mapInArrow(_listed(_told(model, sure), BLOCK), TOLD_LISTS).groupBy("view", "block").applyInArrow(_added, TOLD_LISTS)
+        # Rows are made of the lists when they are summed up, so that they are no more than there are features.
+        sums = each.select("view", F.explode(F.arrays_zip("feature", *"abcd")).alias("x")).select("view", "x.*")
         found = written(sums, "told").toPandas()
         told = {h: (Told(TEXT), Told(META)) for h in HEADS}
         for i, h in enumerate(HEADS):

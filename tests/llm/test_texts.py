@@ -752,3 +752,28 @@ def test_packing_steps_go_over_the_pieces_that_wait():
         left, free[i] = left - need[i], False
     opened = [x[0] for x in p.taken() if x[5] == 0]
     assert first and opened[: len(first)] == first
+
+
+def test_told_sums_are_added_before_they_are_rows(spark):
+    """One row a block of features from all tasks, with each feature once and its whole sums."""
+    import pyarrow as pa
+
+    from hypolith.llm import op2_quality as q
+
+    rng = np.random.default_rng(5)
+    parts = []
+    for _ in range(6):
+        feature = np.append(-1, np.unique(rng.integers(0, 1 << 12, 900))).astype(np.int32)
+        parts.append((feature, rng.integers(0, 9, (4, len(feature)))))
+    one = lambda f, x: pa.RecordBatch.from_arrays([pa.array(np.zeros(len(f), np.int32)), pa.array(f), *map(pa.array, x)], ["view", "feature", *"abcd"])
+    rows = spark.createDataFrame([(i,) for i in range(6)], "i int").repartition(6, "i")
+    lists = rows.mapInArrow(lambda batches: q._listed(lambda bs: (one(*parts[i]) for b in bs for i in b.column(0).to_pylist()), 10)(batches), q.TOLD_LISTS)
+    got = lists.groupBy("view", "block").applyInArrow(q._added, q.TOLD_LISTS).collect()
+    assert sorted(r.block for r in got) == [0, 1, 2, 3]
+    told = {f: tuple(r[c][i] for c in "abcd") for r in got for i, f in enumerate(r.feature)}
+    assert sum(len(r.feature) for r in got) == len(told)
+    want = {}
+    for feature, x in parts:
+        for f, v in zip(feature.tolist(), x.T, strict=True):
+            want[f] = want.get(f, 0) + v
+    assert told == {f: tuple(v.tolist()) for f, v in want.items()}
