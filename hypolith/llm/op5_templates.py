@@ -47,6 +47,9 @@ class Templater:
         self.stop = stop
         self.units = np.sort(np.concatenate([self.words(u)[1] for u in UNITS]))
 
+    def is_unit(self, word: np.ndarray) -> np.ndarray:
+        return np.isin(word, self.units)
+
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each word: template hash in the plain reading, hash of the word itself, whether it is written as a name, and
         whether a sentence begins with it."""
@@ -85,7 +88,9 @@ class Templater:
         before[1:] = number[:-1]
         small = sums((source >= 0x61) & (source <= 0x7A))  # texts in capitals hold no more names than others
         name = capital[first] & (nd == 0) & (small[end] > small[begin])
-        unit = before & np.isin(word, self.units) if hasattr(self, "units") else np.zeros(len(begin), bool)
+        unit = np.zeros(len(begin), bool)
+        if hasattr(self, "units") and len(after_number := np.flatnonzero(before)):
+            unit[after_number] = self.is_unit(word[after_number])
         out = np.where(number, _NUMBER, np.where(both, _BOTH, np.where(unit, _UNIT, word)))
         return out[heard], word[heard], name[heard], ended[heard]
 

@@ -777,3 +777,15 @@ def test_told_sums_are_added_before_they_are_rows(spark):
         for f, v in zip(feature.tolist(), x.T, strict=True):
             want[f] = want.get(f, 0) + v
     assert told == {f: tuple(v.tolist()) for f, v in want.items()}
+
+
+def test_units_are_looked_up_after_numbers_alone():
+    from hypolith.llm.op5_templates import _NUMBER, _UNIT, Templater
+
+    t, asked = Templater(), []
+    found = t.is_unit
+    t.is_unit = lambda word: asked.append(len(word)) or found(word)
+    template, word, _, _ = t.words("hours of rain: 3 hours, 12 km and 7 apples in 2 ft")
+    assert asked == [4] and [i for i, x in enumerate(template) if x == _UNIT] == [4, 6, 12] and sum(template == _NUMBER) == 4
+    t.words("no numbers in hours")
+    assert asked == [4]
