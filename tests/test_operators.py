@@ -410,6 +410,27 @@ def test_filing_parts_of_hand_made_texts(spark):
     assert [told(t) for t in ('```json\n{"signal_value": 0.5}\n```', 'x {"a": {"b": "}"}, "signal_value": 2,} y', '"signal_value": -1.5, cut', "none")] == [0.5, 2.0, -1.5, None]
 
 
+def long_filing(spark, folder, name):
+    """Rows of a query, and of its SQL, where a document has 40,000 letters and ends with a word of its own."""
+    import duckdb
+
+    from hypolith.plans import registry
+
+    spark.createDataFrame([(0, "alpha beta gamma. " * 2200 + "omega", "en", "s", 40_000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    r = c.execute(registry.SQL[name])
+    columns = [d[0] for d in r.description]
+    return [tuple(x[k] for k in columns) for x in registry.QUERIES[name](spark, str(folder)).orderBy(columns[:2]).collect()], sorted(r.fetchall())
+
+
+def test_audit_matters_part_is_whole(spark, tmp_path):
+    got, told = long_filing(spark, tmp_path, "t19_audit_matters_part")
+    assert got == told and got[0][1] > 2 * 39_600
+    text = "Critical Audit Matters\n" + "a matter, and more. " * 2000 + "the end.\n/s/\nX"
+    assert spark.createDataFrame([(text,), (text[:-6],)], "t string").select(G.audit_matters_part(F.col("t")).alias("x")).collect() == [(text[:-6],)] * 2
+
+
 def test_removed_items_against_plain_python(spark):
     rng = np.random.default_rng(5)
     words = lambda: sorted({f"w{k}" for k in rng.integers(0, 40, rng.integers(0, 9))})
