@@ -447,6 +447,21 @@ def test_removed_items_against_plain_python(spark):
         assert abs(r.score - r.n_removed * np.mean([1 - s for s in far])) < 1e-9
 
 
+def test_removed_items_shuffle_no_words_and_cut_texts_once(spark):
+    """Words move with their items, an old filing of many items is dealt to several tasks, and both sides read the items as written."""
+    from hypolith.plans import registry
+    from hypolith.plans.filing_queries import BLOCK
+    from tests.conftest import SF
+
+    n = 2 * BLOCK + 9
+    items = spark.createDataFrame([(1, i, [f"w{i}", f"v{i}"]) for i in range(n)] + [(2, i, [f"w{i}", f"u{i}"]) for i in range(n - 9)] + [(2, n, [])], "doc_id long, item int, words array<string>")
+    found = removed_items(items, spark.createDataFrame([(1, 2), (2, 3)], "old long, new long"))
+    assert "explode(words" not in found._jdf.queryExecution().optimizedPlan().toString()
+    r = found.collect()
+    assert len(r) == 1 and tuple(r[0])[:7] == (1, 2, 9, 1, n - 9, n, n - 8) and abs(r[0].score - 9 * (9 + (n - 9) * 2 / 3) / n) < 1e-9
+    assert "regexp_replace" not in registry.QUERIES["c16_t18_removed_risks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_distinct_counts_copy_keys_not_rows(spark):
     from hypolith.plans import registry
 
