@@ -431,6 +431,44 @@ def test_audit_matters_part_is_whole(spark, tmp_path):
     assert spark.createDataFrame([(text,), (text[:-6],)], "t string").select(G.audit_matters_part(F.col("t")).alias("x")).collect() == [(text[:-6],)] * 2
 
 
+def test_audit_matters_are_whole(spark, tmp_path):
+    got, told = long_filing(spark, tmp_path, "t20_t21_audit_matters")
+    assert got == told and len(got) == 2 and all(r[2] > 39_600 for r in got)
+
+
+def test_cuts_at_line_begins_against_plain_python(spark):
+    """Patterns that match at the begin of a line are tried at line ends only, with the same pieces."""
+    import re
+
+    rng = np.random.default_rng(8)
+    bits = ["\n", "\n", " ", "\u0001", "(1)", "2. ", "• ", "critical audit matters", "Description of the Matter\n", "Market Risks", "é", "x"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 15))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for p in (G.ITEM_START, G.SUBHEAD, G.CAM_START, G.CAM_HEADING):
+        want = [re.sub(f"(?i)({p})", "\u0001\\1", t.replace("\u0001", " "), flags=re.ASCII).split("\u0001") for t in texts]
+        got = df.select(G.cut(F.col("t"), p), G.before(F.col("t"), p)).collect()
+        assert [tuple(r) for r in got] == [(w, w[0] if len(w) > 1 else None) for w in want] + [(None, None)]
+        assert sum(len(w) > 1 for w in want) > 20
+
+
+def test_patterns_are_looked_for_where_their_letters_stand(spark):
+    import re
+
+    from hypolith.functions.text import first_match, needed
+
+    assert needed(r"fair\s+value|oil\s+(?:and|or)\s+gasses?|level\s+[123]|post.?retirement") == ["value", "gasse", "level", "retirement"]
+    assert not any(needed(p) for p in ("a|", "[ab]", "(?i)abc", "a(?:b(?:c))d", "^abc", "ab{2}", r"\x41bc", "(?:ab)?"))
+    assert needed("ab*cd") == ["cd"] and needed("abc?") == ["ab"] and needed("(?:ab)?cd") == ["cd"]
+    rng = np.random.default_rng(9)
+    words = [w for p, _ in G.CAM_TOPICS for w in re.sub("[^a-z]+", " ", re.sub(r"\\s", " ", p)).split()] + ["3", "\n", "-", "Tax"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(2000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(first_match(F.col("t"), G.CAM_TOPICS, "other").alias("x"))
+    want = [next((n for p, n in G.CAM_TOPICS if re.search(p, t.lower(), re.ASCII)), "other") for t in texts]
+    assert [r.x for r in got.collect()] == want and len(set(want)) > 7
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.index("goodwill)") < plan.index("goodwill|")  # the letters first
+
+
 def test_removed_items_against_plain_python(spark):
     rng = np.random.default_rng(5)
     words = lambda: sorted({f"w{k}" for k in rng.integers(0, 40, rng.integers(0, 9))})
